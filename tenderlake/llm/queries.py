@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tenderlake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tenderlake.llm.media_sniff import op3_media_sniff
+from tenderlake.llm.packing import op9_best_fit_packing
 from tenderlake.llm.secret_scan import op4_secret_scan
 from tenderlake.llm.url_filter import OP6_SQL, op6_url_filter
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
