@@ -6,6 +6,7 @@ from tenderlake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tenderlake.llm.media_sniff import op3_media_sniff
 from tenderlake.llm.packing import op9_best_fit_packing
 from tenderlake.llm.secret_scan import op4_secret_scan
+from tenderlake.llm.simhash import op8_simhash_near_dedup
 from tenderlake.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL = {
