@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tenderlake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tenderlake.llm.media_sniff import op3_media_sniff
+from tenderlake.llm.ordinal_quality import op1_quality_ordinal
 from tenderlake.llm.packing import op9_best_fit_packing
 from tenderlake.llm.secret_scan import op4_secret_scan
 from tenderlake.llm.simhash import op8_simhash_near_dedup
 from tenderlake.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
+    "op1_quality_ordinal": op1_quality_ordinal,
     "op3_media_sniff": op3_media_sniff,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
