@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tenderlake.llm.bpe_codec import op10_bpe_codec
 from tenderlake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tenderlake.llm.media_sniff import op3_media_sniff
 from tenderlake.llm.ordinal_quality import op1_quality_ordinal
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
