@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tenderlake.llm.bpe_codec import op10_bpe_codec
 from tenderlake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tenderlake.llm.language_id import op7_language_id
 from tenderlake.llm.media_sniff import op3_media_sniff
 from tenderlake.llm.ordinal_quality import op1_quality_ordinal
 from tenderlake.llm.packing import op9_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_bpe_codec": op10_bpe_codec,
