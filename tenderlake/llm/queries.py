@@ -8,12 +8,14 @@ from tenderlake.llm.language_id import op7_language_id
 from tenderlake.llm.media_sniff import op3_media_sniff
 from tenderlake.llm.ordinal_quality import op1_quality_ordinal
 from tenderlake.llm.packing import op9_best_fit_packing
+from tenderlake.llm.pii_crf import op2_pii_crf
 from tenderlake.llm.secret_scan import op4_secret_scan
 from tenderlake.llm.simhash import op8_simhash_near_dedup
 from tenderlake.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_quality_ordinal": op1_quality_ordinal,
+    "op2_pii_crf": op2_pii_crf,
     "op3_media_sniff": op3_media_sniff,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
