@@ -1,0 +1,67 @@
+"""The catalogue in storage: each table a series of written versions and a pointer to the current ones."""
+
+from __future__ import annotations
+
+import json
+import uuid
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tenderlake.schemas import TABLES
+
+
+class Catalog:
+    """Tables below ``root``. A commit writes new versions beside the old and then swaps one pointer, so readers see all of it or nothing.
+
+    Of two writers that commit at once, the second gets an error and has to read again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _pointers(self) -> dict[str, str]:
+        """The newest list of versions. Lists are numbered files of one line."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return {}
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path) if not s.getPath().getName().startswith(("_", ".")))
+        if not names:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/_versions/{names[-1]}").first()[0])
+
+    def table(self, name: str) -> DataFrame:
+        """The current version of a table; empty if none was written."""
+        version = self._pointers().get(name)
+        schema = TABLES[name].schema
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: self.table(name) for name in TABLES}
+
+    def commit(self, tables: Mapping[str, DataFrame]) -> None:
+        """Write the tables as new versions, then point to them."""
+        pointers = self._pointers()
+        for name, df in tables.items():
+            version = uuid.uuid4().hex
+            schema = TABLES[name].schema
+            df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{self.root}/{name}/{version}")
+            pointers[name] = version
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        number = 1 + max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=0) if fs.exists(folder) else 1
+        draft = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/_{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(pointers).encode()))
+        stream.close()
+        # A name that exists can't be renamed to: of two writers one fails.
+        if not fs.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/{number:010d}")):
+            raise RuntimeError("another writer has committed meanwhile; read again and retry")
+
+    def register_views(self) -> None:
+        """Each table as a temporary view, for SQL."""
+        for name, df in self.tables().items():
+            df.createOrReplaceTempView(name)
