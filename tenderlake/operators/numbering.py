@@ -20,10 +20,10 @@ def number_rows(df: DataFrame, name: str, order: Sequence[str | Column], start:
     sorted_rows = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     ranges = materialize(sorted_rows, "number-rows")
     sizes = dict(ranges.groupBy("_range").count().collect())
+    if not sizes:
+        return ranges.drop("_range").withColumn(name, F.lit(None).cast("long"))
     keys = sorted(sizes)
     firsts = dict(zip(keys, accumulate([start, *(sizes[k] for k in keys[:-1])]), strict=True))
-    if not firsts:
-        return ranges.drop("_range").withColumn(name, F.lit(None).cast("long"))
     first = F.element_at(F.create_map(*(F.lit(x) for pair in firsts.items() for x in pair)), F.col("_range"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranges.withColumn(name, (first + own - 1).cast("long")).drop("_range")
