@@ -16,10 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {i: b for b, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int]]] = {}
 
@@ -81,7 +82,7 @@ class Merges:
         They don't if some end of the first and some beginning of the second merge before either is taken up by its own token; at one rank
         the pair on the left goes first.
         """
-        key = (before, token)
+        key = before << 32 | token
         known = self.pairs.get(key)
         if known is None:
             last = self.tokens[token]
@@ -94,9 +95,12 @@ class Merges:
                 firsts = self.edge(last, False)
                 for a, a_gone in self.edge(self.tokens[before], True):
                     for b, b_gone in firsts:
-                        rank = get(a + b, NEVER)
-                        if rank < a_gone and rank <= b_gone and rank < NEVER:
+                        rank = get(a + b)
+                        if rank is not None and rank < a_gone and rank <= b_gone:
                             known = False
+                            break
+                    if not known:
+                        break
             if len(self.pairs) > 500_000:
                 self.pairs.clear()
             self.pairs[key] = known
@@ -104,28 +108,30 @@ class Merges:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most: int = 100_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 60_000) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has a token for every byte")
         self.merges = Merges(ranks)
         self.most = most
-        # The trie: for each node its arcs by byte, and the token that ends there.
-        self.arcs: list[dict[int, int]] = [{}]
+        # The trie: its arcs by node and byte, the token that ends at a node, and which nodes lead on.
+        self.arcs: dict[int, int] = {}
         self.ends: list[int] = [-1]
+        self.inner: set[int] = set()
         for word, i in ranks.items():
             node = 0
             for b in word:
-                if b not in self.arcs[node]:
-                    self.arcs[node][b] = len(self.arcs)
-                    self.arcs.append({})
+                arc = node << 8 | b
+                if arc not in self.arcs:
+                    self.arcs[arc] = len(self.ends)
                     self.ends.append(-1)
-                node = self.arcs[node][b]
+                    self.inner.add(node)
+                node = self.arcs[arc]
             self.ends[node] = i
         self.forget()
 
     def forget(self) -> None:
         self.states: list[tuple[Place, ...]] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.numbers: dict[tuple[Place, ...], int] = {}
         self.number(((-1, 0, ()),))
 
@@ -134,43 +140,53 @@ class Transducer:
         if known is None:
             known = self.numbers[places] = len(self.states)
             self.states.append(places)
-            self.steps.append({})
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one arc: the next state, and the tokens that have become certain."""
+        """Determinise one arc: the next state, and the tokens that have become certain.
+
+        Places are in the order in which their tokens began. The bytes up to here have one encoding, so one token at most ends here in agreement.
+        """
+        arcs, ends, inner, agree = self.arcs, self.ends, self.inner, self.merges.agree
         after: list[Place] = []
+        root = None
         for before, node, waiting in self.states[state]:
-            node = self.arcs[node].get(byte)
+            node = arcs.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.arcs[node]:
+            if node in inner:
                 after.append((before, node, waiting))
-            token = self.ends[node]
-            if token >= 0 and self.merges.agree(before, token):
-                after.append((token, 0, (*waiting, token)))
+            if root is None and (token := ends[node]) >= 0 and agree(before, token):
+                root = (token, 0, (*waiting, token))
+        if root is not None:
+            after.append(root)
         first = after[0][2]
-        shared = min(len(p[2]) for p in after)
-        while shared and any(p[2][:shared] != first[:shared] for p in after):
-            shared -= 1
-        places = tuple(sorted((b, n, w[shared:]) for b, n, w in after))
-        arc = self.steps[state][byte] = (self.number(places), first[:shared])
+        shared = 0
+        if len(after) == 1:
+            shared = len(first)
+        elif first:
+            shared = min(len(p[2]) for p in after)
+            while shared and any(p[2][:shared] != first[:shared] for p in after):
+                shared -= 1
+        if shared:
+            after = [(b, n, w[shared:]) for b, n, w in after]
+        arc = self.steps[state << 8 | byte] = (self.number(tuple(after)), first[:shared])
         return arc
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > self.most:
             self.forget()
         state, out = 0, []
-        steps = self.steps
+        get = self.steps.get
         for byte in data:
-            arc = steps[state].get(byte) or self.step(state, byte)
+            arc = get(state << 8 | byte) or self.step(state, byte)
             state = arc[0]
             if arc[1]:
                 out += arc[1]
-            if len(self.states) > 4 * self.most:  # one very long word can't fill the memory either
+            if state > 2 * self.most:  # one very long word can't fill the memory either
                 places = self.states[state]
                 self.forget()
-                steps, state = self.steps, self.number(places)
+                get, state = self.steps.get, self.number(places)
         # One place at most stands between tokens: the encoding is unique.
         for _, node, waiting in self.states[state]:
             if not node:
@@ -214,15 +230,18 @@ class Codec:
     ODD_SPACE = re.compile(r"\s ")
     CUT = re.compile(r"(?<=\S)(?= )")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000) -> None:
         self.transducer = Transducer(ranks)
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.tokens = self.transducer.merges.tokens
         self.most = most
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Two generations: what is met again moves to the young one; when that is full, the old one goes.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
+    def _stretch(self, text: str) -> bytes:
+        """The ids of a stretch as 32-bit words, which take a fraction of the room of numbers."""
         out: list[int] = []
         for match in self.pattern.findall(text):
             data = match.encode()
@@ -231,7 +250,7 @@ class Codec:
                 out += self.transducer.encode(data)
             else:
                 out.append(token)
-        return tuple(out)
+        return array("I", out).tobytes()
 
     def encode(self, text: str) -> list[int]:
         if self.ODD_SPACE.search(text):
@@ -239,18 +258,18 @@ class Codec:
         else:
             first, *rest = text.split(" ")
             parts = [first, *(" " + x for x in rest)] if first or not rest else [" " + x for x in rest]
-        out = []
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._stretch(part)
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = list(map(young.get, parts))
+        if None in out:
+            for i in [i for i, ids in enumerate(out) if ids is None]:
+                part = parts[i]
+                ids = old.get(part) or self._stretch(part)
                 if len(part) < 64:
-                    known[part] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+                    young[part] = ids
+                out[i] = ids
+        return np.frombuffer(b"".join(out), np.uint32).tolist()
 
     def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
         """The text of the ids, a block at a time."""

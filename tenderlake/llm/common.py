@@ -64,6 +64,17 @@ def map_rows(df: DataFrame, schema: pa.Schema, make: Callable[[], Callable[...,
     return map_batches(df, schema, run)
 
 
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids`` (one column of distinct 64-bit numbers, written already). A null id is never among them.
+
+    The ids are counted: up to ``most`` (8 MB) they are broadcast and the rows stay where they are; beyond that both sides are shuffled by id.
+    """
+    key = free_name(df, "lost_id")
+    side = ids.select(F.col(ids.columns[0]).alias(key))
+    side = F.broadcast(side) if side.count() <= most else side
+    return df.join(side, F.col(f"`{id_col}`").cast("bigint") == F.col(key), "left_anti")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name near ``base`` that ``df`` doesn't use (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

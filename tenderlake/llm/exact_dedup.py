@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import free_name, text_of
+from tenderlake.llm.common import free_name, text_of, without_ids
 from tenderlake.sources.tables import load_table, materialize
 
 #: Characters that don't count when texts are compared.
@@ -62,17 +62,29 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of ``df`` that :func:`exact_dedup` keeps, with all their columns."""
-    found = exact_dedup(df, id_col, text_col, **options)
+    """The rows of ``df`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Where ids name rows, the ids of those that go decide, so texts needn't be shuffled. Rows with a null id or one that repeats are told apart by id and text.
+    """
+    found = materialize(exact_dedup(df, id_col, text_col, **options), "dedup-found")
+    shared = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "dedup-shared")
+    named = found if shared.isEmpty() else found.join(shared, "doc_id", "left_anti")
+    gone = materialize(named.where("NOT kept").select("doc_id"), "dedup-gone")
+    if shared.isEmpty():
+        return without_ids(df, id_col, gone)
+
     key, null, mark, nth = (free_name(df, x) for x in ("row_key", "row_null", "row_mark", "row_nth"))
     number = lambda c: [F.coalesce(c, F.lit(0).cast("bigint")).alias(key), c.isNull().alias(null)]
+    keyed = df.select("*", *number(F.col(f"`{id_col}`").cast("bigint")))
+    doubtful = shared.select(*number(F.col("doc_id")))
+    sure = without_ids(keyed.join(doubtful, [key, null], "left_anti"), id_col, gone)
     winners = found.where("kept").select(*number(F.col("doc_id")), F.unhex("text_sha256").alias(mark))
-    own = F.col(f"`{id_col}`").cast("bigint")
-    marked = df.select("*", *number(own), F.unhex(F.sha2(normalised(text_col), 256)).alias(mark))
-    joined = marked.join(winners, [key, null, mark], "left_semi")
+    others = keyed.join(doubtful, [key, null], "left_semi").withColumn(mark, F.unhex(F.sha2(normalised(text_col), 256))).join(winners, [key, null, mark], "left_semi")
     # Rows that repeat an id and a text meet here anyway; the longest is the winner.
     first = Window.partitionBy(key, null, mark).orderBy(F.length(text_of(text_col)).desc())
-    return joined.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in df.columns))
+    others = others.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return sure.select(*columns).unionByName(others.select(*columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ class OrdinalModel:
     #: The tail probability from which a document is kept, as the sample's ratings tell it.
     keep_at: float = 0.5
 
-    def scorer(self, most: int = 300_000) -> Callable[[str], float]:
+    def scorer(self, most: int = 150_000) -> Callable[[str], float]:
         """A function from text to score, which remembers for up to ``most`` words which of their features weigh anything."""
         known: dict[str, tuple[int, ...]] = {}
         weights = self.weights

@@ -50,7 +50,7 @@ def window_entropies(text: str, window: int) -> list[float]:
     """Shannon entropy in bits of each window of ``text``, by incremental counts."""
     if len(text) < window:
         return []
-    weight = [0.0, 0.0, *(c * math.log2(c) for c in range(2, window + 1))]
+    weight = [0.0, 0.0, *(c * math.log2(c) for c in range(2, window + 2))]  # a character comes in before one goes out
     counts: dict[str, int] = {}
     total = 0.0
     out = []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import SLICE, arrow_fields, free_name, map_batches, text_of
+from tenderlake.llm.common import SLICE, arrow_fields, map_batches, text_of, without_ids
 from tenderlake.llm.components import connected_components
 from tenderlake.sources.tables import load_table, materialize
 
@@ -241,9 +241,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables. Rows with a null id stay, as nothing can name them; rows that repeat an id stay or go together. All columns are returned.
     """
     groups = near_groups(fingerprints(df, id_col, text_col, words, lanes), most, lanes, bucket)
-    key = free_name(df, "copy_id")
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col(key), "left_anti")
+    gone = materialize(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    return without_ids(df, id_col, gone)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,500 @@
+"""The training-data operators on small fixtures: brute force, awkward rows, and properties."""
+
+import hashlib
+import io
+import random
+import re
+import struct
+import zipfile
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tenderlake.llm import bpe_codec, components, exact_dedup, language_id, media_sniff, ordinal_quality, packing, pii_crf, secret_scan, simhash, url_filter
+
+#: Null ids and texts, blanks, repeats of a row, ties, one very long text; and columns whose names clash with those of results.
+ROWS = [
+    (1, "Some words are here", "x", 1), (2, "Some  words are\there", "x", 2), (2, "Some  words are\there", "x", 2), (3, None, None, None),
+    (4, "", "y", 4), (None, "no id at all", "y", 5), (None, None, None, 6), (5, " \n\t", "z", 7), (6, "É" * 5 + " 😀 " + "long word " * 20_000, "z", 8), (7, "Some words are here", "x", 9),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string, kept string, group_size int")
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+# 5: exact dedup
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", "", t or "")].append((i, t or ""))
+    out = []
+    for body, members in groups.items():
+        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
+        seen = False
+        for m in members:
+            kept = m == keep and not seen
+            seen |= kept
+            out.append((m[0], keep[0], len(members), kept, hashlib.sha256(body.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("options", [{}, {"fan": 2, "rounds": 3}, {"fan": 3, "rounds": 1}])
+def test_exact_dedup_against_brute_force(odd, options):
+    got = sorted((tuple(r) for r in exact_dedup.exact_dedup(odd, **options).drop("n_chars").collect()), key=repr)
+    assert got == brute_exact([(r[0], r[1]) for r in ROWS])
+
+
+def test_exact_dedup_of_nothing_and_kept_rows(odd, none):
+    assert exact_dedup.exact_dedup(none).count() == 0
+    kept = exact_dedup.drop_exact_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept.where("doc_id IS NOT NULL").collect()) == [(2, 20), (5, 3), (6, 200_008)]
+    assert kept.where("doc_id IS NULL").count() == 1
+
+
+# 8: SimHash
+
+
+def brute_print(text, words=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+@given(st.text(alphabet="aAbÉ \t\n\x0b\x1c😀", max_size=60))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text, 4)[0] % (1 << 64) == brute_print(text)
+
+
+def components_by_hand(edges, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_near_groups_lose_no_link(spark, bucket):
+    """Random fingerprints around a few centres at distances of 0 to 8 bits; small buckets send nearly all the other way."""
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    prints = [0, 0, (1 << 64) - 1]
+    for _ in range(400):
+        x = rng.choice(centres)
+        for b in rng.sample(range(64), rng.randrange(9)):
+            x ^= 1 << b
+        prints.append(x)
+    rows = [(i, [x - (1 << 64) if x >> 63 else x]) for i, x in enumerate(prints)]
+    edges = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, fp array<long>"), 4, 1, bucket)
+    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand(edges, range(len(prints)))
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_wide_fingerprints(spark, bucket):
+    rng = random.Random(4)
+    base = [rng.getrandbits(256) for _ in range(3)]
+    prints = []
+    for _ in range(120):
+        x = rng.choice(base)
+        for b in rng.sample(range(256), rng.randrange(12)):
+            x ^= 1 << b
+        prints.append(x)
+    lanes = lambda x: [int(np.uint64(x >> 64 * i & (1 << 64) - 1).astype(np.int64)) for i in range(4)]
+    edges = [(i, j) for i in range(120) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 23]
+    got = simhash.near_groups(spark.createDataFrame([(i, lanes(x)) for i, x in enumerate(prints)], "doc_id long, fp array<long>"), 23, 4, bucket)
+    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand(edges, range(120))
+
+
+def test_near_copies_go_and_others_stay(spark, odd, none):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [[word() for _ in range(300)] for _ in range(8)]
+    near = [w[:150] + [word()] + w[151:] for w in texts[:4]]
+    rows = [(i, " ".join(w), "s", i) for i, w in enumerate(texts + near)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, component_id string, fp int"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(8)) and kept.columns == ["doc_id", "text", "component_id", "fp"]
+    assert simhash.drop_near_copies(none).count() == 0
+    left = simhash.drop_near_copies(odd)
+    assert left.where("doc_id IN (1, 2, 6, 7)").count() == 2 and left.where("doc_id IS NULL").count() == 2
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 4: secrets
+
+PLAIN_ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def brute_secrets(text):
+    out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in PLAIN_ASSIGN.finditer(text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [x for _, _, x in sorted(out)]
+
+
+@settings(max_examples=300)
+@given(st.lists(st.sampled_from(["password", "PassWD", "ſecret", "token", "API_KEY", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeefdeadbeefdeadbeefdeadbeef", "xyz", "😀", "x" * 8]), max_size=12).map("".join))
+def test_base_secrets(text):
+    base, spans = secret_scan.scan_text(text, secret_scan.EntropyScanner(secret_scan.EntropyRules()))
+    assert [f"{k}:{s}:{e}" for k, s, e in base] == brute_secrets(text) and set(base) <= set(spans)
+
+
+def test_entropy_windows_equal_recounting():
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef0123") for _ in range(200))
+    for i, bits in enumerate(secret_scan.window_entropies(text, 20)):
+        p = np.array([text[i : i + 20].count(c) / 20 for c in set(text[i : i + 20])])
+        assert abs(bits + float((p * np.log2(p)).sum())) < 1e-9
+
+
+def test_entropy_finds_keys_and_leaves_the_allow_list():
+    scanner = secret_scan.EntropyScanner(secret_scan.EntropyRules())
+    assert scanner.spans("key q8Zr2LmX7vTb4KpW9sYd3HgN end")
+    for clean in ("Donaudampfschifffahrtsgesellschaft", "a-very-long-slug-of-many-words-here", "123e4567-e89b-12d3-a456-426614174000", "=" * 60, "2024-01-01/2024-12-31/2025-01-01", "aaaaaaaaaaaaaaaaaaaaaaaa1"):
+        assert not scanner.spans(clean), clean
+
+
+def test_secret_scan_of_odd_rows(spark, odd, none):
+    assert secret_scan.scan_secrets(odd).count() == len(ROWS) and secret_scan.scan_secrets(none).count() == 0
+    df = spark.createDataFrame([(1, "a token = abcdefgh12 b", "k"), (2, None, None)], "doc_id long, text string, spans string")
+    assert [(r.text, r.spans) for r in secret_scan.redact_secrets(df).orderBy("doc_id").collect()] == [("a [SECRET] b", "k"), (None, None)]
+
+
+# 2: personal data
+
+
+def brute_personal(text):
+    out = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append(f"card:{m.start()}:{m.end()}")
+    return out + [f"phone:{m.start()}:{m.end()}" for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+@settings(max_examples=400)
+@given(st.lists(st.sampled_from(["a@b.c", "@", ".", "x_y", "+1 (017) 555-7713", "4111111111111111", "4111 1111-1111 1111", "10.0.0.1", "256", "0000255.1.1.1", " ", "-", "5", "٣", "é"]), max_size=9).map("".join))
+def test_base_personal_data(text):
+    assert [f"{k}:{s}:{e}" for k, s, e in pii_crf.base_spans(text)] == brute_personal(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 50_000, "1." * 100_000, "+" * 200_000):
+        pii_crf.base_spans(text)
+        pii_crf.graph_of(text)
+        secret_scan.base_spans(text)
+
+
+def test_belief_propagation_is_exact_without_loops():
+    rng = np.random.default_rng(2)
+    k = len(pii_crf.LABELS)
+    model = pii_crf.FieldModel(rng.normal(size=(pii_crf.BUCKETS, k)), rng.normal(size=(k, k)), np.zeros((k, k)))
+    model.skips = (s := rng.normal(size=(k, k))) + s.T
+    features, chain, skips = np.array([[1, 2], [3, 4], [5, 6], [7, 8]]), np.array([[0, 1], [1, 2]]), np.array([[0, 3]])
+    p = pii_crf.marginals(model, features, chain, skips, damping=0.0)
+    own = model.unary[features].sum(1)
+    joint = np.zeros((k,) * 4)
+    for y in np.ndindex(*joint.shape):
+        joint[y] = np.exp(sum(own[i, y[i]] for i in range(4)) + model.chain[y[0], y[1]] + model.chain[y[1], y[2]] + model.skips[y[0], y[3]])
+    joint /= joint.sum()
+    for i in range(4):
+        assert np.allclose(p[i], joint.sum(tuple(j for j in range(4) if j != i)), atol=1e-3)
+
+
+def test_skip_edges_carry_a_label_to_its_repeat(spark, odd, none):
+    rows = [(i, f"Please call +1 ({100 + i}) 555-{1000 + i} today, or write {i * 37} letters in {1900 + i}; {i}{i + 1} more.", i) for i in range(1, 120)]
+    model = pii_crf.train(spark.createDataFrame(rows, "doc_id long, text string, spans int"))
+    assert model.skips[4, 4] >= model.skips[4, 0]
+    text = "Please call +1 (217) 555-7713 today. Much later, and far away, somebody wrote of 555-7713 again"
+    strong = pii_crf.FieldModel(model.unary, model.chain, 6 * np.eye(5))
+    (base, spans), = pii_crf.find_spans([text], strong, 0.6)
+    assert base == [("phone", 12, 29)] and ("phone", text.rindex("555"), text.rindex("555") + 8) in spans
+    assert pii_crf.find_personal_data(odd, model).count() == len(ROWS)
+    assert pii_crf.find_personal_data(none, pii_crf.train(none)).count() == 0
+
+
+# 3: media
+
+
+def png(width=3, height=2):
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0abc" * height)) + chunk(b"IEND", b"")
+
+
+def archive():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "hello")
+    return out.getvalue()
+
+
+MEDIA = {
+    "image/png": png(),
+    "image/gif": b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\0;",
+    "image/jpeg": b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03x" + b"12\xff\x0034" + b"\xff\xd9",
+    "image/bmp": b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"abcd",
+    "application/pdf": b"%PDF-1.4\nbody\nstartxref\n5\n%%EOF",
+    "application/zip": archive(),
+    "application/gzip": zlib.compress(b"hello", wbits=31),
+    "audio/wav": media_sniff.to_wav(b"abc"),
+    "audio/ogg": b"OggS\0\x04" + b"\0" * 20 + b"\x01\x03abc",
+}
+
+
+@pytest.mark.parametrize("kind", list(MEDIA))
+def test_media_are_confirmed_carved_and_rejected(kind):
+    words = media_sniff.automaton()
+    data = MEDIA[kind]
+    assert media_sniff.media_inside(data, words) == (kind, [])
+    assert media_sniff.sniff(b"junk BM RIFF " + data + b" tail", words) == [(13, len(data), kind)]
+    assert media_sniff.sniff(data[:-1], words) == []
+
+
+def test_sniffing_corrects_types(spark, none):
+    df = spark.createDataFrame([(1, bytearray(png()), "image/jpeg"), (2, None, None), (3, bytearray(b"text"), "text/plain"), (4, bytearray(media_sniff.to_wav(png() + b"\0" * 7)), "audio/wav")], "id long, data binary, actual string")
+    got = {r.id: r for r in media_sniff.sniff_media(df, "id", "data", "actual").collect()}
+    assert (got[1].actual, got[1].corrected, got[2].actual, got[3].corrected) == ("image/png", True, None, False)
+    assert [(c.offset, c.type) for c in got[4].carved] == [(44, "image/png")] and not got[4].corrected
+
+
+def test_texts_survive_storage(odd, none):
+    got = {(r.doc_id, r.n_bytes): r for r in media_sniff.read_stored(media_sniff.store_texts(odd)).collect()}
+    for i, text, *_ in ROWS:
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = got[i, len(raw)]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(media_sniff.to_wav(payload)).hexdigest())
+    assert media_sniff.read_stored(media_sniff.store_texts(none)).count() == 0
+
+
+# 6: URLs
+
+URLS = ["http://Example.COM/en/x", "https://www.example.com/en/", "http://a.www.example.com/en/1?u=http://b.net/es/", "http://x.net/es/1", "http://net/fr/", "http://xnet/fr/", "http://example.com", "http://example.com?/en/", "http://example.com/fr/#/en/", "no scheme", "", None, "a://b://c/d", "http://É.com/é", "http://user@host.com:80/p", "http://com/"]
+
+
+def brute_url(url):
+    host, path = url_filter.split_url(url)
+    hits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(hits, key=lambda x: len(x[0]), default=(None, "allow")))
+
+
+def test_urls(spark):
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(URLS)] + [(0, URLS[0], "c"), (None, None, None)], "page_id long, url string, rule string")
+    got = url_filter.judge_urls(df).collect()
+    assert len(got) == len(URLS) + 2
+    assert all((r.host, r.path, r.rule, r.verdict) == brute_url(URLS[r.page_id]) for r in got if r.page_id is not None)
+    rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
+    assert {tuple(r) for r in url_filter.judge_by_join(df, rules).collect()} == {tuple(r) for r in got}
+    assert url_filter.judge_urls(df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(df, max_bytes=10)
+
+
+def test_collisions_are_told_apart(monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s) % 3)
+    table = url_filter.RuleTable.map(url_filter.RuleTable.build([(f"h{i}.org", "/", "block") for i in range(50)]).pack())
+    found = table.find([f"h{i}.org\0/".encode() for i in (3, 49, 77)])
+    assert [table.rule(int(j))[0] for j in found[:2]] == ["h3.org/", "h49.org/"] and found[2] == -1
+
+
+# 7: languages
+
+SYLLABLES = {"aa": ["the", "of", "ing", "and"], "bb": ["der", "sch", "ein", "ung"], "cc": ["le", "que", "eau", "oi"]}
+
+
+def language_rows(n, seed):
+    rng = random.Random(seed)
+    pick = lambda lang: " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(30))
+    return [(i, pick(lang), lang) for i, lang in ((i, rng.choice(list(SYLLABLES))) for i in range(n))]
+
+
+def test_languages(spark, odd, none):
+    docs = spark.createDataFrame(language_rows(300, 1), "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    fresh = language_rows(60, 2)
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(fresh, docs.schema), model).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in fresh) >= 58 and all(0 <= r.score <= 1 for r in got.values())
+    extra = spark.createDataFrame([(1, None), (2, "123 ½ !?"), (3, "é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.identify(extra, model).orderBy("doc_id").collect()] == [True, True, False]
+    assert language_id.identify(odd, model).count() == len(ROWS)
+    untrained = language_id.train(none.withColumn("lang", F.lit("x")))
+    assert {r.lang_pred for r in language_id.identify(odd, untrained).collect()} == {"und"}
+
+
+def test_word_sums_equal_the_mean_of_embeddings():
+    rng = np.random.default_rng(0)
+    model = language_id.LanguageModel(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.array([0.1, 0.2]))
+    at, counts = language_id.bucket_counts("Some words, some more words")
+    want = np.array(counts) @ model.table[at] / sum(counts) + model.bias
+    for most in (300_000, 1):
+        assert np.allclose(language_id.WordSums(model, most).logits(language_id.words_of("Some words, some more words")), want)
+
+
+# 1: quality
+
+
+def quality_rows(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(20, 80))]
+        kind = rng.randrange(3)
+        if kind == 0:
+            words = [w.upper() + "!!" for w in words]
+        elif kind == 1:
+            words[5] = "vilest"
+        out.append((i, " ".join(words), kind))
+    return out
+
+
+def test_ordinal_quality(spark, odd, none):
+    rows = quality_rows(400, 1)
+    docs = spark.createDataFrame([(i, t, "c") for i, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(k > 0), int(k == 1)) for i, _, k in rows] + [(1, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = ordinal_quality.train(docs, labels)
+    assert model.thresholds[0] < model.thresholds[1]
+    fresh = quality_rows(150, 2)
+    got = {r.doc_id: r for r in ordinal_quality.grade_documents(spark.createDataFrame([x[:2] for x in fresh], "doc_id long, text string"), model).collect()}
+    assert sum(got[i].kept == (k == 2) for i, _, k in fresh) >= 146
+    mean = lambda k: np.mean([got[i].expected_grade for i, _, g in fresh if g == k])
+    assert mean(0) < mean(1) < mean(2)
+    kept = ordinal_quality.keep_good(docs, model)
+    want = {r.doc_id for r in ordinal_quality.grade_documents(docs, model).where("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
+    assert ordinal_quality.grade_documents(odd, model).count() == len(ROWS)
+    assert ordinal_quality.grade_documents(none, ordinal_quality.train(none, labels)).count() == 0
+
+
+# 9: packing
+
+
+def check_packing(pieces, most=2048):
+    df = pieces.sort_values(["sequence_id", "offset"])
+    g = df.groupby("sequence_id")
+    assert ((g["length"].cumsum() - df["length"]) == df["offset"]).all() and g["length"].sum().max() <= most
+
+
+@pytest.mark.parametrize("options", [{}, {"leaf_items": 40, "fan": 2}, {"leaf_items": 40, "fan": 2, "pass_on": 3}])
+def test_packing_is_whole_and_tight(spark, options):
+    rng = random.Random(9)
+    sizes = [rng.choice([rng.randrange(1, 2049), rng.randrange(1, 200), 2048]) for _ in range(1000)]
+    df = spark.createDataFrame([(i % 900, n) for i, n in enumerate(sizes)], "doc_id long, length long")
+    got = packing.pack(df, **options).toPandas()
+    assert sorted(got["length"]) == sorted(sizes)
+    check_packing(got)
+    assert got["sequence_id"].nunique() <= 1.03 * -(-sum(sizes) // 2048) + 1
+
+
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit(sizes):
+    bins, places, fills = packing.best_fit(np.array(sizes, int), 64)
+    if sizes:
+        check_packing(pd.DataFrame({"sequence_id": bins, "offset": places, "length": sizes}), 64)
+        assert sum(f <= 32 for f in fills) <= 1  # two half-empty bins would have been one
+
+
+def test_packed_documents_are_those_of_the_public_tokenizer(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    got = packing.pack_documents(odd, path, pattern).toPandas()
+    check_packing(got)
+    ids = {text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4") for _, text, *_ in ROWS}
+    want = sorted((n, zlib.crc32(ids[text][s : s + n].tobytes()), s, p) for _, text, *_ in ROWS for p, (s, n) in enumerate(packing.cut(len(ids[text]))))
+    assert sorted(zip(got["length"], got["ids_crc32"], got["start"], got["piece"], strict=True)) == want
+    assert packing.pack_documents(none, path, pattern).count() == 0
+
+
+@settings(max_examples=150)
+@given(st.text(alphabet=" \n\t\x1c\x85\u3000ab1'.é日😀s", max_size=40))
+def test_memo_of_ids(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = test_memo_of_ids.__dict__.setdefault("t", Tokenizer.from_file(path))
+    memo = test_memo_of_ids.__dict__.setdefault("m", packing.IdBytes(packing.encoding(path, public_tokenizers.PATTERN).encode_ordinary, 50))
+    assert np.frombuffer(memo.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# 10: BPE
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import tiktoken
+
+    own = bpe_codec.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return own, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=" \n\tab1'.é日😀s", max_size=60), st.lists(st.sampled_from(["th", "e", "ing", "ation", "  ", "X", "日本", "aa", "'s"]), max_size=30).map("".join)))
+def test_encoding_is_the_public_librarys(vocabulary, text):
+    own, public = vocabulary
+    text = text.encode("utf-8", "replace").decode()
+    ids = own.encode(text)
+    assert ids == public.encode_ordinary(text)
+    for block in (1, 2, 4096):
+        assert "".join(own.decode(ids, block)) == text
+
+
+def test_long_words_and_small_caches(vocabulary):
+    own, public = vocabulary
+    small = bpe_codec.Transducer(own.ranks, most=20)
+    for text in ("the" * 4000, "a" * 5000, "!?" * 700, "".join(random.Random(1).choice("abcdefgh") for _ in range(3000))):
+        assert own.encode(text) == public.encode_ordinary(text)
+        assert small.encode(text.encode()) == own.transducer.encode(text.encode())
+
+
+@given(st.binary(max_size=40), st.integers(1, 5))
+def test_streaming_utf8(data, n):
+    stream = bpe_codec.Utf8Stream()
+    text = "".join(stream.feed(data[i : i + n]) for i in range(0, len(data), n)) + stream.close()
+    try:
+        assert text == data.decode()
+    except UnicodeDecodeError:
+        assert "\ufffd" in text
+
+
+def test_codec_tables(odd, none):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe_codec.bpe_encode(odd, path, pattern)
+    back = bpe_codec.bpe_decode(encoded, path, pattern)
+    assert sorted((r.doc_id or -1, r.text) for r in back.collect()) == sorted((r[0] or -1, r[1] or "") for r in ROWS)
+    digests = {(r.doc_id, r.decoded_sha256) for r in bpe_codec.bpe_round_trip(odd, path, pattern).collect()}
+    assert digests == {(r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in ROWS}
+    assert bpe_codec.bpe_round_trip(none, path, pattern).count() == 0
