@@ -5,15 +5,13 @@ joined to the beginning of its path in every length that some rule has. The keys
 binary search over the sorted array of the rules' keys; a hit counts only if the string stored
 beside the key equals the probe. Of the hits of a url the longest rule wins.
 
-The table is built once on the driver from the rules, checked against ``max_bytes``, and broadcast; each worker writes it to its
-own temporary folder and maps it, so the workers of a host page it in on demand and share nothing but the operating system's cache.
+The table is built once on the driver from the rules, checked against ``max_bytes``, and broadcast; each worker maps it from a nameless
+file of its own, so it is paged in on demand, no other process needs the file, and nothing stays behind when a worker is lost.
 Rule sets beyond the bound go through :func:`judge_by_join` instead, where Spark joins probes and rules by their strings.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
 import re
 import tempfile
 from collections.abc import Iterable
@@ -61,13 +59,11 @@ class RuleTable:
 
     @staticmethod
     def map(packed: bytes) -> RuleTable:
-        """Write ``packed`` to the worker's temporary folder, once for each content, and map it."""
-        path = os.path.join(tempfile.gettempdir(), f"rules-{hashlib.sha256(packed).hexdigest()[:24]}-{os.getpid()}.bin")
-        if not os.path.exists(path):
-            with open(path + ".new", "wb") as f:
-                f.write(packed)
-            os.replace(path + ".new", path)
-        whole = np.memmap(path, np.uint8, "r")
+        """Map ``packed`` from a nameless file: it has no path that another process could come to rely on, and it goes with its worker."""
+        with tempfile.TemporaryFile() as f:
+            f.write(packed)
+            f.flush()
+            whole = np.memmap(f, np.uint8, "r", shape=(len(packed),))
         n, size, k = whole[:24].view(np.int64)
         at = 24 + 8 * int(k)
         lengths = whole[24:at].view(np.int64).tolist()
@@ -153,9 +149,9 @@ def judge_by_join(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     probes = pages.where("host != ''").distinct().withColumn("rule_host", F.explode(suffixes)).withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).where("n <= length(path)").withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
     named = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict"))
     best = F.max(F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")).alias("best")
-    hits = probes.join(named, ["rule_host", "rule_path"]).groupBy("page_id", "host", "path").agg(best)
-    key = [pages["page_id"].eqNullSafe(hits["page_id"]), pages["host"] == hits["host"], pages["path"] == hits["path"]]
-    return pages.join(hits, key, "left").select(pages["page_id"], pages["host"], pages["path"], F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    hits = probes.join(named, ["rule_host", "rule_path"]).groupBy(*(F.col(c).alias(f"hit_{c}") for c in ("page_id", "host", "path"))).agg(best)
+    key = F.col("page_id").eqNullSafe(F.col("hit_page_id")) & (F.col("host") == F.col("hit_host")) & (F.col("path") == F.col("hit_path"))
+    return pages.join(hits, key, "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from tenderlake.llm import bpe_codec, components, exact_dedup, language_id, media_sniff, ordinal_quality, packing, pii_crf, secret_scan, simhash, url_filter
 
+# First calls load vocabularies and compile patterns; times aren't what these tests are about.
+settings.register_profile("untimed", deadline=None)
+settings.load_profile("untimed")
+
 #: Null ids and texts, blanks, repeats of a row, ties, one very long text; and columns whose names clash with those of results.
 ROWS = [
     (1, "Some words are here", "x", 1), (2, "Some  words are\there", "x", 2), (2, "Some  words are\there", "x", 2), (3, None, None, None),
@@ -116,18 +120,18 @@ def test_near_groups_lose_no_link(spark, bucket):
 
 @pytest.mark.parametrize("bucket", [4096, 3])
 def test_wide_fingerprints(spark, bucket):
-    rng = random.Random(4)
+    rng, n = random.Random(4), 40
     base = [rng.getrandbits(256) for _ in range(3)]
     prints = []
-    for _ in range(120):
+    for _ in range(n):
         x = rng.choice(base)
         for b in rng.sample(range(256), rng.randrange(12)):
             x ^= 1 << b
         prints.append(x)
     lanes = lambda x: [int(np.uint64(x >> 64 * i & (1 << 64) - 1).astype(np.int64)) for i in range(4)]
-    edges = [(i, j) for i in range(120) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 23]
+    edges = [(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 23]
     got = simhash.near_groups(spark.createDataFrame([(i, lanes(x)) for i, x in enumerate(prints)], "doc_id long, fp array<long>"), 23, 4, bucket)
-    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand(edges, range(120))
+    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand(edges, range(n))
 
 
 def test_near_copies_go_and_others_stay(spark, odd, none):
