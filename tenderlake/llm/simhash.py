@@ -5,6 +5,7 @@ in some segment they differ in two at most, and some value lies within one bit o
 around each of its segments (33 values) and is filed in the table under each; fingerprints that meet in an entry are compared in full.
 
 * Only distinct fingerprints take part, so copies cost one row.
+* The table's rows are keys and numbers alone. A wide fingerprint is fetched by its number afterwards, and only for entries with company.
 * An entry with up to ``bucket`` fingerprints is compared inside one task. It gives not its pairs but a spanning forest of its links: at most one edge a row.
 * Larger entries (dense families of near copies) go another way, also whole. For one lane and a distance of up to four,
   each of their fingerprints is filed under every value within two bits of it (2,081). Fingerprints filed together differ by four bits at most, and any two
@@ -114,14 +115,41 @@ def forest(rows: np.ndarray, most: int, block: int = 1024) -> list[tuple[int, in
     return edges
 
 
+ENTRIES = arrow_fields(key="long", no="long")
+
+
+def shared_entries(filed: DataFrame) -> DataFrame:
+    """From rows (key, no) sorted by key within their partition, those that aren't alone under their key. Rows are read as a stream; one is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int] | None = None  # the last row so far, unless it has been passed on
+        last = None
+        for batch in batches:
+            keys, nos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(keys):
+                continue
+            same = keys[1:] == keys[:-1]
+            shared = np.append(keys[0] == last, same) | np.append(same, False)
+            if held is not None and held[0] == keys[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], schema=ENTRIES)
+            last = keys[-1]
+            held = None if shared[-1] else (int(keys[-1]), int(nos[-1]))
+            if shared.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[shared]), pa.array(nos[shared])], schema=ENTRIES)
+
+    return map_batches(filed, ENTRIES, run)
+
+
 LINKS = arrow_fields(a="long", b="long", bucket="long", member="long")
 
 
 def bucket_links(filed: DataFrame, most: int, lanes: int, bucket: int) -> DataFrame:
-    """From rows (key, no, fp) sorted by key within their partition: links (a, b) of small buckets; (bucket, member) for large ones.
+    """From rows (key, no, lanes) sorted by key within their partition: links (a, b) of small buckets; (bucket, member) for large ones.
 
+    A fingerprint of one lane is its own number, and its rows are (key, no).
     Rows are read as a stream; no more than one small bucket is held.
     """
+    lane_columns = range(2, 2 + lanes) if lanes > 1 else (1,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, size = None, 0
@@ -149,7 +177,7 @@ def bucket_links(filed: DataFrame, most: int, lanes: int, bucket: int) -> DataFr
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             nos = batch.column(1).to_numpy(zero_copy_only=False)
-            fps = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(lanes)], 1).view(np.uint64)
+            fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in lane_columns], 1).view(np.uint64)
             starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
             # A row whose key is its own needs no work, unless it stands at an end of the batch.
             lengths = np.diff(starts)
@@ -213,8 +241,12 @@ def near_groups(prints: DataFrame, most: int = 4, lanes: int = 1, bucket: int =
     masks = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i).cast("bigint") for i in range(32)))
     halves = F.array(*(F.struct(F.lit(2 * i + h).alias("segment"), (F.shiftrightunsigned(x, 32) if h else F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))).alias("value")) for i, x in enumerate(lane) for h in (0, 1)))
     # 32 bits of value below the number of the segment: one 64-bit key.
-    filed = distinct.select("no", *lane, F.explode(halves).alias("s")).select("no", *lane, F.shiftleft(F.col("s.segment").cast("bigint"), 32).alias("base"), F.col("s.value").alias("value"), F.explode(masks).alias("mask")).select((F.col("base") + F.col("value").bitwiseXOR(F.col("mask"))).alias("key"), "no", *lane)
+    segments = distinct.select("no", F.explode(halves).alias("s")).select("no", F.shiftleft(F.col("s.segment").cast("bigint"), 32).alias("base"), F.col("s.value").alias("value"))
+    filed = segments.select("no", "base", "value", F.explode(masks).alias("mask")).select((F.col("base") + F.col("value").bitwiseXOR(F.col("mask"))).alias("key"), "no")
     filed = filed.repartition("key").sortWithinPartitions("key")
+    if lanes > 1:
+        met = materialize(shared_entries(filed), "simhash-entries")
+        filed = met.join(distinct.select("no", *lane), "no").select("key", "no", *lane).repartition("key").sortWithinPartitions("key")
     found = materialize(bucket_links(filed, most, lanes, bucket), "simhash-links")
     links = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
     large = found.where(F.col("member").isNotNull())
