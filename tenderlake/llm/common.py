@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE = 256
+#: Of the hashes of shingles.
+SEED = 42
 
 
 def text_of(column: str) -> Column:
@@ -23,6 +26,19 @@ def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def shingles(text: str, words: int) -> list[bytes]:
+    """Each ``words`` words in a row, repeats included; of fewer words the whole; of none, nothing."""
+    # Of bytes, lower() and split() know ASCII only: A-Z, and the blanks from tab to carriage return and the space.
+    parts = text.encode().lower().split()
+    if not parts:
+        return []
+    line = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    k = min(words, len(parts))
+    return [line[a:b] for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+
+
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 

@@ -27,29 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import SLICE, arrow_fields, map_batches, text_of, without_ids
+from tenderlake.llm.common import SEED, SLICE, arrow_fields, map_batches, shingles, text_of, without_ids
 from tenderlake.llm.components import connected_components
+from tenderlake.llm.similar_sets import similar_groups
 from tenderlake.sources.tables import load_table, materialize
 
-SEED = 42
 #: Odd constants that turn one 64-bit hash into further lanes (any odd numbers with well mixed bits serve).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SPREAD = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def shingles(text: str, words: int) -> list[bytes]:
-    """Each ``words`` words in a row, repeats included; of fewer words the whole; of none, nothing."""
-    # Of bytes, lower() and split() know ASCII only: A-Z, and the blanks from tab to carriage return and the space.
-    parts = text.encode().lower().split()
-    if not parts:
-        return []
-    line = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    k = min(words, len(parts))
-    return [line[a:b] for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-
-
 def lanes_of(hashes: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
     yield hashes
     for i in range(lanes - 1):
@@ -265,14 +252,13 @@ def near_groups(prints: DataFrame, most: int = 4, lanes: int = 1, bucket: int =
     return prints.withColumn("no", number).join(table, "no").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 4, most: int = 38, bucket: int = 4096) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``df`` without those that near-repeat another: of each group the row with the smallest id stays.
 
-    Five-word shingles; 256 bits. Two documents whose shingle sets have a Jaccard similarity of 0.8 (a cosine of 0.89) differ in 38 of 256
-    bits on average, which is the threshold. Two that differ in 23 or fewer are certain to meet in the index; beyond that most do, in one of eight
-    tables. Rows with a null id stay, as nothing can name them; rows that repeat an id stay or go together. All columns are returned.
+    Near copies are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints only estimate that, so it is
+    found by the sets themselves. Rows with a null id stay, as nothing can name them; rows that repeat an id stay or go together. All columns are returned.
     """
-    groups = near_groups(fingerprints(df, id_col, text_col, words, lanes), most, lanes, bucket)
+    groups = similar_groups(df, id_col, text_col, words)
     gone = materialize(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
     return without_ids(df, id_col, gone)
 

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe_codec, components, exact_dedup, language_id, media_sniff, ordinal_quality, packing, pii_crf, secret_scan, simhash, url_filter
+from tenderlake.llm import bpe_codec, components, exact_dedup, language_id, media_sniff, ordinal_quality, packing, pii_crf, secret_scan, simhash, similar_sets, url_filter
 
 # First calls load vocabularies and compile patterns; times aren't what these tests are about.
 settings.register_profile("untimed", deadline=None)
@@ -147,6 +147,40 @@ def test_near_copies_go_and_others_stay(spark, odd, none):
     assert left.where("doc_id IN (1, 2, 6, 7)").count() == 2 and left.where("doc_id IS NULL").count() == 2
 
 
+def graded_texts():
+    """Copies of a few texts with more and more words replaced: similarities all around 0.8; passages that many share; very short texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(40)]
+    texts = ["", " ", "one", "One", "two words"]
+    for i in range(12):
+        base = [word() for _ in range(rng.choice([9, 60, 200, 400]))] + (shared if i % 3 else [])
+        for _ in range(10):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(1 + len(base) // 25)):
+                copy[at] = word()
+            texts.append(" ".join(copy[: rng.choice([len(copy), len(copy) - len(copy) // 8])]))
+    return texts + texts[:30]
+
+
+@pytest.mark.parametrize("common", [True, False])
+def test_near_copies_are_all_pairs_of_similarity_80(spark, common, monkeypatch):
+    if not common:  # the order is free: without known items the same must come out
+        monkeypatch.setattr(similar_sets, "common_items", lambda sets: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    texts = graded_texts()
+    brute = []
+    for t in texts:
+        w = t.lower().split()
+        brute.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if alike(brute[i], brute[j])]
+    got = similar_sets.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = components_by_hand(edges, range(len(texts)))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
