@@ -432,6 +432,19 @@ def match_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.match_alerts(topics, interests)
 
 
+@query("""
+SELECT DISTINCT c_custkey AS entreprise_id, l_orderkey AS publication_id FROM customer
+JOIN (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1) i ON o_custkey = c_custkey
+JOIN lineitem USING (l_suppkey) WHERE l_linenumber = 2
+""")
+def match_alerts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches of all companies and all publications."""
+    lines, orders = load_table(spark, sf, "lineitem"), load_table(spark, sf, "orders")
+    interests = lines.where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("entreprise_id"), F.col("l_suppkey").alias("domaine_id"))
+    topics = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("publication_id"), F.col("l_suppkey").alias("domaine_id"))
+    return alerts.match_alerts(topics, interests)
+
+
 # What the built-in operators offer beside, on the same tables.
 
 

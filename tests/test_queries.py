@@ -35,6 +35,22 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.astype(object)) == rows(want.astype(object))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_alerts_of_all_companies_and_publications(spark):
+    """By brute force, without any thinning of either side."""
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_suppkey", "l_linenumber"])
+    company = dict(pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey", "o_custkey"]).itertuples(index=False))
+    followers, want = {}, set()
+    for order, supplier, _ in lines[lines.l_linenumber == 1].itertuples(index=False):
+        if order in company:
+            followers.setdefault(supplier, set()).add(company[order])
+    for order, supplier, _ in lines[lines.l_linenumber == 2].itertuples(index=False):
+        want |= {(c, order) for c in followers.get(supplier, ())}
+    got = [(r.entreprise_id, r.publication_id) for r in QUERIES["match_alerts_whole"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(c % 10 and p % 10 for c, p in got)
+
+
 def test_entry_has_rows_and_sql_for_each_query(spark):
     import __spark_entry__ as entry
 
