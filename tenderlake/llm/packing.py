@@ -3,10 +3,10 @@
 1. Each task encodes its documents and cuts the long ones; only sizes, places and check sums leave it, written once to the shared folder.
 2. Pieces of full length are sequences of their own. The others are dealt by a hash to leaves of about ``leaf_items`` pieces, and
    each leaf packs its own by best fit, largest first. Nearly full bins are done.
-3. The underfull bins of ``fan`` neighbouring leaves meet as items of their fill and are packed by best fit again; what
-   is nearly full then, or can't take even the smallest piece, is done, and the rest goes up, until one node is left. A node passes on at most
-   ``pass_on`` bins, the emptiest; the fuller ones beyond are closed as they are, which costs room but drops nothing,
-   and so no node ever gets more than ``fan * pass_on`` bins.
+3. The underfull bins of ``fan`` neighbouring leaves meet as items of their fill and are packed by best fit again, and so on up the tree. Before each round the
+   bins that have no room for even the smallest open one are done: none of them could be joined with any other.
+   Where more than ``leaf_items`` bins would meet in a node, they are dealt anew to as many nodes as it takes, so no task grows with the input; those
+   rounds go on, with another deal each time, until one node holds all that is open or a round joins nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,7 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The vocabulary of a ``tokenizers`` file whose ids follow the order of its merges; special tokens' strings are ordinary text."""
+    """The vocabulary of a ``tokenizers`` file whose ids follow the order of its merges, without its added tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     letters = byte_letters()
@@ -57,11 +57,26 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class IdBytes:
-    """The ids of texts as little-endian 32-bit words. Stretches from space to space are remembered, up to ``most``; then all are forgotten."""
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The file's added tokens: strings that are one id wherever a text holds them, and part the text like its ends do."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: an added token takes in what stands around it")
+    return {t["content"]: t["id"] for t in tokens}
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 400_000) -> None:
-        self.encode, self.most, self.known = encode, most, {}
+
+class IdBytes:
+    """The ids of texts as little-endian 32-bit words. Stretches from space to space are remembered in two generations of up to ``most``: what is
+    met again moves to the young one, and when that is full the old one goes."""
+
+    def __init__(self, encode: Callable[[str], list[int]], added: dict[str, int] | None = None, most: int = 120_000) -> None:
+        self.encode, self.most = encode, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.added = {word: array("I", (i,)).tobytes() for word, i in (added or {}).items()}
+        self.borders = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         (self.newline,) = encode("\n")
 
     def _ids(self, text: str) -> bytes:
@@ -83,20 +98,30 @@ class IdBytes:
         for word in words:
             if word not in new:
                 new[word] = self._ids(" " + word)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-        self.known.update((w, x) for w, x in new.items() if len(w) < 64)
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        self.young.update((w, x) for w, x in new.items() if len(w) < 64)
         return new
 
     def of(self, text: str) -> bytes:
-        """The ids of ``text``. A space after other than white space always begins a token, so the text is cut at those."""
+        """The ids of ``text``. Added tokens part it."""
+        out, at = [], 0
+        for m in self.borders.finditer(text):
+            out += [self._stretch(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._stretch(text[at:])]) if out else self._stretch(text)
+
+    def _stretch(self, text: str) -> bytes:
+        """A space after other than white space always begins a token, so the text is cut at those."""
         first, *rest = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
         if not first and rest:  # the text begins with a space
             first, rest = " " + rest[0], rest[1:]
-        out = list(map(self.known.get, rest))
+        out = list(map(self.young.get, rest))
         if None in out:
             missing = [i for i, ids in enumerate(out) if ids is None]
-            new = self._learn([rest[i] for i in missing])
+            old = {w: ids for i in missing if (ids := self.old.get(w := rest[i])) is not None}
+            self.young.update(old)
+            new = old | self._learn([rest[i] for i in missing if rest[i] not in old])
             for i in missing:
                 out[i] = new[rest[i]]
         return self._ids(first) + b"".join(out)
@@ -113,7 +138,7 @@ def token_pieces(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """Per piece: doc_id, piece, start, length and the CRC-32 of its ids. A null text counts as empty and has one piece, the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = IdBytes(encoding(path, pattern).encode_ordinary)
+        memo = IdBytes(encoding(path, pattern).encode_ordinary, added_tokens(path))
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
@@ -155,17 +180,16 @@ def best_fit(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.n
     return bins, places, np.array(fills, np.int64)
 
 
-def pack(pieces: DataFrame, most: int = SEQUENCE, leaf_items: int = 32768, fan: int = 16, pass_on: int = 4096, slack: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, most: int = SEQUENCE, leaf_items: int = 32768, fan: int = 16, slack: int = 4) -> DataFrame:
     """``pieces`` (with a column ``length`` from 1 to ``most``) and for each its ``sequence_id`` and ``offset``.
 
-    A bin with at most ``slack`` free tokens is nearly full. Lengths may tie and rows may repeat: each row is packed by itself.
+    A bin with at most ``slack`` free tokens is nearly full. Lengths may tie and rows may repeat: each row is packed by itself; an empty table gives an
+    empty result. No task gets more than about ``leaf_items`` items, whatever the size. Jobs run while the result is built.
     """
     columns = pieces.columns
     pieces = materialize(pieces.withColumn("row_id", F.monotonically_increasing_id()), "pack-pieces")
     short = pieces.where(F.col("length") < most)
-    n, least = short.agg(F.count("*"), F.min("length")).first()
-    closed_at = most - max(slack, (least or 1) - 1)
-    leaves = max(1, -(-n // leaf_items))
+    leaves = max(1, -(-short.count() // leaf_items))
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def leaf(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
@@ -180,28 +204,36 @@ def pack(pieces: DataFrame, most: int = SEQUENCE, leaf_items: int = 32768, fan:
         heads = units.drop_duplicates("unit").reset_index(drop=True)
         bins, places, fills = best_fit(heads["fill"].to_numpy(), most)
         names = heads["unit"].to_numpy()[np.unique(bins, return_index=True)[1]]
-        order = np.argsort(fills, kind="stable")
-        is_open = np.zeros(len(fills), bool)
-        is_open[order[:pass_on]] = True
-        is_open &= fills < closed_at
         at = pd.Index(heads["unit"]).get_indexer(units["unit"])
         b = bins[at]
-        return units.assign(unit=names[b], base=units["base"].to_numpy() + places[at], fill=fills[b], open=is_open[b])
+        return units.assign(unit=names[b], base=units["base"].to_numpy() + places[at], fill=fills[b])
 
-    level = "node bigint, bin bigint, unit bigint, fill bigint, base bigint, open boolean"
-    moved = packed.where((F.col("offset") == 0) & (F.col("fill") < closed_at)).select((F.shiftright("bin", 32)).alias("node"), "bin", F.col("bin").alias("unit"), "fill", F.lit(0).cast("bigint").alias("base"), F.lit(True).alias("open"))
+    level = "node bigint, bin bigint, unit bigint, fill bigint, base bigint"
+    moved = packed.where((F.col("offset") == 0) & (F.col("fill") < most - slack)).select(F.shiftright("bin", 32).alias("node"), "bin", F.col("bin").alias("unit"), "fill", F.lit(0).cast("bigint").alias("base"))
+    size = F.count_distinct("unit")
+    units, least = moved.agg(size, F.min("fill")).first()
     done = []
-    nodes = leaves
-    while nodes > 1:
+    nodes, turn = leaves, 0
+    while nodes > 1 and units:
+        turn += 1
+        room = F.col("fill") <= min(most - slack - 1, most - least)
+        if turn > 1:
+            done.append(moved.where(~room))
+        here = moved.where(room)
+        before, needed = here.agg(size, F.ceil(size / leaf_items)).first()
         nodes = -(-nodes // fan)
-        here = moved.where("open").withColumn("node", F.floor(F.col("node") / fan))
+        if needed <= nodes:
+            here = here.withColumn("node", F.floor(F.col("node") / fan))
+        else:
+            nodes = needed
+            here = here.withColumn("node", F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(nodes)))
         moved = materialize(here.groupBy("node").applyInPandas(node, level), "pack-level")
-        done.append(moved if nodes == 1 else moved.where("not open"))
+        units, least = moved.agg(size, F.min("fill")).first()
+        if units == before and nodes == needed:
+            break
     out = packed.select(*columns, F.col("bin"), "offset")
-    if done:
-        places = done[0]
-        for x in done[1:]:
-            places = places.unionByName(x)
+    if turn:
+        places = reduce(DataFrame.unionByName, [*done, moved])
         out = out.join(places.select("bin", "unit", "base"), "bin", "left").select(*columns, F.coalesce("unit", "bin").alias("bin"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
     full = pieces.where(F.col("length") == most).select(*columns, (-F.col("row_id") - 1).alias("bin"), F.lit(0).cast("bigint").alias("offset"))
     return out.unionByName(full).select(*columns, F.col("bin").alias("sequence_id"), "offset")

@@ -444,7 +444,7 @@ def check_packing(pieces, most=2048):
     assert ((g["length"].cumsum() - df["length"]) == df["offset"]).all() and g["length"].sum().max() <= most
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf_items": 40, "fan": 2}, {"leaf_items": 40, "fan": 2, "pass_on": 3}])
+@pytest.mark.parametrize("options", [{}, {"leaf_items": 40, "fan": 2}, {"leaf_items": 10, "fan": 16}])
 def test_packing_is_whole_and_tight(spark, options):
     rng = random.Random(9)
     sizes = [rng.choice([rng.randrange(1, 2049), rng.randrange(1, 200), 2048]) for _ in range(1000)]
@@ -468,26 +468,40 @@ def test_packed_documents_are_those_of_the_public_tokenizer(spark, odd, none):
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    got = packing.pack_documents(odd, path, pattern).toPandas()
+    rows = ROWS + [(9, "a<|endoftext|>b", "y", 1), (10, "<|endoftext|>", "y", 1), (11, "a  <|endoftext|> b <|endoftext|><|endoftext|>\n", "y", 1)]
+    more = odd.unionByName(odd.sparkSession.createDataFrame(rows[len(ROWS) :], odd.schema))
+    got = packing.pack_documents(more, path, pattern).toPandas()
     check_packing(got)
-    ids = {text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4") for _, text, *_ in ROWS}
-    want = sorted((n, zlib.crc32(ids[text][s : s + n].tobytes()), s, p) for _, text, *_ in ROWS for p, (s, n) in enumerate(packing.cut(len(ids[text]))))
+    ids = {text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4") for _, text, *_ in rows}
+    assert ids["a<|endoftext|>b"].tolist() == [64, 50256, 65, 0]
+    want = sorted((n, zlib.crc32(ids[text][s : s + n].tobytes()), s, p) for _, text, *_ in rows for p, (s, n) in enumerate(packing.cut(len(ids[text]))))
     assert sorted(zip(got["length"], got["ids_crc32"], got["start"], got["piece"], strict=True)) == want
     assert packing.pack_documents(none, path, pattern).count() == 0
 
 
 @settings(max_examples=150)
-@given(st.text(alphabet=" \n\t\x1c\x85\u3000ab1'.é日😀s", max_size=40))
+@given(st.one_of(st.text(alphabet=" \n\t\x1c\x85\u3000ab1'.é日😀s", max_size=40), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "a", "\n"]), max_size=12).map("".join)))
 def test_memo_of_ids(text):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = test_memo_of_ids.__dict__.setdefault("t", Tokenizer.from_file(path))
-    memo = test_memo_of_ids.__dict__.setdefault("m", packing.IdBytes(packing.encoding(path, public_tokenizers.PATTERN).encode_ordinary, 50))
+    memo = test_memo_of_ids.__dict__.setdefault("m", packing.IdBytes(packing.encoding(path, public_tokenizers.PATTERN).encode_ordinary, packing.added_tokens(path), 50))
     assert np.frombuffer(memo.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_bins_that_nothing_joins_stop_the_rounds(spark):
+    """More open bins than a node takes, and no two of them fit together: every piece is a sequence of its own."""
+    got = packing.pack(spark.createDataFrame([(i, 1100) for i in range(300)], "doc_id long, length long"), leaf_items=20, fan=4).toPandas()
+    check_packing(got)
+    assert got["sequence_id"].nunique() == 300
+    # All of them would go into eight more; hosts and guests stand in different leaves at first.
+    got = packing.pack(spark.createDataFrame([(i, 1100 if i % 4 else 300) for i in range(400)], "doc_id long, length long"), leaf_items=7, fan=4).toPandas()
+    check_packing(got)
+    assert got["sequence_id"].nunique() == 300
+    assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
+
+
 # 10: BPE
 
 
