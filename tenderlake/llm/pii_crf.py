@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that makes a document's labels agree.
 
 The field's nodes are a text's tokens (runs without white space) that hold a digit or an ``@``; all other tokens are outside every entity by definition, so the
-field falls apart at them and they need no nodes. A node's own potential comes from hashed features of its form and context. A
-chain edge joins neighbouring tokens; a skip edge joins each token to the next one of the same letters and digits, however far
-away. Loopy belief propagation passes messages along both kinds of edges, so that an entity recognised in one place
+field falls apart at them and they need no nodes. A node's own potential comes from hashed features of its form and context: its letters and digits as classes, how many
+digits, signs, and the words before and behind, of which up to 24 characters count. A chain edge joins neighbouring tokens. Skip edges join tokens however far apart: each token
+to the first one of the same letters and digits, and to the first one that begins or ends with the same eight (a misspelt or shortened repeat). Hubs keep all repeats
+within two edges, so messages reach them in few rounds. Loopy belief propagation passes messages along all edges, and so an entity recognised in one place
 also counts in the others. Nodes that are sure of a label, outside the fixed patterns' spans, become further spans.
 
-The field learns from the patterns: on a bounded sample their spans are the labels, and the weights of features, chain and skip
-edges maximise the pseudo-likelihood.
+The field learns from the patterns on a bounded sample, but isn't taught to repeat them. It never sees the tests that a match must pass (check digits,
+ranges, counts), only form and context. What the patterns leave out is a negative only if nothing of its form is ever an entity; otherwise it is
+unlabelled and takes no part in the fit, as are its links. And of every second node the form is hidden, so that context and edges learn to speak for it.
+The weights maximise the pseudo-likelihood.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+SIGNS = re.compile(r"[\W_]+")
+TRAIL = re.compile(r"[\W_]+\Z")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 WORD_BEFORE = re.compile(r"(\S{1,24})\s{1,4}\Z")
 WORD_AFTER = re.compile(r"\s{1,4}(\S{1,24})")
@@ -68,7 +75,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by kind, then place: leftmost, not overlapping within a kind; matches that fail a test are dropped."""
     out = emails(text)
     if DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.groups())]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p := x.lstrip("0")) < 4 and int(p or "0") <= 255 for x in m.groups())]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -80,62 +87,67 @@ def base_spans(text: str) -> list[Span]:
 
 
 def form(token: str) -> str:
-    """Letters as ``a``, digits as ``9``, runs of one kind as one, signs as they are; of long tokens the ends."""
-    out = []
-    for c in token if len(token) < 80 else token[:40] + token[-40:]:
-        x = "9" if c.isdigit() else "a" if c.isalpha() else c
-        if not out or out[-1] != x or x not in "9a":
-            out.append(x)
-    return "".join(out)
+    """Letters as ``a``, digits as ``9``, runs of one kind as one, signs as they are."""
+    return DIGITS.sub("9", LETTERS.sub("a", token))
 
 
 def hashed(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+#: Kinds of edges. A chain edge knows which end comes first; the others are symmetrical.
+CHAIN, SAME, SIMILAR = range(3)
+#: Names of features that tell a node's form; the rest tell its context.
+FORM_FEATURES = 5
+
+
 @dataclass
 class Graph:
-    """Tokens (start, end), their features, and edges (earlier, later) along the chain and between repeats."""
+    """Tokens (start, end), their forms and features, and edges (earlier, later, kind)."""
 
     tokens: list[tuple[int, int]]
+    forms: list[str]
     features: list[list[int]]
-    chain: list[tuple[int, int]]
-    skips: list[tuple[int, int]]
+    edges: list[tuple[int, int, int]]
 
 
 def graph_of(text: str) -> Graph:
     tokens = [m.span() for m in TOKEN.finditer(text)]
-    features, chain, skips = [], [], []
-    last: dict[str, int] = {}
-    forms = [form(text[s:e]) for s, e in tokens]
+    features, edges = [], []
+    first: dict[str, int] = {}
+    # Signs behind a token are the sentence's, not the token's.
+    forms = [form(TRAIL.sub("", text[s:e]) or text[s:e]) for s, e in tokens]
     for i, (s, e) in enumerate(tokens):
         token = text[s:e]
-        digits = "".join(c for c in token[:200] if "0" <= c <= "9")
         near = i > 0 and s - tokens[i - 1][1] <= 2
         soon = i + 1 < len(tokens) and tokens[i + 1][0] - e <= 2
         before = WORD_BEFORE.search(text, max(0, s - 30), s)
         after = WORD_AFTER.match(text, e)
         names = [
-            "bias",
             f"form {forms[i]}",
-            f"digits {len(digits)}",
+            f"digits {len(DIGIT.findall(token))}",
             f"first {form(token[0])}",
-            f"luhn {13 <= len(digits) <= 19 and luhn(digits)}",
             f"at {token.count('@')} {'.' in token.partition('@')[2]}",
             f"dots {min(token.count('.'), 5)}",
+            "bias",
             f"before {forms[i - 1] if near else before[1].lower() if before else ''}",
             f"after {forms[i + 1] if soon else after[1].lower() if after else ''}",
-            f"both {forms[i - 1] if near else ''} {forms[i]}",
         ]
         features.append([hashed(x) for x in names])
         if near:
-            chain.append((i - 1, i))
-        key = "".join(filter(str.isalnum, token)).lower()
+            edges.append((i - 1, i, CHAIN))
+        key = SIGNS.sub("", token).lower()
         if len(key) >= 4:
-            if key in last:
-                skips.append((last[key], i))
-            last[key] = i
-    return Graph(tokens, features, chain, skips)
+            same = first.setdefault(f"= {key}", i)
+            if same < i:
+                edges.append((same, i, SAME))
+            elif len(key) > 8:
+                hubs = {first.setdefault(f"< {key[:8]}", i), first.setdefault(f"> {key[-8:]}", i)}
+                edges += [(hub, i, SIMILAR) for hub in sorted(hubs) if hub < i]
+            elif len(key) == 8:  # all of a longer one's beginning or end
+                hubs = {first.get(f"< {key}", i), first.get(f"> {key}", i)}
+                edges += [(hub, i, SIMILAR) for hub in sorted(hubs) if hub < i]
+    return Graph(tokens, forms, features, edges)
 
 
 def labels_of(graph: Graph, spans: list[Span]) -> list[int]:
@@ -153,75 +165,92 @@ def labels_of(graph: Graph, spans: list[Span]) -> list[int]:
 
 @dataclass
 class FieldModel:
-    """Potentials in logarithms: features by label, chain by (earlier, later) label, skips by label and label."""
+    """Potentials in logarithms: features by label, and for each kind of edge the earlier end's label by the later one's."""
 
     unary: np.ndarray
-    chain: np.ndarray
-    skips: np.ndarray
+    pairs: np.ndarray
 
 
 def untrained() -> FieldModel:
     """Knows of no entity: every token is surely outside."""
     unary = np.zeros((BUCKETS, len(LABELS)))
     unary[hashed("bias"), 0] = 20.0
-    return FieldModel(unary, np.zeros((len(LABELS),) * 2), np.zeros((len(LABELS),) * 2))
+    return FieldModel(unary, np.zeros((3, len(LABELS), len(LABELS))))
+
 
+def symmetrical(pairs: np.ndarray) -> np.ndarray:
+    pairs[1:] = (pairs[1:] + pairs[1:].transpose(0, 2, 1)) / 2
+    return pairs
 
-def fit(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skips: np.ndarray, steps: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> FieldModel:
-    """Pseudo-likelihood by adaptive gradient steps: each node's label given its features and its neighbours' labels."""
-    if not len(labels):
+
+def fit(features: np.ndarray, labels: np.ndarray, edges: np.ndarray, steps: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> FieldModel:
+    """Pseudo-likelihood by adaptive gradient steps: each node's label given its features and its neighbours' labels. A negative label is unknown.
+
+    Every second node has its features of form hidden (their weights count as none).
+    """
+    known = labels >= 0
+    if not known.any():
         return untrained()
-    n, k = len(labels), len(LABELS)
-    model = FieldModel(np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros((k, k)))
-    squares = [np.full_like(x, 1e-8) for x in (model.unary, model.chain, model.skips)]
-    truth = np.eye(k)[labels]
+    n, k = known.sum(), len(LABELS)
+    model = FieldModel(np.zeros((BUCKETS, k)), np.zeros((3, k, k)))
+    squares = [np.full_like(model.unary, 1e-8), np.full_like(model.pairs, 1e-8)]
+    truth = np.eye(k)[np.maximum(labels, 0)]
+    shown = np.ones(features.shape, bool)
+    shown[::2, :FORM_FEATURES] = False
+    edges = edges[known[edges[:, 0]] & known[edges[:, 1]]]
+    a, b, kind = edges.T
     for _ in range(steps):
-        logits = model.unary[features].sum(1)
-        np.add.at(logits, chain[:, 1], model.chain[labels[chain[:, 0]]])
-        np.add.at(logits, chain[:, 0], model.chain[:, labels[chain[:, 1]]].T)
-        for a, b in ((0, 1), (1, 0)):
-            np.add.at(logits, skips[:, a], model.skips[labels[skips[:, b]]])
+        logits = (model.unary[features] * shown[:, :, None]).sum(1)
+        np.add.at(logits, b, model.pairs[kind, labels[a]])
+        np.add.at(logits, a, model.pairs[kind, :, labels[b]])
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
-        error = (p / p.sum(1, keepdims=True) - truth) / n
-        unary = np.stack([np.bincount(features.ravel(), np.repeat(error[:, j], features.shape[1]), BUCKETS) for j in range(k)], 1)
-        link, skip = np.zeros((k, k)), np.zeros((k, k))
-        np.add.at(link, labels[chain[:, 0]], error[chain[:, 1]])
-        np.add.at(link.T, labels[chain[:, 1]], error[chain[:, 0]])
-        for a, b in ((0, 1), (1, 0)):
-            np.add.at(skip, labels[skips[:, b]], error[skips[:, a]])
-        for weights, grad, square in zip((model.unary, model.chain, model.skips), (unary + penalty * model.unary, link + penalty * model.chain, (skip + skip.T) / 2 + penalty * model.skips), squares, strict=True):
+        error = (p / p.sum(1, keepdims=True) - truth) * known[:, None] / n
+        unary = np.stack([np.bincount(features[shown], np.broadcast_to(error[:, j, None], features.shape)[shown], BUCKETS) for j in range(k)], 1)
+        pairs = np.zeros_like(model.pairs)
+        np.add.at(pairs, (kind, labels[a]), error[b])
+        np.add.at(pairs.transpose(0, 2, 1), (kind, labels[b]), error[a])
+        for weights, grad, square in zip((model.unary, model.pairs), (unary + penalty * model.unary, symmetrical(pairs) + penalty * model.pairs), squares, strict=True):
             square += grad**2
             weights -= rate * grad / np.sqrt(square)
     return model
 
 
-def marginals(model: FieldModel, features: np.ndarray, chain: np.ndarray, skips: np.ndarray, rounds: int = 30, damping: float = 0.3, enough: float = 1e-4) -> np.ndarray:
-    """Loopy belief propagation: each node's probabilities of the labels. Exact where the edges have no loop."""
+def marginals(model: FieldModel, features: np.ndarray, edges: np.ndarray, text_of_node: np.ndarray | None = None, rounds: int = 50, damping: float = 0.3, enough: float = 1e-4, block: int = 1 << 16) -> np.ndarray:
+    """Loopy belief propagation: each node's probabilities of the labels. Exact where the edges have no loop.
+
+    Texts (``text_of_node``) that stand side by side end by themselves, each when its own messages change by less than ``enough``, so what stands beside a text
+    doesn't matter. Messages are renewed ``block`` edges at a time, which bounds the room that a very long text takes.
+    """
     own = model.unary[features].sum(1)
     k = own.shape[1]
-    edges = np.concatenate([chain, skips]).reshape(-1, 2).astype(int)
+    edges = np.asarray(edges, int).reshape(-1, 3)
+    texts = np.zeros(len(own), int) if text_of_node is None else text_of_node
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
+    both_ways = np.stack([model.pairs, model.pairs.transpose(0, 2, 1)])  # by direction, kind, source label, target label
     m = len(edges)
-    links = np.concatenate([np.broadcast_to(model.chain, (len(chain), k, k)), np.broadcast_to(model.skips, (len(skips), k, k))])
-    pair = np.concatenate([links, links.transpose(0, 2, 1)])  # by source label, then target label
-    opposite = (np.arange(2 * m) + m) % max(1, 2 * m)
     messages = np.zeros((2 * m, k))
+    going = np.arange(2 * m)
 
     def gather() -> np.ndarray:
         return own + np.stack([np.bincount(target, messages[:, j], len(own)) for j in range(k)], 1) if m else own
 
-    for _ in range(rounds if m else 0):
-        cavity = gather()[source] - messages[opposite]
-        new = cavity[:, :, None] + pair
-        top = new.max(1, keepdims=True)
-        new = np.log(np.exp(new - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        change = np.abs(new - messages).max()
-        messages = damping * messages + (1 - damping) * new
-        if change < enough:
+    for _ in range(rounds):
+        if not len(going):
             break
+        belief = gather()
+        renewed = np.empty((len(going), k))
+        for at in range(0, len(going), block):
+            e = going[at : at + block]
+            x = (belief[source[e]] - messages[(e + m) % (2 * m)])[:, :, None] + both_ways[e // m, edges[e % m, 2]]
+            top = x.max(1, keepdims=True)
+            x = np.log(np.exp(x - top).sum(1)) + top[:, 0]
+            renewed[at : at + block] = x - x.max(1, keepdims=True)
+        change = np.zeros(int(texts.max()) + 1)
+        np.maximum.at(change, texts[source[going]], np.abs(renewed - messages[going]).max(1))
+        messages[going] = damping * messages[going] + (1 - damping) * renewed
+        going = going[change[texts[source[going]]] >= enough]
     belief = gather()
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -238,21 +267,25 @@ def find_spans(texts: list[str], model: FieldModel, sure: float = 0.9) -> list[t
     at = np.cumsum([0, *(len(g.tokens) for g in graphs)])
     if not at[-1]:
         return [(b, b) for b in bases]
-    join = lambda edges: np.array([(a + o, b + o) for o, es in zip(at.tolist(), edges, strict=False) for a, b in es], int).reshape(-1, 2)
-    p = marginals(model, np.array([f for g in graphs for f in g.features]), join([g.chain for g in graphs]), join([g.skips for g in graphs]))
+    edges = np.array([(a + o, b + o, kind) for o, g in zip(at.tolist(), graphs, strict=False) for a, b, kind in g.edges], int).reshape(-1, 3)
+    owner = np.repeat(np.arange(len(graphs)), np.diff(at))
+    # Rounded: sums of the same numbers in another order may differ in their last digits.
+    p = marginals(model, np.array([f for g in graphs for f in g.features]), edges, owner).round(6)
     best, surely = p.argmax(1), p.max(1) >= sure
     out = []
     for text, base, g, o in zip(texts, bases, graphs, at.tolist(), strict=False):
         labelled = [LABELS[best[o + i]] if surely[o + i] else "O" for i in range(len(g.tokens))]
         covered = labels_of(g, base)
-        linked = set(g.chain)
+        linked = {(a, b) for a, b, kind in g.edges if kind == CHAIN}
         extra: list[Span] = []
         for i, (s, e) in enumerate(g.tokens):
             if labelled[i] == "O" or covered[i]:
                 continue
             while e - s > 1 and text[e - 1] in ".,;:!?)]}\"'":
                 e -= 1
-            if extra and extra[-1][0] == labelled[i] and (i - 1, i) in linked and extra[-1][2] >= g.tokens[i - 1][1] - 1 and not covered[i - 1]:
+            # Cards and phones may be written in groups; whatever is long enough by itself is one by itself.
+            group = labelled[i] in ("card", "phone") and len(DIGIT.findall(text[s:e])) < 13
+            if group and extra and extra[-1][0] == labelled[i] and (i - 1, i) in linked and extra[-1][2] >= g.tokens[i - 1][1] - 1 and not covered[i - 1]:
                 extra[-1] = (labelled[i], extra[-1][1], e)
             else:
                 extra.append((labelled[i], s, e))
@@ -261,29 +294,31 @@ def find_spans(texts: list[str], model: FieldModel, sure: float = 0.9) -> list[t
 
 
 def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> FieldModel:
-    """Fit on at most ``sample`` documents that hold a digit or an ``@``: those whose ids hash lowest. Only hashed features, labels and edges come to the driver."""
-    some = docs.where(text_of(text_col).rlike("[0-9@]"))
-    chosen = some.select(F.col(f"`{id_col}`").alias("chosen_id")).where("chosen_id IS NOT NULL").distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
-    rows = some.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("chosen_id")).select("chosen_id", text_of(text_col))
+    """Fit on at most ``sample`` documents that hold a digit or an ``@``: those whose ids hash lowest, one row for each id. Only hashed features, forms, labels and edges come to the driver."""
+    some = docs.where(text_of(text_col).rlike("[0-9@]")).select(F.col(f"`{id_col}`").cast("bigint").alias("chosen_id"), text_of(text_col).alias("body")).where("chosen_id IS NOT NULL")
+    chosen = some.groupBy("chosen_id").agg(F.max(F.xxhash64("body")).alias("digest")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
+    rows = some.withColumn("digest", F.xxhash64("body")).join(F.broadcast(chosen), ["chosen_id", "digest"]).groupBy("chosen_id").agg(F.max("body").alias("body"))
     numbers = pa.list_(pa.int32())
-    schema = arrow_fields(chosen_id="long", features=numbers, labels=numbers, chain=numbers, skips=numbers)
+    schema = arrow_fields(chosen_id="long", forms=numbers, features=numbers, labels=numbers, edges=numbers)
 
     def make():
         def work(ids: list, texts: list[str]) -> list[list]:
             graphs = [graph_of(t) for t in texts]
             flat = lambda rows: [x for row in rows for x in row]
-            return [ids, [flat(g.features) for g in graphs], [labels_of(g, base_spans(t)) for g, t in zip(graphs, texts, strict=True)], [flat(g.chain) for g in graphs], [flat(g.skips) for g in graphs]]
+            forms = [[zlib.crc32(f.encode("utf-8", "surrogatepass")) >> 1 for f in g.forms] for g in graphs]
+            return [ids, forms, [flat(g.features) for g in graphs], [labels_of(g, base_spans(t)) for g, t in zip(graphs, texts, strict=True)], [flat(g.edges) for g in graphs]]
 
         return work
 
-    found = sorted(map_rows(rows, schema, make).toArrow().to_pylist(), key=lambda r: (r["chosen_id"], len(r["features"]), r["features"]))
+    found = sorted(map_rows(rows, schema, make).toArrow().to_pylist(), key=lambda r: r["chosen_id"])
     found = [r for r in found if r["labels"]]
     if not found:
         return untrained()
     at = np.cumsum([0, *(len(r["labels"]) for r in found)])
-    edges = lambda name: np.concatenate([np.array(r[name], int).reshape(-1, 2) + o for r, o in zip(found, at.tolist(), strict=False)])
-    labels = np.concatenate([np.array(r["labels"], int) for r in found])
-    return fit(np.concatenate([np.array(r["features"], int) for r in found]).reshape(len(labels), -1), labels, edges("chain"), edges("skips"))
+    edges = np.concatenate([np.array(r["edges"], int).reshape(-1, 3) + [o, o, 0] for r, o in zip(found, at.tolist(), strict=False)])
+    labels, forms = (np.concatenate([np.array(r[name], int) for r in found]) for name in ("labels", "forms"))
+    labels[(labels == 0) & np.isin(forms, forms[labels > 0])] = -1
+    return fit(np.concatenate([np.array(r["features"], int) for r in found]).reshape(len(labels), -1), labels, edges)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("base", pa.bool_())])
@@ -293,8 +328,8 @@ SCHEMA = arrow_fields(doc_id="long", spans=pa.list_(SPAN))
 def find_personal_data(df: DataFrame, model: FieldModel, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end in code points, text, whether a fixed pattern gave it) for each row of ``df``.
 
-    Whole texts are read. A null text counts as empty and has no spans; a null id stays null; equal texts get equal spans up to the last digits of
-    a probability; other columns aren't read; an empty table gives an empty result.
+    Whole texts are read. A null text counts as empty and has no spans; a null id stays null; equal texts get equal spans; other columns aren't read, whatever
+    their names; an empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
