@@ -2,16 +2,17 @@
 
 A candidate is a maximal run of the characters that keys are made of, at least ``window`` long. Over it slides a window of
 ``window`` characters; the counts of its characters, and with them the sum of ``c * log2(c)``, change by one character
-in and one out at each step, so the entropy of every window costs constant time. Each class of character has a threshold
-of its own: a window of hexadecimal digits can hold 4 bits a character at most, one of base64 nearly 6. Windows over the threshold of
-their class join into a span, unless the allow-list knows the candidate.
+in and one out at each step, so the entropy of every window costs constant time. So do the counts of the characters outside each class, and they tell the narrowest
+class that holds the whole window. Each class has a threshold of its own: a window of digits can hold 3.3 bits a character at most, one of hexadecimal
+digits 4, and one of 16 different characters 4 as well. Windows over the threshold of their class join into a span, unless the allow-list knows the candidate.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -27,65 +28,84 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 #: The patterns' bases, ``AKIA[A-Z0-9]+`` and ``[0-9a-f]+``, take whole runs; so the lengths can stand in the patterns.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 
 @dataclass(frozen=True)
 class EntropyRules:
     """``window`` characters a window; thresholds in bits a character for each class; patterns of runs to leave alone."""
 
-    window: int = 20
-    thresholds: tuple[tuple[str, float], ...] = (("digits", 9.9), ("hex", 3.0), ("alnum", 3.9), ("base64", 4.1))
+    window: int = 16
+    #: From the narrowest class to the widest.
+    classes: tuple[tuple[str, str, float], ...] = (
+        ("digits", "0123456789", 2.9),
+        ("hex", "0123456789abcdefABCDEF", 3.0),
+        ("alnum", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.6),
+        ("base64", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.7),
+    )
+    #: Possessive throughout: a long run is read once.
     allow: tuple[str, ...] = (
-        r"[A-Za-z]+",  # a long word
-        r"[A-Za-z]+(?:[-_/][A-Za-z]+)*",  # words joined to a slug, a path or an identifier
+        r"(?:[A-Z]?[a-z]++|[A-Z]++)(?:[-_/+=]++(?:[A-Z]?[a-z]++|[A-Z]++))*+[-_/+=]*+",  # words of one case, also joined to a slug or a path
+        r"(?:[A-Z]?[a-z]{3,}+)++[0-9]{0,4}+",  # words run together by capitals
+        r"[A-Za-z]*+[0-9]{0,4}+(?:[-_/+=]++(?:[A-Z]?[a-z]++|[A-Z]++)?+[0-9]{0,4}+)++",  # words with small numbers
         r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # a UUID
-        r"(.)\1+",  # a rule or filler
-        r"[0-9]+(?:[-_/=+][0-9]+)*",  # numbers and dates
+        r"[-_/+=]*+(.)\1++[-_/+=]*+",  # a rule or filler
+        r"[0-9]{1,24}+",  # a number
+        r"[0-9]{1,8}+(?:[-_/=+][0-9]{1,8}+)++",  # dates and groups of digits
     )
-    classes: tuple[tuple[str, str], ...] = field(default=(("digits", "0-9"), ("hex", "0-9a-fA-F"), ("alnum", "A-Za-z0-9"), ("base64", "A-Za-z0-9+/_=-")))
 
 
-def window_entropies(text: str, window: int) -> list[float]:
-    """Shannon entropy in bits of each window of ``text``, by incremental counts."""
-    if len(text) < window:
-        return []
-    weight = [0.0, 0.0, *(c * math.log2(c) for c in range(2, window + 2))]  # a character comes in before one goes out
-    counts: dict[str, int] = {}
-    total = 0.0
-    out = []
-    for i, new in enumerate(text):
-        c = counts.get(new, 0)
-        counts[new] = c + 1
-        total += weight[c + 1] - weight[c]
-        if i >= window:
-            old = text[i - window]
-            c = counts[old]
-            counts[old] = c - 1
-            total += weight[c - 1] - weight[c]
-        if i >= window - 1:
-            out.append(math.log2(window) - total / window)
-    return out
+class Window:
+    """Entropy in bits a character and the narrowest class of each window, by incremental counts."""
+
+    def __init__(self, rules: EntropyRules) -> None:
+        self.size = rules.window
+        # A character comes in before one goes out.
+        self.weight = [0.0, 0.0, *(c * math.log2(c) for c in range(2, rules.window + 2))]
+        # For each character, how many of the classes, from the narrowest on, it is outside of.
+        self.outside = {c: next(i for i, (_, chars, _) in enumerate(rules.classes) if c in chars) for c in rules.classes[-1][1]}
+        self.n = len(rules.classes)
+
+    def slide(self, text: str) -> Iterator[tuple[float, int]]:
+        """(entropy, number of the class) for each window of ``text``."""
+        size, weight, outside = self.size, self.weight, self.outside
+        counts: dict[str, int] = {}
+        levels = [0] * self.n
+        total = 0.0
+        for i, new in enumerate(text):
+            c = counts.get(new, 0)
+            counts[new] = c + 1
+            total += weight[c + 1] - weight[c]
+            levels[outside[new]] += 1
+            if i >= size:
+                old = text[i - size]
+                c = counts[old]
+                counts[old] = c - 1
+                total += weight[c - 1] - weight[c]
+                levels[outside[old]] -= 1
+            if i >= size - 1:
+                yield math.log2(size) - total / size, max(k for k, n in enumerate(levels) if n)
 
 
 class EntropyScanner:
     def __init__(self, rules: EntropyRules) -> None:
-        self.rules = rules
+        self.window = Window(rules)
+        self.run = re.compile(f"[{re.escape(rules.classes[-1][1])}]{{{rules.window},}}")
         self.allow = [re.compile(x) for x in rules.allow]
-        limits = dict(rules.thresholds)
-        self.classes = [(re.compile(f"[{chars}]+"), limits[name]) for name, chars in rules.classes]
+        self.limits = [limit for _, _, limit in rules.classes]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         out = []
-        for run in RUN.finditer(text):
+        for run in self.run.finditer(text):
             value = run[0]
             if any(x.fullmatch(value) for x in self.allow):
                 continue
-            limit = next(limit for chars, limit in self.classes if chars.fullmatch(value))
             start = end = None
-            for i, bits in enumerate(window_entropies(value, self.rules.window)):
-                if bits >= limit:
-                    start, end = (i if start is None else start), i + self.rules.window
+            for i, (bits, kind) in enumerate(self.window.slide(value)):
+                if bits >= self.limits[kind]:
+                    if end is not None and i > end:
+                        out.append((run.start() + start, run.start() + end))
+                        start = None
+                    start, end = (i if start is None else start), i + self.window.size
             if start is not None:
                 out.append((run.start() + start, run.start() + end))
         return out
@@ -107,7 +127,14 @@ def scan_text(text: str, scanner: EntropyScanner) -> tuple[list[tuple[str, int,
     """The base spans, and all spans, each by start, then kind. An entropy span within a base span says nothing new and is left out."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(base_spans(text), key=order)
-    extra = [("entropy", s, e) for s, e in scanner.spans(text) if not any(b[1] <= s and e <= b[2] for b in base)]
+    extra, at, reach = [], 0, -1
+    for s, e in scanner.spans(text):
+        # How far the base spans reach that begin up to here.
+        while at < len(base) and base[at][1] <= s:
+            reach = max(reach, base[at][2])
+            at += 1
+        if e > reach:
+            extra.append(("entropy", s, e))
     return base, sorted(base + extra, key=order)
 
 
@@ -140,7 +167,11 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rules: EntropyRules | None = None) -> DataFrame:
-    """``df`` with every span of every text replaced by ``mask`` (overlapping spans by one); null texts stay null, other columns stay."""
+    """``df`` with every span of every text replaced by ``mask`` (overlapping spans by one).
+
+    Whole texts are masked; null and empty texts stay as they are; ids aren't read, so null and repeated ones stay; all other columns stay, whatever
+    their names; an empty table gives an empty result.
+    """
     rules = rules or EntropyRules()
     columns = df.columns
     at = columns.index(text_col)

@@ -209,23 +209,52 @@ def test_base_secrets(text):
 
 def test_entropy_windows_equal_recounting():
     rng = random.Random(1)
-    text = "".join(rng.choice("abcdef0123") for _ in range(200))
-    for i, bits in enumerate(secret_scan.window_entropies(text, 20)):
-        p = np.array([text[i : i + 20].count(c) / 20 for c in set(text[i : i + 20])])
+    rules = secret_scan.EntropyRules()
+    text = "".join(rng.choice(rng.choice(["0123456789", "abcdef0123", "xyzXYZ", "+/=_"])) for _ in range(40)) + "0123" * 8 + "abc9" * 8 + "uvw1" * 8
+    for i, (bits, kind) in enumerate(secret_scan.Window(rules).slide(text)):
+        window = text[i : i + rules.window]
+        p = np.array([window.count(c) / rules.window for c in set(window)])
         assert abs(bits + float((p * np.log2(p)).sum())) < 1e-9
+        assert kind == next(k for k, (_, chars, _) in enumerate(rules.classes) if set(window) <= set(chars))
+    assert {kind for _, kind in secret_scan.Window(rules).slide(text)} == {0, 1, 2, 3}
 
 
 def test_entropy_finds_keys_and_leaves_the_allow_list():
     scanner = secret_scan.EntropyScanner(secret_scan.EntropyRules())
     assert scanner.spans("key q8Zr2LmX7vTb4KpW9sYd3HgN end")
-    for clean in ("Donaudampfschifffahrtsgesellschaft", "a-very-long-slug-of-many-words-here", "123e4567-e89b-12d3-a456-426614174000", "=" * 60, "2024-01-01/2024-12-31/2025-01-01", "aaaaaaaaaaaaaaaaaaaaaaaa1"):
+    for clean in (
+        "Donaudampfschifffahrtsgesellschaft", "a-very-long-slug-of-many-words-here", "123e4567-e89b-12d3-a456-426614174000", "=" * 60, "2024-01-01/2024-12-31/2025-01-01",
+        "aaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890123456", "getUserNameFromDatabase2", "INTERNATIONALISIERUNG", "report-2024/final-version-12_of_3", "-----BEGIN-----",
+    ):
         assert not scanner.spans(clean), clean
 
 
+def test_planted_keys_that_no_pattern_knows_are_found():
+    """Keys of five alphabets and 18 to 40 characters among words: at least 0.95 of them are found, and nothing else."""
+    rng = random.Random(3)
+    scanner = secret_scan.EntropyScanner(secret_scan.EntropyRules())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = ["0123456789ABCDEF", letters, letters + "0123456789", letters + "0123456789+/", "0123456789"]
+    found = total = 0
+    for i in range(1000):
+        alphabet = alphabets[i % 5]
+        key = "".join(rng.choice(alphabet) for _ in range(rng.randrange(25, 32) if len(alphabet) == 10 else rng.randrange(18, 41)))
+        before = " ".join(rng.choice(["words", "and", "internationalisation", "of", "2024-01-01"]) for _ in range(5))
+        text = f"{before} {key} {before}"
+        at = len(before) + 1
+        base, spans = secret_scan.scan_text(text, scanner)
+        assert all(at <= s and e <= at + len(key) for _, s, e in spans)
+        found += any(kind == "entropy" for kind, *_ in spans)
+        total += 1
+    assert found >= 0.95 * total
+
+
 def test_secret_scan_of_odd_rows(spark, odd, none):
     assert secret_scan.scan_secrets(odd).count() == len(ROWS) and secret_scan.scan_secrets(none).count() == 0
-    df = spark.createDataFrame([(1, "a token = abcdefgh12 b", "k"), (2, None, None)], "doc_id long, text string, spans string")
-    assert [(r.text, r.spans) for r in secret_scan.redact_secrets(df).orderBy("doc_id").collect()] == [("a [SECRET] b", "k"), (None, None)]
+    df = spark.createDataFrame([(1, "a token = abcdefgh12 b", "k"), (2, None, None), (3, "", None), (3, "q8Zr2LmX7vTb4KpW9sYd3HgN", "x"), (None, "passwd:12345678", "y"), (4, "long " * 50_000 + "AKIA" + "A" * 16, "z")], "doc_id long, text string, spans string")
+    got = {(r.doc_id, r.text, r.spans) for r in secret_scan.redact_secrets(df).collect()}
+    assert got == {(1, "a [SECRET] b", "k"), (2, None, None), (3, "", None), (3, "[SECRET]", "x"), (None, "[SECRET]", "y"), (4, "long " * 50_000 + "[SECRET]", "z")}
+    assert secret_scan.redact_secrets(df.where("false")).count() == 0
 
 
 # 2: personal data
@@ -251,7 +280,8 @@ def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "a@" * 50_000, "1." * 100_000, "+" * 200_000):
         pii_crf.base_spans(text)
         pii_crf.graph_of(text)
-        secret_scan.base_spans(text)
+        secret_scan.scan_text(text, secret_scan.EntropyScanner(secret_scan.EntropyRules()))
+    secret_scan.scan_text("token=abcdefgh q8Zr2LmX7vTb4KpW9sYd3HgN " * 10_000, secret_scan.EntropyScanner(secret_scan.EntropyRules()))
 
 
 def random_field(rng):
