@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import arrow_fields, map_batches, text_of
-from tenderlake.sources.tables import load_table
+from tenderlake.sources.tables import load_table, materialize
 
 #: Magic bytes and media types, as the formats' public specifications give them.
 MAGIC = (
@@ -40,8 +41,28 @@ BLOCK = 64
 WAV_HEAD = 44
 
 
-# Each validator takes the bytes and a place, and returns (media type, length) or None.
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+class Marks:
+    """Places of a mark in the bytes, in order, found once: many heads that all look for an end behind them share one search."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.places: dict[bytes, list[int]] = {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, -1 if there is none."""
+        if mark not in self.places:
+            found, p = [], self.data.find(mark)
+            while p >= 0:
+                found.append(p)
+                p = self.data.find(mark, p + 1)
+            self.places[mark] = found
+        places = self.places[mark]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
+# Each validator takes the bytes, a place, and the bytes' marks, and returns (media type, length) or None.
+def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     length = 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -56,7 +77,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return (kind, length) if p == at + length and names and needed <= {*names} else None
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n = struct.unpack_from(">I", b, p)[0]
@@ -80,7 +101,7 @@ def _blocks(b: bytes, p: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     p: int | None = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -96,7 +117,7 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p, scan = at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -116,7 +137,7 @@ def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 30 > len(b):
         return None
     length, spare, start, head = struct.unpack_from("<IIII", b, at + 2)
@@ -125,14 +146,14 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", length) if good else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    good = end >= 0 and b[at + 5 : at + 8].replace(b".", b"").isdigit() and b.find(b"startxref", at, end) >= 0
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.next(b"%%EOF", at)
+    good = end >= 0 and b[at + 5 : at + 8].replace(b".", b"").isdigit() and 0 <= marks.next(b"startxref", at) < end
     return ("application/pdf", end + 5 - at) if good else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, start, comment = struct.unpack_from("<IIH", b, end + 12)
@@ -140,7 +161,7 @@ def _zip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/zip", end + 22 + comment - at) if good else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     reader = zlib.decompressobj(31)
     try:
         p = at
@@ -155,12 +176,68 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(p, len(b)) - len(reader.unused_data) - at) if reader.eof else None
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    good = at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22"
-    return ("audio/flac", len(b) - at) if good else None
+def crc_table(polynomial: int, bits: int) -> list[int]:
+    """Of a check sum whose highest bit goes first, for each byte."""
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = x << 1 ^ (polynomial if x >> (bits - 1) & 1 else 0)
+            x &= (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+#: Fixed values of the format: the polynomials of a frame head's and a frame's check sum.
+CRC8, CRC16 = crc_table(0x07, 8), crc_table(0x8005, 16)
+
+
+def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """A stream's frames don't say how long they are, but each has a check sum over its head and another over itself.
+
+    The first frame must stand right behind the metadata. A running sum over the bytes is zero again where a frame ends, and there the next one begins
+    or the stream has ended; heads of frames and ends are looked for in one pass.
+    """
+    p, last, first = at + 4, False, True
+    while not last:
+        if p + 4 > len(b):
+            return None
+        kind, n = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
+        if first != (kind == 0) or first and n != 34 or p + 4 + n > len(b):
+            return None
+        last, first = b[p] >> 7 == 1, False
+        p += 4 + n
+
+    def head(q: int) -> bool:
+        """Whether a frame's head stands at ``q``: the sync code, a number of up to seven bytes, and the sum over it."""
+        if q + 6 > len(b) or b[q] != 0xFF or b[q + 1] & 0xFE != 0xF8 or b[q + 3] & 1:
+            return False
+        lead = b[q + 4]
+        more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+        end = q + 5 + more + {6: 1, 7: 2}.get(b[q + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[q + 2] & 15, 0)
+        if end >= len(b):
+            return False
+        total = 0
+        for x in b[q:end]:
+            total = CRC8[total ^ x]
+        return total == b[end]
+
+    if not head(p):
+        return None
+    total, end = 0, None
+    for q in range(p, len(b)):
+        total = (total << 8 & 0xFFFF) ^ CRC16[total >> 8 ^ b[q]]
+        # A sum of nothing is zero as well, so a frame has its head and two bytes of sum at least.
+        if total == 0 and q - p > 8:
+            end = q + 1
+            if head(end):
+                p, total = end, 0
+            elif len(b) - end < 6 or b[end : end + 2] != b"\xff\xf8" and b[end : end + 2] != b"\xff\xf9":
+                return "audio/flac", end - at
+    return None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p = at
     while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
         table = b[p + 27 : p + 27 + b[p + 26]]
@@ -185,25 +262,31 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-def sniff(data: bytes, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """Confirmed media (offset, length, type), none inside another, in order."""
-    out, free = [], 0
+def sniff(data: bytes, words: ahocorasick.Automaton) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Confirmed media (offset, length, type) in order: those not inside another, and of the first one at offset 0, those next within it."""
+    marks = Marks(data)
+    out: list[tuple[int, int, str]] = []
+    inner: list[tuple[int, int, str]] = []
+    free = inner_free = 0
     for end, (n, name) in words.iter(data.decode("latin-1")):
         at = end + 1 - n
-        if at >= free and (found := VALIDATORS[name](data, at)):
+        if at < free:
+            # Within the medium that begins the bytes: carved too, if it ends there.
+            if out[0][0] == 0 and at < out[0][1] and at >= inner_free and (found := VALIDATORS[name](data, at, marks)) and at + found[1] <= out[0][1]:
+                inner.append((at, found[1], found[0]))
+                inner_free = at + found[1]
+        elif found := VALIDATORS[name](data, at, marks):
             out.append((at, found[1], found[0]))
             free = at + found[1]
-    return out
+    return out, inner
 
 
 def media_inside(data: bytes, words: ahocorasick.Automaton) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The type of the medium that begins the bytes (null if none does), and the media carved from within it or behind it."""
-    found = sniff(data, words)
+    found, inner = sniff(data, words)
     if not found or found[0][0]:
         return None, found
-    _, length, kind = found[0]
-    inner = [(at + 1, n, x) for at, n, x in sniff(data[1:length], words)]
-    return kind, inner + found[1:]
+    return found[0][2], inner + found[1:]
 
 
 CARVED = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
@@ -268,7 +351,11 @@ READ = arrow_fields(doc_id="long", n_bytes="long", payload_bytes="long", payload
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text (null: empty) as a sound file in a binary column; its declared type is that of the source, ``text/plain``."""
+    """Each text as a sound file in a binary column; its declared type is that of the source, ``text/plain``.
+
+    Whole texts are stored. A null text counts as empty; a null id stays null; repeated rows repeat; other columns aren't read, whatever their names; an empty
+    table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +367,10 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def read_stored(df: DataFrame) -> DataFrame:
-    """From the stored bytes of :func:`store_texts`: sniff, correct the type, read the samples back and take their features."""
+    """From the stored bytes of :func:`store_texts`: sniff, correct the type, read the samples back and take their features.
+
+    Null ids and repeated rows stay as they are, an empty table gives an empty result; bytes that aren't the sound file that was written, null among them, raise an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = automaton()
@@ -300,4 +390,4 @@ def read_stored(df: DataFrame) -> DataFrame:
 
 
 def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_stored(store_texts(load_table(spark, sf_dir, "documents")))
+    return read_stored(materialize(store_texts(load_table(spark, sf_dir, "documents")), "media-stored"))

@@ -347,7 +347,28 @@ def archive():
     return out.getvalue()
 
 
+def flac(frames=2):
+    sums = {8: (0x07, media_sniff.CRC8), 16: (0x8005, media_sniff.CRC16)}
+
+    def crc(data, bits):
+        """Bit by bit, without the table."""
+        total = 0
+        for byte in data:
+            for i in range(7, -1, -1):
+                top = total >> (bits - 1) & 1 ^ byte >> i & 1
+                total = (total << 1 & (1 << bits) - 1) ^ (sums[bits][0] if top else 0)
+        return total
+
+    out = b"fLaC\x80\0\0\x22" + bytes(range(34))
+    for i in range(frames):
+        head = b"\xff\xf8\x69\x08" + bytes([i]) + b"\x0f"
+        body = head + bytes([crc(head, 8)]) + b"\0\x12\x34" + bytes([7 * i + 1]) * 20
+        out += body + struct.pack(">H", crc(body, 16))
+    return out
+
+
 MEDIA = {
+    "audio/flac": flac(),
     "image/png": png(),
     "image/gif": b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\0;",
     "image/jpeg": b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03x" + b"12\xff\x0034" + b"\xff\xd9",
@@ -365,8 +386,15 @@ def test_media_are_confirmed_carved_and_rejected(kind):
     words = media_sniff.automaton()
     data = MEDIA[kind]
     assert media_sniff.media_inside(data, words) == (kind, [])
-    assert media_sniff.sniff(b"junk BM RIFF " + data + b" tail", words) == [(13, len(data), kind)]
-    assert media_sniff.sniff(data[:-1], words) == []
+    assert media_sniff.sniff(b"junk BM RIFF " + data + b" tail", words)[0] == [(13, len(data), kind)]
+    assert media_sniff.sniff(b"junk BM RIFF " + data + png(), words)[0] == [(13, len(data), kind), (13 + len(data), len(png()), "image/png")]
+    assert media_sniff.sniff(data[:-1], words)[0] == []
+
+
+def test_many_heads_without_an_end_take_linear_time():
+    words = media_sniff.automaton()
+    for data in (b"PK\x03\x04" * 100_000, b"%PDF-" * 100_000, b"%PDF-1.4 %%EOF" * 30_000, b"PK\x03\x04PK\x05\x06" * 30_000, b"fLaC" * 50_000, b"\xff\xd8\xff" * 50_000):
+        assert media_sniff.media_inside(data, words) == (None, [])
 
 
 def test_sniffing_corrects_types(spark, none):
