@@ -14,7 +14,7 @@ from tenderlake.llm.exact_dedup import drop_exact_copies
 from tenderlake.llm.ordinal_quality import keep_good, train
 from tenderlake.llm.packing import pack_documents
 from tenderlake.llm.secret_scan import redact_secrets
-from tenderlake.llm.simhash import drop_near_copies
+from tenderlake.llm.similar_sets import drop_near_copies
 from tenderlake.sources.tables import load_table, materialize
 
 

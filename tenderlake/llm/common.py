@@ -91,6 +91,17 @@ def without_ids(df: DataFrame, id_col: str, ids: DataFrame, most: int = 1_000_00
     return df.join(side, F.col(f"`{id_col}`").cast("bigint") == F.col(key), "left_anti")
 
 
+def join_split(rows: DataFrame, table: DataFrame, key: str, total: int, parts: int = 20_000, least: int = 1000) -> DataFrame:
+    """``rows`` with what ``table`` has for their ``key``. The table has each key once, none null, and by ``n`` how many of the ``total`` rows have it.
+
+    Keys of more than ``max(least, total / parts)`` rows, which are ``parts`` at most, are broadcast, so their rows stay where they are; the others meet in a shuffle, where none is hot.
+    """
+    limit = max(least, total // parts)
+    hot = F.broadcast(table.where(F.col("n") > limit).drop("n"))
+    cold = table.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name near ``base`` that ``df`` doesn't use (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

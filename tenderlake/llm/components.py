@@ -10,20 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.sources.tables import materialize
+from tenderlake.llm.common import join_split
+from tenderlake.sources.tables import discard, materialize
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step over links (a, b) with a > b. Large: each node's larger neighbours move to its smallest one; small: so do its smaller ones and itself."""
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step over ``total`` links (a, b) with a > b. Large: each node's larger neighbours move to its smallest one; small: so do its smaller ones and itself.
+
+    The centre of a star holds all of a component's links: such nodes are broadcast, so their links needn't meet in one task.
+    """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     if large:
         both = both.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    least = both.groupBy("node").agg(F.min("other").alias("least"))
+    least = both.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("n"))
     if large:
         # A node that is the smallest of its neighbours is their target itself.
-        joined = both.where("other > node").join(least, "node").select(F.col("other").alias("a"), F.least("least", "node").alias("b"))
+        joined = join_split(both.where("other > node"), least, "node", total).select(F.col("other").alias("a"), F.least("least", "node").alias("b"))
     else:
-        joined = both.join(least, "node").where("other != least").select(F.col("other").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
+        joined = join_split(both, least, "node", total).where("other != least").select(F.col("other").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
     return joined.distinct()
 
 
@@ -31,18 +35,30 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """``node`` and ``component`` (the smallest node it is linked with) for each node of ``links`` (a, b).
 
     Links may repeat, point either way or lead from a node to itself; those with a null end are left out. Nodes without a link aren't listed.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Jobs run while the result is built.
     """
     now = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
+    # Sums of a hash and counts tell whether a round has changed a link.
+    measure = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = measure(now)
     for _ in range(rounds):
-        now = materialize(_star(_star(now, large=True), large=False), "links")
-        # Sums of a hash and counts tell whether a round has changed a link.
-        before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if not state[0]:
+            break
+        half = materialize(_star(now, True, 2 * state[0]), "links")
+        after = materialize(_star(half, False, half.count()), "links")
+        discard(now, half)
+        before, state, now = state, measure(after), after
         if before == state:
             break
     else:
         raise RuntimeError(f"the components haven't settled after {rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def named_components(groups: DataFrame, least: DataFrame) -> DataFrame:
+    """``node`` and ``component_id`` for each node of :func:`connected_components`: the smallest of the ``least`` ids (``node, least``) of its component's nodes, null if all are."""
+    known = materialize(groups.join(least, "node"), "component-nodes")
+    ids = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return join_split(known, ids, "component", known.count()).select("node", "component_id")

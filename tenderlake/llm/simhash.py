@@ -1,16 +1,14 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint has 64 bits for each lane. It is cut into segments of 32 bits. If two fingerprints of ``s`` segments differ in fewer than ``3 * s`` bits, then
+A fingerprint has 64 bits, cut into two segments of 32. If two fingerprints differ in fewer than six bits, then
 in some segment they differ in two at most, and some value lies within one bit of both. So each fingerprint enumerates the ball of radius one
 around each of its segments (33 values) and is filed in the table under each; fingerprints that meet in an entry are compared in full.
 
 * Only distinct fingerprints take part, so copies cost one row.
-* The table's rows are keys and numbers alone. A wide fingerprint is fetched by its number afterwards, and only for entries with company.
 * An entry with up to ``bucket`` fingerprints is compared inside one task. It gives not its pairs but a spanning forest of its links: at most one edge a row.
-* Larger entries (dense families of near copies) go another way, also whole. For one lane and a distance of up to four,
-  each of their fingerprints is filed under every value within two bits of it (2,081). Fingerprints filed together differ by four bits at most, and any two
-  that do meet somewhere: so each such entry is one star of links, without comparisons, and has 2,081 members at most. For wider fingerprints the entry is
-  cut into blocks, and each two blocks are compared in a task of their own.
+* Larger entries (dense families of near copies) go another way, also whole: each of their fingerprints is filed under every value within two bits of it (2,081).
+  Fingerprints filed together differ by four bits at most, and any two that do meet somewhere: so each such entry is one star of links, without
+  comparisons, and has 2,081 members at most.
 
 The links then go to a distributed search for connected components.
 """
@@ -18,67 +16,57 @@ The links then go to a distributed search for connected components.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import SEED, SLICE, arrow_fields, map_batches, shingles, text_of, without_ids
-from tenderlake.llm.components import connected_components
-from tenderlake.llm.similar_sets import similar_groups
+from tenderlake.llm.common import SEED, SLICE, arrow_fields, join_split, map_batches, shingles, text_of
+from tenderlake.llm.components import connected_components, named_components
 from tenderlake.sources.tables import load_table, materialize
 
-#: Odd constants that turn one 64-bit hash into further lanes (any odd numbers with well mixed bits serve).
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SPREAD = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+#: Fingerprints link at so many differing bits.
+DISTANCE = 4
 
 
-def lanes_of(hashes: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
-    yield hashes
-    for i in range(lanes - 1):
-        x = (hashes ^ (hashes >> np.uint64(29))) * MIX[i]
-        yield x ^ (x >> np.uint64(32))
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes: a bit is 1 if it is set in over half of them; zero without any. A signed number."""
+    if not len(hashes):
+        return 0
+    octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    counts = np.concatenate([np.bincount(octets[:, i], minlength=256) @ SPREAD for i in range(8)])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(text: str, words: int, lanes: int = 1) -> list[int]:
-    """A bit is 1 if it is set in over half of the shingles' hashes; signed 64-bit numbers, one a lane; zero without words."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
     parts = shingles(text, words)
-    if not parts:
-        return [0] * lanes
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
-    out = []
-    for lane in lanes_of(hashes, lanes):
-        octets = np.ascontiguousarray(lane).view(np.uint8).reshape(-1, 8)
-        counts = np.concatenate([np.bincount(octets[:, i], minlength=256) @ SPREAD for i in range(8)])
-        bits = np.packbits(2 * counts > len(parts), bitorder="little")
-        out.append(int(bits.view(np.int64)[0]))
-    return out
+    return np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
-    """``doc_id`` and ``fp`` (an array of signed 64-bit numbers) for each row of ``df``. A null text counts as empty."""
-    schema = arrow_fields(doc_id="long", fp=pa.list_(pa.int64()))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """``doc_id`` and ``fp`` (a signed 64-bit number) for each row of ``df``.
+
+    Whole texts are read, also very long ones. A null text counts as empty: its fingerprint is zero, like that of any text without a word. A null id
+    stays null; repeated rows repeat; other columns aren't read, whatever their names; an empty table gives an empty result.
+    """
+    schema = arrow_fields(doc_id="long", fp="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([fingerprint(t, words, lanes) for t in rows.column(1).to_pylist()], schema.field(1).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([print_of(shingle_hashes(t, words)) for t in rows.column(1).to_pylist()], pa.int64())], schema=schema)
 
     return map_batches(df.select(F.col(f"`{id_col}`").cast("bigint"), text_of(text_col)), schema, run)
 
 
 def near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which rows of ``a`` and ``b`` (each a fingerprint of some lanes) differ in ``most`` bits or fewer, as a matrix."""
-    total = np.zeros((len(a), len(b)), np.uint16)
-    for lane in range(a.shape[1]):
-        total += np.bitwise_count(a[:, None, lane] ^ b[None, :, lane])
-    return total <= most
+    """Which fingerprints of ``a`` and ``b`` differ in ``most`` bits or fewer, as a matrix."""
+    return np.bitwise_count(a[:, None] ^ b[None, :]) <= most
 
 
 def forest(rows: np.ndarray, most: int, block: int = 1024) -> list[tuple[int, int]]:
@@ -102,45 +90,18 @@ def forest(rows: np.ndarray, most: int, block: int = 1024) -> list[tuple[int, in
     return edges
 
 
-ENTRIES = arrow_fields(key="long", no="long")
-
-
-def shared_entries(filed: DataFrame) -> DataFrame:
-    """From rows (key, no) sorted by key within their partition, those that aren't alone under their key. Rows are read as a stream; one is held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None  # the last row so far, unless it has been passed on
-        last = None
-        for batch in batches:
-            keys, nos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(keys):
-                continue
-            same = keys[1:] == keys[:-1]
-            shared = np.append(keys[0] == last, same) | np.append(same, False)
-            if held is not None and held[0] == keys[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], schema=ENTRIES)
-            last = keys[-1]
-            held = None if shared[-1] else (int(keys[-1]), int(nos[-1]))
-            if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[shared]), pa.array(nos[shared])], schema=ENTRIES)
-
-    return map_batches(filed, ENTRIES, run)
-
-
 LINKS = arrow_fields(a="long", b="long", bucket="long", member="long")
 
 
-def bucket_links(filed: DataFrame, most: int, lanes: int, bucket: int) -> DataFrame:
-    """From rows (key, no, lanes) sorted by key within their partition: links (a, b) of small buckets; (bucket, member) for large ones.
+def bucket_links(filed: DataFrame, most: int, bucket: int) -> DataFrame:
+    """From rows (key, fingerprint) sorted by key within their partition: links (a, b) of small buckets; (bucket, member) for large ones.
 
-    A fingerprint of one lane is its own number, and its rows are (key, no).
     Rows are read as a stream; no more than one small bucket is held.
     """
-    lane_columns = range(2, 2 + lanes) if lanes > 1 else (1,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, size = None, 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         none = np.empty(0, np.int64)
 
         def rows(a: np.ndarray, b: np.ndarray, large: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
@@ -151,20 +112,19 @@ def bucket_links(filed: DataFrame, most: int, lanes: int, bucket: int) -> DataFr
 
         def close() -> Iterator[pa.RecordBatch]:
             if held and 1 < size <= bucket:
-                nos, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-                if edges := forest(fps, most):
+                fps = np.concatenate(held)
+                if edges := forest(fps.view(np.uint64), most):
                     at = np.array(edges)
-                    yield rows(nos[at[:, 0]], nos[at[:, 1]], none, none)
+                    yield rows(fps[at[:, 0]], fps[at[:, 1]], none, none)
 
         def spill() -> Iterator[pa.RecordBatch]:
-            for nos, _ in held:
-                yield rows(none, none, np.full(len(nos), key), nos)
+            for fps in held:
+                yield rows(none, none, np.full(len(fps), key), fps)
             held.clear()
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            nos = batch.column(1).to_numpy(zero_copy_only=False)
-            fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in lane_columns], 1).view(np.uint64)
+            fps = batch.column(1).to_numpy(zero_copy_only=False)
             starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
             # A row whose key is its own needs no work, unless it stands at an end of the batch.
             lengths = np.diff(starts)
@@ -176,7 +136,7 @@ def bucket_links(filed: DataFrame, most: int, lanes: int, bucket: int) -> DataFr
                     key, size = keys[start], 0
                     held.clear()
                 size += int(end - start)
-                held.append((nos[start:end], fps[start:end]))
+                held.append(fps[start:end])
                 if size > bucket:
                     yield from spill()
         yield from close()
@@ -185,84 +145,43 @@ def bucket_links(filed: DataFrame, most: int, lanes: int, bucket: int) -> DataFr
 
 
 def star_links(heavy: DataFrame) -> DataFrame:
-    """Links (a, b) among fingerprints (no, f0) of one lane at a distance of four or less: stars of the values within two bits."""
-    masks = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))]
-    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks[:65]))
+    """Links (a, b) among fingerprints (``fp``) at a distance of four or less: stars of the values within two bits."""
+    masks = [0, *(1 << i for i in range(64))]
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks))
     # Two flips of one bit, in order: the empty flip, one bit, or two different ones.
     flips = F.expr("explode(filter(sequence(0, 64 * 65 - 1), x -> x div 65 < x % 65 OR x = 0))")
-    points = heavy.repartition("no").select("no", "f0", flips.alias("x")).select("no", F.col("f0").bitwiseXOR(F.element_at(signed, F.expr("cast(x div 65 as int) + 1"))).bitwiseXOR(F.element_at(signed, F.expr("cast(x % 65 as int) + 1"))).alias("y"))
-    hubs = points.groupBy("y").agg(F.min("no").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return points.join(hubs.drop("n"), "y").where("no != hub").select(F.col("no").alias("a"), F.col("hub").alias("b")).distinct()
-
+    points = heavy.repartition("fp").select("fp", flips.alias("x")).select("fp", F.col("fp").bitwiseXOR(F.element_at(signed, F.expr("cast(x div 65 as int) + 1"))).bitwiseXOR(F.element_at(signed, F.expr("cast(x % 65 as int) + 1"))).alias("y"))
+    hubs = points.groupBy("y").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return points.join(hubs.drop("n"), "y").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
-def block_links(members: DataFrame, distinct: DataFrame, most: int, lanes: int, block: int) -> DataFrame:
-    """Links within large buckets of wide fingerprints: each two blocks of a bucket meet in a group of at most about ``2 * block`` rows."""
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    lane = [f"f{i}" for i in range(lanes)]
-    rows = members.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(distinct.withColumnRenamed("no", "member"), "member")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        nos = group["member"].to_numpy()
-        edges = np.array(forest(group[lane].to_numpy(np.int64).view(np.uint64), most), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": nos[edges[:, 0]], "b": nos[edges[:, 1]]})
-
-    keys = ["bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    return rows.groupBy(*keys).applyInPandas(compare, "a bigint, b bigint")
+def print_links(distinct: DataFrame, bucket: int = 4096) -> DataFrame:
+    """Links (a, b) among distinct fingerprints (``fp``) that connect all those of four bits or fewer, and no others."""
+    masks = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i).cast("bigint") for i in range(32)))
+    halves = F.array(*(F.struct(F.lit(h).cast("bigint").alias("segment"), (F.shiftrightunsigned("fp", 32) if h else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("value")) for h in (0, 1)))
+    # 32 bits of value below the number of the segment: one 64-bit key.
+    segments = distinct.select("fp", F.explode(halves).alias("s")).select("fp", F.shiftleft("s.segment", 32).alias("base"), F.col("s.value").alias("value"))
+    filed = segments.select("fp", "base", "value", F.explode(masks).alias("mask")).select((F.col("base") + F.col("value").bitwiseXOR(F.col("mask"))).alias("key"), "fp")
+    found = materialize(bucket_links(filed.repartition("key").sortWithinPartitions("key"), DISTANCE, bucket), "simhash-links")
+    links = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
+    large = found.where(F.col("member").isNotNull())
+    return links if large.isEmpty() else links.unionByName(star_links(large.select(F.col("member").alias("fp")).distinct()))
 
 
-def near_groups(prints: DataFrame, most: int = 4, lanes: int = 1, bucket: int = 4096) -> DataFrame:
+def near_groups(prints: DataFrame, bucket: int = 4096) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for each row of :func:`fingerprints`.
 
-    Fingerprints link at ``most`` bits or fewer; documents with one fingerprint always link. The component's id is its smallest id;
-    a null id belongs to its component but never names it, unless no other is there. With ``most`` below ``6 * lanes`` no link is lost.
+    Fingerprints link at four bits or fewer, and no link is lost; documents with one fingerprint always link. The component's id is its smallest id;
+    a null id belongs to its component but never names it, unless no other is there. Rows may repeat; an empty table gives an empty result. Jobs run while the result is built.
     """
-    spark = prints.sparkSession
     prints = materialize(prints, "simhash-prints")
-    lane = [f"f{i}" for i in range(lanes)]
-    # The fingerprint's hash serves as its number; for one lane it is the fingerprint itself.
-    number = F.element_at("fp", 1) if lanes == 1 else F.xxhash64("fp")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).select(number.alias("no"), "least", *(F.element_at("fp", i + 1).alias(x) for i, x in enumerate(lane)))
-    distinct = materialize(distinct, "simhash-distinct")
-
-    masks = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i).cast("bigint") for i in range(32)))
-    halves = F.array(*(F.struct(F.lit(2 * i + h).alias("segment"), (F.shiftrightunsigned(x, 32) if h else F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))).alias("value")) for i, x in enumerate(lane) for h in (0, 1)))
-    # 32 bits of value below the number of the segment: one 64-bit key.
-    segments = distinct.select("no", F.explode(halves).alias("s")).select("no", F.shiftleft(F.col("s.segment").cast("bigint"), 32).alias("base"), F.col("s.value").alias("value"))
-    filed = segments.select("no", "base", "value", F.explode(masks).alias("mask")).select((F.col("base") + F.col("value").bitwiseXOR(F.col("mask"))).alias("key"), "no")
-    filed = filed.repartition("key").sortWithinPartitions("key")
-    if lanes > 1:
-        met = materialize(shared_entries(filed), "simhash-entries")
-        filed = met.join(distinct.select("no", *lane), "no").select("key", "no", *lane).repartition("key").sortWithinPartitions("key")
-    found = materialize(bucket_links(filed, most, lanes, bucket), "simhash-links")
-    links = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
-    large = found.where(F.col("member").isNotNull())
-    if not large.isEmpty():
-        if lanes == 1 and most <= 4:
-            links = links.unionByName(star_links(large.select(F.col("member").alias("no")).distinct().select("no", F.col("no").alias("f0"))))
-        else:
-            links = links.unionByName(block_links(large.select("bucket", "member"), distinct.select("no", *lane), most, lanes, bucket))
-    groups = connected_components(links)
-
-    # Documents of one fingerprint share its number; the smallest id of a component is that of its fingerprints' smallest ids.
-    named = distinct.select("no", "least").join(groups.withColumnRenamed("node", "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    # A fingerprint of many copies has many rows: they find their component in a join that can be split.
-    table = named.select("no", "component").join(ids, "component").select("no", "component_id")
-    return prints.withColumn("no", number).join(table, "no").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of ``df`` without those that near-repeat another: of each group the row with the smallest id stays.
-
-    Near copies are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints only estimate that, so it is
-    found by the sets themselves. Rows with a null id stay, as nothing can name them; rows that repeat an id stay or go together. All columns are returned.
-    """
-    groups = similar_groups(df, id_col, text_col, words)
-    gone = materialize(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    return without_ids(df, id_col, gone)
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    named = named_components(connected_components(print_links(distinct.select("fp"), bucket)), distinct.select(F.col("fp").alias("node"), "least"))
+    table = distinct.join(named.withColumnRenamed("node", "fp").withColumn("linked", F.lit(True)), "fp", "left")
+    table = table.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "n")
+    return join_split(prints, table, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(fingerprints(load_table(spark, sf_dir, "documents")))
-    return groups.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,14 +1,17 @@
-"""Near copies by the exact similarity of their shingle sets.
+"""Near copies by fingerprints, and by the exact similarity of their shingle sets.
 
 Two documents are near copies if their sets of shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more, which is the same as
-``9 * shared >= 4 * (size + size)``. Every such pair is found and nothing else is linked:
+``9 * shared >= 4 * (size + size)``. Multi-index hashing of SimHash fingerprints (:mod:`~tenderlake.llm.simhash`) proposes the closest links at a low price. It can't find
+all of them, since a fingerprint is an estimate; so a prefix filter finds the rest, exactly:
 
 * All sets are sorted by one order. A pair of 0.8 or more shares a shingle among the first ``size // 5 + 1`` of both, so only those are filed.
   Any order serves; shingles that a sample finds to be common come last, which keeps the entries of the table small.
-* At the first shared shingle no more than what follows it can be shared too. That and the sizes rule out most pairs without a look at the sets.
-* First each member of an entry is compared with the entry's smallest one, and the links give components. Then only pairs of different
+* At the first shared shingle no more than what follows it can be shared too. That and the sizes rule out many pairs without a look at the sets.
+* A sketch of 256 bits holds for each of as many classes of shingles whether their number is odd. Where two sketches differ, the sets differ
+  in at least one shingle of that class, and sets of 0.8 differ in a ninth of their sizes at most. That rules out nearly all other pairs of up to about 500 shingles.
+* First each member of an entry is compared with the entry's smallest one, and the links, with those of the fingerprints, give components. Then only pairs of different
   components remain: a dense family is done with after the first round and costs no pairs.
-* A pair is confirmed by its two whole sets.
+* A pair is confirmed by its two whole sets. They are made again from the texts of the documents in question, so sets are never stored.
 """
 
 from __future__ import annotations
@@ -21,49 +24,56 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import SEED, SLICE, arrow_fields, map_batches, shingles, text_of, without_ids
-from tenderlake.llm.components import connected_components
-from tenderlake.sources.tables import materialize
+from tenderlake.llm.common import SEED, SLICE, arrow_fields, join_split, map_batches, text_of, without_ids
+from tenderlake.llm.components import connected_components, named_components
+from tenderlake.llm.simhash import print_links, print_of, shingle_hashes
+from tenderlake.sources.tables import discard, materialize
 
+#: Words of 64 bits of a sketch.
+SKETCH = 4
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct hashes of the text's shingles, in order."""
-    parts = shingles(text, words)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts)).view(np.int64))
 
+def number_of(items: np.ndarray) -> int:
+    """A hash of a set, which serves as its number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).astype(np.int64))
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id``, ``no`` (a hash of the set, which serves as its number) and ``items`` for each row of ``df``. A null text counts as empty."""
-    schema = arrow_fields(doc_id="long", no="long", items=pa.list_(pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(at, SLICE)
-                found = [shingle_set(t, words) for t in rows.column(1).to_pylist()]
-                nos = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(nos), items.cast(schema.field(2).type)], schema=schema)
+def sketch_of(items: np.ndarray) -> list[int]:
+    """Of the classes that 8 bits of a hash name, those with an odd number of items."""
+    odd = np.bincount((items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
-    return map_batches(df.select(F.col(f"`{id_col}`").cast("bigint"), text_of(text_col)), schema, run)
 
-
-def common_items(sets: DataFrame, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Items that are common in a sample of the sets, in order, and how often. They only shape the order, never the result."""
-    step = sets.count() // sample + 1
-    picked = sets.where(F.pmod(F.xxhash64("no"), F.lit(step)) == 0).select(F.explode("items").alias("item"))
-    rows = picked.groupBy("item").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "item").limit(most).toArrow()
+def common_items(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Items that are common in a sample of the texts (``mark, body``), in order, and how often. They only shape the order, never the result."""
+    step = docs.count() // sample + 1
+    picked = docs.where(F.pmod(F.xxhash64("mark"), F.lit(step)) == 0).dropDuplicates(["mark"])
+    items = sets_of(picked, words).select(F.explode("items").alias("item"))
+    rows = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "item").limit(most).toArrow()
     items, n = (rows.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(items)
     return items[order], n[order]
 
 
-def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, no, size, pos): the first ``size // 5 + 1`` items of each set, rare ones first."""
-    schema = arrow_fields(key="long", no="long", size="long", pos="long")
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """``no`` and ``items`` of each text (``mark, body``)."""
+    schema = arrow_fields(no="long", items=pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                found = [np.unique(shingle_hashes(t, words).view(np.int64)) for t in batch.column(1).slice(at, 64).to_pylist()]
+                ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(map(number_of, found), pa.int64()), items.cast(schema.field(1).type)], schema=schema)
+
+    return map_batches(docs.select("mark", "body"), schema, run)
+
+
+def summaries(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """For each row (``doc_id, mark, body``): ``doc_id, mark, no``, fingerprint, size, sketch, and the set's first ``size // 5 + 1`` items, rare ones first."""
     known, often = common
+    schema = arrow_fields(doc_id="long", mark="long", no="long", fp="long", size="long", sketch=pa.list_(pa.int64()), prefix=pa.list_(pa.int64()))
 
     def first(items: np.ndarray) -> np.ndarray:
         n = len(items) // 5 + 1
@@ -76,13 +86,14 @@ def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
-                sizes = rows.column(1).value_lengths().to_numpy()
-                chosen = [first(x) for x in np.split(rows.column(1).flatten().to_numpy(), np.cumsum(sizes)[:-1])]
-                n = np.array([len(x) for x in chosen])
-                columns = [np.concatenate(chosen), np.repeat(rows.column(0).to_numpy(), n), np.repeat(sizes, n), np.concatenate([np.arange(x) for x in n])]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], schema=schema)
+                out = []
+                for text in rows.column(2).to_pylist():
+                    hashes = shingle_hashes(text, words)
+                    items = np.unique(hashes.view(np.int64))
+                    out.append((number_of(items), print_of(hashes), len(items), sketch_of(items), first(items)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))], schema=schema)
 
-    return map_batches(sets.where(F.size("items") > 0).select("no", "items"), schema, run)
+    return map_batches(docs.select("doc_id", "mark", "body"), schema, run)
 
 
 def shared_entries(filed: DataFrame) -> DataFrame:
@@ -121,44 +132,92 @@ def may_link(a: str, b: str) -> Column:
     return F.expr(f"9 * least({a}size - {a}pos, {b}size - {b}pos) >= 4 * ({a}size + {b}size)")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets have a similarity of 0.8 or more."""
+def close_sketches(a: str, b: str) -> Column:
+    differ = " + ".join(f"bit_count({a}sketch[{i}] ^ {b}sketch[{i}])" for i in range(SKETCH))
+    return F.expr(f"9 * ({differ}) <= {a}size + {b}size")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Those of ``total`` pairs (a, b) whose sizes and sketches allow a similarity of 0.8."""
+    for end in ("a", "b"):
+        side = sets.select(F.col("no").alias(end), F.col("size").alias(f"{end}_size"), F.col("sketch").alias(f"{end}_sketch"))
+        # An entry's hub, or a fingerprint's, has many pairs.
+        pairs = join_split(pairs, side.join(pairs.groupBy(end).agg(F.count("*").alias("n")), end), end, total)
+    return pairs.where(F.expr("9 * least(a_size, b_size) >= 4 * (a_size + b_size)")).where(close_sketches("a_", "b_")).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b), written already, whose whole sets have a similarity of 0.8 or more. ``marks`` has each set's number and the mark of a text that gives it."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    held = sets.select("no", "items").join(wanted, "no", "left_semi")
-    both = pairs.join(held.select(F.col("no").alias("a"), F.col("items").alias("x")), "a").join(held.select(F.col("no").alias("b"), F.col("items").alias("y")), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    wanted = materialize(marks.join(wanted, "no", "left_semi").select("no", F.col("mark").alias("wanted")), "wanted-sets")
+    side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
+    texts = docs.join(side, F.col("mark") == F.col("wanted")).dropDuplicates(["mark"])
+    held = materialize(sets_of(texts, words).join(wanted.select("no"), "no", "left_semi").dropDuplicates(["no"]), "held-sets")
+    # A hub's set goes once with each chunk of its partners.
+    chunks = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(max(64, pairs.count() // 100_000))).alias("chunk")).agg(F.collect_list("b").alias("bs"))
+    both = chunks.join(held.select(F.col("no").alias("a"), F.col("items").alias("x")), "a").select("a", "x", F.explode("bs").alias("b"))
+    both = both.join(held.select(F.col("no").alias("b"), F.col("items").alias("y")), "b")
+    links = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
+    discard(wanted, held)
+    return links
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """``doc_id`` and ``component_id`` for each row of ``df``: the components of all pairs with a similarity of 0.8 or more.
 
     Documents with equal sets always link, empty ones too. The component's id is its smallest id; a null id belongs to its component but never
-    names it, unless no other is there.
+    names it, unless no other is there. Texts of one 64-bit hash count as one. Jobs run while the result is built.
     """
-    every = materialize(shingle_sets(df, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    distinct = materialize(every.groupBy("no").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.count("*").alias("n")), "distinct-sets")
-    copies = every.select("no", "row").join(distinct.where("n > 1").select("no", "first"), "no").where("row != first").select("row")
-    sets = without_ids(every, "row", materialize(copies, "copied-sets"))
-
-    filed = prefixes(sets, common_items(sets)).repartition("key").sortWithinPartitions("key", "no")
-    met = materialize(shared_entries(filed), "shared-shingles")
-    stars = materialize(met.where(F.col("no") != F.col("hub")).where(may_link("", "hub_")).select(F.col("hub").alias("a"), F.col("no").alias("b")).distinct(), "star-pairs")
-    links = materialize(confirmed(stars, sets), "star-links")
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_of(text_col).alias("body")).select("doc_id", F.xxhash64("body").alias("mark"), "body")
+    every = materialize(summaries(docs, words, common_items(docs, words)), "set-summaries")
+    facts = F.min(F.struct("mark", "fp", "size", "sketch")).alias("f")
+    sets = materialize(every.groupBy("no").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), facts).select("no", "least", "n", "f.*"), "distinct-sets")
+
+    # Of the rows of one set one files its prefix. Rows of one text have equal prefixes, so they may all serve where they are few.
+    several = sets.where("n > 1").select("no")
+    alone = without_ids(every, "no", materialize(several, "copied-sets")).select("no", "size", "prefix")
+    chosen = every.join(F.broadcast(several) if several.count() <= 500_000 else several, "no", "left_semi").groupBy("no", "size").agg(F.min("prefix").alias("prefix"))
+    filed = alone.unionByName(chosen).where("size > 0").select(F.posexplode("prefix").alias("pos", "key"), "no", "size").select("key", "no", "size", F.col("pos").cast("bigint").alias("pos"))
+    met = materialize(shared_entries(filed.repartition("key").sortWithinPartitions("key", "no")), "shared-shingles")
+    stars = met.where(F.col("no") != F.col("hub")).where(may_link("", "hub_")).select(F.col("hub").alias("a"), F.col("no").alias("b"))
+
+    # The fingerprints' links, each print standing for the first of its sets, and from there to the others.
+    prints = materialize(sets.groupBy("fp").agg(F.min("no").alias("no"), F.count("*").alias("n")), "set-prints")
+    linked = print_links(prints.select("fp"))
+    for end in ("a", "b"):
+        linked = linked.join(prints.select(F.col("fp").alias(end), F.col("no").alias(f"{end}_no")), end)
+    same = join_split(sets.select("fp", F.col("no").alias("b")), prints.withColumnRenamed("no", "a"), "fp", sets.count()).where("a != b").select("a", "b")
+    proposed = linked.select(F.least("a_no", "b_no").alias("a"), F.greatest("a_no", "b_no").alias("b")).unionByName(same)
+    first = materialize(stars.unionByName(proposed).distinct(), "first-pairs")
+    links = confirmed(materialize(likely(first, sets, first.count()), "likely-pairs"), sets.select("no", "mark"), docs, words)
     groups = connected_components(links)
 
     labelled = met.select("key", "no", "size", "pos").join(groups.withColumnRenamed("node", "no"), "no", "left").withColumn("label", F.coalesce("component", "no")).drop("component")
     labelled = materialize(labelled, "labelled-shingles")
+    discard(met)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
-    left, right = (rest.select("key", *(F.col(c).alias(side + c) for c in ("no", "size", "pos", "label"))) for side in ("a_", "b_"))
-    across = left.join(right, "key").where("a_no < b_no AND a_label != b_label").where(may_link("a_", "b_"))
-    across = across.select(F.col("a_no").alias("a"), F.col("b_no").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(across, "other-pairs"), sets), "other-links")
+    rest = labelled.join(mixed, "key", "left_semi").join(sets.select("no", "sketch"), "no")
+    left, right = (rest.select("key", *(F.col(c).alias(side + c) for c in ("no", "size", "pos", "label", "sketch"))) for side in ("a_", "b_"))
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_no") < F.col("b_no")) & (F.col("a_label") != F.col("b_label")) & may_link("a_", "b_") & close_sketches("a_", "b_"))
+    across = materialize(across.select(F.col("a_no").alias("a"), F.col("b_no").alias("b")).distinct(), "other-pairs")
+    more = confirmed(across.join(first, ["a", "b"], "left_anti"), sets.select("no", "mark"), docs, words)
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 
-    named = distinct.select("no", "least").join(groups.withColumnRenamed("node", "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    # A set of many copies has many rows: they find their component in a join that can be split.
-    table = named.select("no", "component").join(ids, "component").select("no", "component_id")
-    return every.select("doc_id", "no").join(table, "no").select("doc_id", "component_id")
+    named = named_components(groups, sets.select(F.col("no").alias("node"), "least"))
+    table = sets.select("no", "least", "n").join(named.withColumnRenamed("node", "no").withColumn("linked", F.lit(True)), "no", "left")
+    table = table.select("no", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "n")
+    return join_split(every.select("doc_id", "no"), table, "no", every.count()).select("doc_id", "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """The rows of ``df`` without those that near-repeat another: of each group the row with the smallest id stays.
+
+    Near copies are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Multi-index hashing of fingerprints proposes links, which the sets
+    confirm; a fingerprint only estimates a similarity, so a prefix filter finds the links that it misses, and none is lost. Null texts count as empty,
+    and empty texts are copies of each other. Rows with a null id stay, as nothing can name them; rows that repeat an id stay or go together. All columns are
+    returned, whatever their names; an empty table gives an empty result. Jobs run while the result is built.
+    """
+    groups = similar_groups(df, id_col, text_col, words)
+    gone = materialize(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    return without_ids(df, id_col, gone)

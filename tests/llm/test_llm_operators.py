@@ -85,7 +85,7 @@ def brute_print(text, words=4):
 
 @given(st.text(alphabet="aAbÉ \t\n\x0b\x1c😀", max_size=60))
 def test_fingerprint(text):
-    assert simhash.fingerprint(text, 4)[0] % (1 << 64) == brute_print(text)
+    assert simhash.print_of(simhash.shingle_hashes(text, 4)) % (1 << 64) == brute_print(text)
 
 
 def components_by_hand(edges, nodes):
@@ -112,26 +112,20 @@ def test_near_groups_lose_no_link(spark, bucket):
         for b in rng.sample(range(64), rng.randrange(9)):
             x ^= 1 << b
         prints.append(x)
-    rows = [(i, [x - (1 << 64) if x >> 63 else x]) for i, x in enumerate(prints)]
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(prints)]
     edges = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
-    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, fp array<long>"), 4, 1, bucket)
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, fp long"), bucket)
     assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand(edges, range(len(prints)))
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_wide_fingerprints(spark, bucket):
-    rng, n = random.Random(4), 40
-    base = [rng.getrandbits(256) for _ in range(3)]
-    prints = []
-    for _ in range(n):
-        x = rng.choice(base)
-        for b in rng.sample(range(256), rng.randrange(12)):
-            x ^= 1 << b
-        prints.append(x)
-    lanes = lambda x: [int(np.uint64(x >> 64 * i & (1 << 64) - 1).astype(np.int64)) for i in range(4)]
-    edges = [(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 23]
-    got = simhash.near_groups(spark.createDataFrame([(i, lanes(x)) for i, x in enumerate(prints)], "doc_id long, fp array<long>"), 23, 4, bucket)
-    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_hand(edges, range(n))
+def test_near_groups_of_odd_rows(spark, odd, none):
+    got = simhash.near_groups(simhash.fingerprints(odd)).collect()
+    groups = {(r.doc_id, r.fp): r.component_id for r in got}
+    assert len(got) == len(ROWS) and {r.component_id for r in got if r.fp == 0} == {3}  # null, empty and blank texts
+    assert groups[1, groups and next(f for i, f in groups if i == 1)] == 1
+    only_null = spark.createDataFrame([(None, "no id"), (None, "no id")], "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_groups(simhash.fingerprints(only_null)).collect()] == [None, None]
+    assert simhash.near_groups(simhash.fingerprints(none)).count() == 0
 
 
 def test_near_copies_go_and_others_stay(spark, odd, none):
@@ -140,10 +134,10 @@ def test_near_copies_go_and_others_stay(spark, odd, none):
     texts = [[word() for _ in range(300)] for _ in range(8)]
     near = [w[:150] + [word()] + w[151:] for w in texts[:4]]
     rows = [(i, " ".join(w), "s", i) for i, w in enumerate(texts + near)]
-    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, component_id string, fp int"))
+    kept = similar_sets.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, component_id string, fp int"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(8)) and kept.columns == ["doc_id", "text", "component_id", "fp"]
-    assert simhash.drop_near_copies(none).count() == 0
-    left = simhash.drop_near_copies(odd)
+    assert similar_sets.drop_near_copies(none).count() == 0
+    left = similar_sets.drop_near_copies(odd)
     assert left.where("doc_id IN (1, 2, 6, 7)").count() == 2 and left.where("doc_id IS NULL").count() == 2
 
 
@@ -166,7 +160,7 @@ def graded_texts():
 @pytest.mark.parametrize("common", [True, False])
 def test_near_copies_are_all_pairs_of_similarity_80(spark, common, monkeypatch):
     if not common:  # the order is free: without known items the same must come out
-        monkeypatch.setattr(similar_sets, "common_items", lambda sets: (np.empty(0, np.int64), np.empty(0, np.int64)))
+        monkeypatch.setattr(similar_sets, "common_items", lambda docs, words: (np.empty(0, np.int64), np.empty(0, np.int64)))
     texts = graded_texts()
     brute = []
     for t in texts:
@@ -177,7 +171,7 @@ def test_near_copies_are_all_pairs_of_similarity_80(spark, common, monkeypatch):
     got = similar_sets.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     want = components_by_hand(edges, range(len(texts)))
     assert {r.doc_id: r.component_id for r in got.collect()} == want
-    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = similar_sets.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
