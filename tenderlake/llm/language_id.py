@@ -101,10 +101,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], size: int =
 
 
 def train(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most ``sample`` of ``docs`` with a text and a language: those whose ids hash lowest. Only hashed counts come to the driver."""
+    """Fit on at most ``sample`` of ``docs`` with a text and a language: those whose ids hash lowest, one row for each id. Only hashed counts come to the driver.
+
+    A fifth of them calibrates temperature and rejection (``reject_below``); of fewer than five none does, and nothing is rejected.
+    """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     chosen = known.select(F.col(f"`{id_col}`").alias("chosen_id")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
-    rows = known.join(F.broadcast(chosen), F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id"))).select("chosen_id", F.col(f"`{lang_col}`").cast("string"), text_of(text_col))
+    rows = known.join(F.broadcast(chosen), F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id"))).select(F.col("chosen_id").cast("bigint"), F.struct(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_of(text_col).alias("body")).alias("row"))
+    rows = rows.groupBy("chosen_id").agg(F.max("row").alias("row")).select("chosen_id", "row.*")
     schema = arrow_fields(chosen_id="long", lang="text", buckets=pa.list_(pa.int32()), counts=pa.list_(pa.int32()))
 
     def make():

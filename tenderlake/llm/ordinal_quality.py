@@ -75,10 +75,10 @@ def buckets_of(text: str) -> list[int]:
 class OrdinalModel:
     weights: dict[int, float]
     thresholds: list[float]
-    #: The tail probability from which a document is kept, as the sample's ratings tell it.
+    #: The tail probability from which a document is kept, as ratings tell it that the weights were not fitted on.
     keep_at: float = 0.5
 
-    def scorer(self, most: int = 150_000) -> Callable[[str], float]:
+    def scorer(self, most: int = 100_000) -> Callable[[str], float]:
         """A function from text to score, which remembers for up to ``most`` words which of their features weigh anything."""
         known: dict[str, tuple[int, ...]] = {}
         weights = self.weights
@@ -127,10 +127,14 @@ def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3,
     """Maximum likelihood with an L1 penalty over the telling features.
 
     ``flat`` has the buckets of all rows, ``owner`` the row of each. ``balance`` 1 gives all grades the same weight together, 0 all rows.
+    Every fifth row is held back and tells where to cut, if there are good and other ones among them; else all rows do.
     """
     if not len(grades):
         return OrdinalModel({}, [0.0] * (GRADES - 1))
-    often = telling(flat, owner, grades, least, sure)
+    held_back = np.arange(len(grades)) % 5 == 4
+    shown = ~held_back[owner]
+    number = np.cumsum(~held_back) - 1
+    often = telling(flat[shown], number[owner[shown]], grades[~held_back], least, sure)
     names = np.flatnonzero(often)
     place = (np.cumsum(often) - 1).astype(np.int32)
     used = often[flat]
@@ -138,8 +142,8 @@ def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3,
     # Sums of floating point numbers depend on their order, so that is fixed.
     order = np.lexsort((flat, owner))
     at, owner = flat[order], owner[order]
-    n = np.bincount(grades, minlength=GRADES)
-    share = (np.maximum(n, 1.0) ** -balance)[grades]
+    n = np.bincount(grades[~held_back], minlength=GRADES)
+    share = (np.maximum(n, 1.0) ** -balance)[grades] * ~held_back
     share /= share.sum()
     weights, gaps = np.zeros(len(names)), np.array([-1.0, np.log(2.0)])  # the first threshold, and the logarithm of the distance to the next
     squares, gap_squares = np.zeros(len(names)), np.zeros(len(gaps))
@@ -163,7 +167,9 @@ def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3,
         gaps -= rate * gap_grad / (np.sqrt(gap_squares) + 1e-9)
     held = np.flatnonzero(weights)
     model = OrdinalModel(dict(zip(names[held].tolist(), weights[held].tolist(), strict=True)), [float(gaps[0]), float(gaps[0] + np.exp(gaps[1]))])
-    model.keep_at = best_cut(np.array([model.tails(x)[-1] for x in np.bincount(owner, weights[at], len(grades))]), grades == GRADES - 1)
+    tails, good = np.array([model.tails(x)[-1] for x in np.bincount(owner, weights[at], len(grades))]), grades == GRADES - 1
+    judges = held_back if 0 < good[held_back].sum() < held_back.sum() else np.ones(len(grades), bool)
+    model.keep_at = best_cut(tails[judges], good[judges])
     return model
 
 
@@ -182,13 +188,14 @@ def best_cut(tails: np.ndarray, good: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on at most ``sample`` rated documents: those whose ids hash lowest, so the same ones at each run and in any order of rows.
 
-    ``labels`` has ``doc_id``, ``quality`` (0 or 1; null: not rated) and ``toxic`` (null: 0). Its rows may repeat. Only the sample's
-    hashed features come to the driver.
+    ``labels`` has ``doc_id``, ``quality`` (0 or 1; null: not rated) and ``toxic`` (null: 0). Of rows that repeat an id the lowest grade counts, and
+    one of its texts. Only the sample's hashed features come to the driver.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).cast("bigint")
-    rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rated_id"), grade.alias("grade"))
-    rated = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(sample)
-    rows = docs.join(F.broadcast(rated), F.col(f"`{id_col}`") == F.col("rated_id")).select("rated_id", "grade", text_of(text_col))
+    rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("rated_id")).agg(F.min(grade).alias("grade"))
+    rated = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rated_id"), text_of(text_col).alias("body")).join(F.broadcast(rated), "rated_id")
+    rows = rows.groupBy("rated_id", "grade").agg(F.max("body").alias("body"))
     schema = arrow_fields(rated_id="long", grade="long", buckets=pa.list_(pa.int32()))
     found = map_rows(rows, schema, lambda: lambda ids, grades, texts: [ids, grades, [buckets_of(t) for t in texts]]).toArrow().combine_chunks()
     if not found.num_rows:
@@ -228,7 +235,10 @@ def grade_documents(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def keep_good(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_at: float | None = None) -> DataFrame:
-    """The rows of ``df`` whose tail probability reaches ``keep_at``, with all their columns, in one pass without a join."""
+    """The rows of ``df`` whose tail probability reaches ``keep_at``, with all their columns, whatever their names, in one pass without a join.
+
+    Whole texts are read; a null text counts as empty; ids aren't read, so null and repeated ones are judged by their texts; an empty table gives an empty result.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep_at = model.keep_at if keep_at is None else keep_at
     known: list = []

@@ -295,9 +295,9 @@ def find_spans(texts: list[str], model: FieldModel, sure: float = 0.9) -> list[t
 
 def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> FieldModel:
     """Fit on at most ``sample`` documents that hold a digit or an ``@``: those whose ids hash lowest, one row for each id. Only hashed features, forms, labels and edges come to the driver."""
-    some = docs.where(text_of(text_col).rlike("[0-9@]")).select(F.col(f"`{id_col}`").cast("bigint").alias("chosen_id"), text_of(text_col).alias("body")).where("chosen_id IS NOT NULL")
-    chosen = some.groupBy("chosen_id").agg(F.max(F.xxhash64("body")).alias("digest")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
-    rows = some.withColumn("digest", F.xxhash64("body")).join(F.broadcast(chosen), ["chosen_id", "digest"]).groupBy("chosen_id").agg(F.max("body").alias("body"))
+    some = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("chosen_id"), text_of(text_col).alias("body")).where(F.col("chosen_id").isNotNull() & F.col("body").rlike("[0-9@]"))
+    chosen = some.select("chosen_id").distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
+    rows = some.join(F.broadcast(chosen), "chosen_id").groupBy("chosen_id").agg(F.max("body").alias("body"))
     numbers = pa.list_(pa.int32())
     schema = arrow_fields(chosen_id="long", forms=numbers, features=numbers, labels=numbers, edges=numbers)
 

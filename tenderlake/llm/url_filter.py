@@ -44,10 +44,11 @@ class RuleTable:
 
     @staticmethod
     def build(rules: Iterable[tuple[str, str, str]]) -> RuleTable:
-        """Rules (host, path, allow or block); of rules that repeat a host and path the first counts."""
+        """Rules (host, path, allow or block); of rules that repeat a host and path one that allows counts, in whatever order they come."""
         seen: dict[bytes, bool] = {}
         for host, path, verdict in rules:
-            seen.setdefault(f"{host.translate(ASCII_LOWER)}\0{path}".encode(), verdict == "block")
+            key = f"{host.translate(ASCII_LOWER)}\0{path}".encode()
+            seen[key] = verdict == "block" and seen.get(key, True)
         entries = sorted((xxhash.xxh64_intdigest(s), s, blocked) for s, blocked in seen.items())
         offsets = np.cumsum([0, *(len(s) for _, s, _ in entries)]).astype(np.int64)
         lengths = sorted({len(s.decode().partition("\0")[2]) for s in seen})
@@ -108,7 +109,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_
     The rule is host and path of the longest rule that fits (its host or a subdomain, and the beginning of its path; between
     rules of one length the longer host), null if none does; the verdict is the rule's, else ``default``. A null url, or one without ``://``, has an empty
     host and path and no rule. Rows may repeat; ids may be null; other columns aren't read; an empty table gives an empty result.
-    A table of rules over ``max_bytes`` is refused: use :func:`judge_by_join`.
+    Of rules that repeat a host and path one that allows counts. A table of rules over ``max_bytes`` is refused: use :func:`judge_by_join`.
     """
     packed = RuleTable.build(rules).pack()
     if len(packed) > max_bytes:
@@ -138,20 +139,23 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_
 def judge_by_join(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """As :func:`judge_urls`, for a table of ``rules`` (host, path, verdict) of any size: its probes meet the rules in a join by string.
 
-    Rows that repeat an id and url give one row here, since probes are gathered by id and url.
+    A url has a probe for each suffix of its host and each length of path that some rule with this host has. Lengths come from a table, not from the driver, so their number
+    is free. Of rules that repeat a host and path one that allows counts, as there. Rows that repeat stay as many; null urls and ids, other columns and empty tables as there.
     """
     u = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
-    host = F.translate(F.regexp_extract(u, r"(?s)://([^/?#]*)([^?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    pages = df.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), host.alias("host"), F.regexp_extract(u, r"(?s)://([^/?#]*)([^?#]*)", 2).alias("path"))
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().limit(1000).collect()]
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    form = r"(?s)://([^/?#]*)([^?#]*)"
+    pages = df.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), lower(F.regexp_extract(u, form, 1)).alias("host"), F.regexp_extract(u, form, 2).alias("path"))
+    named = rules.groupBy(lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict"))
+    lengths = named.select("rule_host", F.length("rule_path").alias("n")).distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    probes = pages.where("host != ''").distinct().withColumn("rule_host", F.explode(suffixes)).withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).where("n <= length(path)").withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
-    named = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict"))
+    # Each host and path once, however many pages have them.
+    urls = pages.where("host != ''").select("host", "path").distinct()
+    probes = urls.withColumn("rule_host", F.explode(suffixes)).join(lengths, "rule_host").where("n <= length(path)").withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
     best = F.max(F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")).alias("best")
-    hits = probes.join(named, ["rule_host", "rule_path"]).groupBy(*(F.col(c).alias(f"hit_{c}") for c in ("page_id", "host", "path"))).agg(best)
-    key = F.col("page_id").eqNullSafe(F.col("hit_page_id")) & (F.col("host") == F.col("hit_host")) & (F.col("path") == F.col("hit_path"))
-    return pages.join(hits, key, "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    hits = probes.join(named, ["rule_host", "rule_path"]).groupBy("host", "path").agg(best)
+    return pages.join(hits, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,9 +59,9 @@ def brute_exact(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"fan": 2, "rounds": 3}, {"fan": 3, "rounds": 1}])
-def test_exact_dedup_against_brute_force(odd, options):
-    got = sorted((tuple(r) for r in exact_dedup.exact_dedup(odd, **options).drop("n_chars").collect()), key=repr)
+@pytest.mark.parametrize(("fan", "leaves"), [(8, 4), (2, 7), (3, 1)])
+def test_exact_dedup_against_brute_force(odd, fan, leaves):
+    got = sorted((tuple(r) for r in exact_dedup.exact_dedup(odd.repartition(leaves), fan=fan).drop("n_chars").collect()), key=repr)
     assert got == brute_exact([(r[0], r[1]) for r in ROWS])
 
 
@@ -428,6 +428,12 @@ def test_urls(spark):
     rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
     assert {tuple(r) for r in url_filter.judge_by_join(df, rules).collect()} == {tuple(r) for r in got}
     assert url_filter.judge_urls(df.where("false")).count() == 0
+    # Repeated rules, hosts in capitals, and more than a thousand lengths of path.
+    many = [("Long.org", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(1200)] + [("long.org", "/", "block"), ("b.com", "/", "block"), ("b.com", "/", "allow")]
+    urls = spark.createDataFrame([(1, "http://a.long.org/" + "x" * 1150), (1, "http://a.long.org/" + "x" * 1150), (2, "http://long.org/" + "x" * 2000), (3, "http://long.org/y"), (None, "http://b.com/"), (4, None)], "page_id long, url string")
+    want = sorted(map(tuple, url_filter.judge_urls(urls, many).collect()), key=repr)
+    assert sorted(map(tuple, url_filter.judge_by_join(urls, spark.createDataFrame(many, "host string, path string, verdict string")).collect()), key=repr) == want and len(want) == 6
+    assert {len(r[3]) for r in want if r[0] in (1, 2)} == {len("Long.org/") + 1150, len("Long.org/") + 1199}
     with pytest.raises(ValueError):
         url_filter.judge_urls(df, max_bytes=10)
 
@@ -507,6 +513,23 @@ def test_ordinal_quality(spark, odd, none):
     assert ordinal_quality.grade_documents(none, ordinal_quality.train(none, labels)).count() == 0
 
 
+def test_scores_and_tails_by_brute_force(spark):
+    """The score is the sum of the weights of all a text's features, each once; tails and grade follow from the thresholds."""
+    rng = np.random.default_rng(5)
+    texts = [t for _, t, _ in quality_rows(40, 7)] + ["", "  ", "One word", "word " * 5000]
+    weights = {b: float(w) for t in texts for b, w in zip(ordinal_quality.buckets_of(t), rng.normal(size=500), strict=False)}
+    model = ordinal_quality.OrdinalModel(weights, [-0.5, 1.0], 0.4)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id long, text string")
+    for r in ordinal_quality.grade_documents(df, model).collect():
+        text = texts[r.doc_id] if r.doc_id is not None else ""
+        features = {"s " + x for x in ordinal_quality.shape(text)}
+        for w in re.findall(r"\w+", text.lower()):
+            features |= {"w " + w, "p " + w[:4], "e " + w[-4:]}
+        score = sum(weights.get(b, 0.0) for b in {zlib.crc32(f.encode()) % (1 << 22) for f in features})
+        tails = [1 / (1 + np.exp(-(score - t))) for t in (-0.5, 1.0)]
+        assert np.allclose((r.score, r.expected_grade, r.tail_probability), (score, sum(tails), tails[1])) and r.kept == (r.tail_probability >= 0.4)
+
+
 # 9: packing
 
 
