@@ -107,19 +107,24 @@ def telling(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int,
     """The buckets of at least ``least`` rows that take part: all of the shape, and the words' that speak against a document.
 
     Those are more frequent in a lower grade than in the others by ``sure`` standard errors. A text is good unless something speaks against
-    it; words that are merely common in good texts would tell long from short ones instead.
+    it; words that are merely common in good texts would tell long from short ones instead. Rows of a negative grade don't count.
     """
-    total = np.bincount(flat, minlength=BUCKETS)
+    counts = np.zeros((GRADES, BUCKETS), np.int32)
+    for at in range(0, len(flat), 1 << 20):  # piece by piece: the driver's memory holds the sample, not several copies of it
+        part, grade = flat[at : at + (1 << 20)], grades[owner[at : at + (1 << 20)]]
+        for k in range(GRADES):
+            counts[k] += np.bincount(part[grade == k], minlength=BUCKETS).astype(np.int32)
+    total = counts.sum(0)
+    rows = int((grades >= 0).sum())
     out = np.zeros(BUCKETS, bool)
     out[[bucket(f"s {name} {i}") for name in SHAPES for i in range(32)] + [bucket("s empty")]] = True
     for k in range(GRADES - 1):
         inside = int((grades == k).sum())
-        outside = len(grades) - inside
+        outside = rows - inside
         if inside and outside:
-            own = np.bincount(flat[grades[owner] == k], minlength=BUCKETS)
-            share = total / len(grades)
+            share = total / rows
             error = np.sqrt(share * (1 - share) * (1 / inside + 1 / outside)) + 1e-12
-            out |= own / inside - (total - own) / outside > sure * error
+            out |= counts[k] / inside - (total - counts[k]) / outside > sure * error
     return out & (total >= least)
 
 
@@ -132,9 +137,7 @@ def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3,
     if not len(grades):
         return OrdinalModel({}, [0.0] * (GRADES - 1))
     held_back = np.arange(len(grades)) % 5 == 4
-    shown = ~held_back[owner]
-    number = np.cumsum(~held_back) - 1
-    often = telling(flat[shown], number[owner[shown]], grades[~held_back], least, sure)
+    often = telling(flat, owner, np.where(held_back, -1, grades).astype(np.int8), least, sure)
     names = np.flatnonzero(often)
     place = (np.cumsum(often) - 1).astype(np.int32)
     used = often[flat]
@@ -197,14 +200,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rated_id"), text_of(text_col).alias("body")).join(F.broadcast(rated), "rated_id")
     rows = rows.groupBy("rated_id", "grade").agg(F.max("body").alias("body"))
     schema = arrow_fields(rated_id="long", grade="long", buckets=pa.list_(pa.int32()))
-    found = map_rows(rows, schema, lambda: lambda ids, grades, texts: [ids, grades, [buckets_of(t) for t in texts]]).toArrow().combine_chunks()
+    found = map_rows(rows, schema, lambda: lambda ids, grades, texts: [ids, grades, [buckets_of(t) for t in texts]]).toArrow()
     if not found.num_rows:
         return OrdinalModel({}, [0.0] * (GRADES - 1))
     lengths = found["buckets"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    flat = found["buckets"].combine_chunks().flatten().to_numpy()
     order = np.lexsort((lengths, found["grade"].to_numpy(), found["rated_id"].to_numpy()))
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    return fit(found["buckets"].combine_chunks().flatten().to_numpy(), np.repeat(rank, lengths), found["grade"].to_numpy()[order])
+    grades = found["grade"].to_numpy()[order]
+    del found
+    return fit(flat, np.repeat(rank, lengths), grades)
 
 
 SCHEMA = arrow_fields(doc_id="long", score="real", expected_grade="real", tail_probability="real", kept="flag")
