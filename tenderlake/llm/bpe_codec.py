@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -260,7 +261,10 @@ class Transducer:
             going = int(np.searchsorted(-sizes, -p))  # words stand from the longest to the shortest
             at = starts[:going] + p
             keys, place = np.unique(states[:going] << 8 | data[at], return_inverse=True)
-            arcs = np.fromiter(map(self.arc, keys.tolist()), np.int64, len(keys))
+            found = list(map(self.steps.get, keys.tolist()))
+            if None in found:
+                found = [self.step(key >> 8, key & 255) if arc is None else arc for key, arc in zip(keys.tolist(), found, strict=True)]
+            arcs = np.array(found, np.int64)
             self.met.update((arcs >> TOKEN).tolist())
             arcs = arcs[place]
             states[:going] = arcs >> TOKEN
@@ -373,10 +377,9 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.machine = Utf8Machine(self.transducer.merges.tokens)
         self.most = most
-        # Ids of stretches from space to space, and of matches. Two generations: what is met again moves to the young one; when that is full, the old one goes.
+        # Ids of stretches from space to space and of the matches in them. Two generations: what is met again moves to the young one; when that is full, the old one goes.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
         if self.ODD_SPACE.search(text):
@@ -385,66 +388,81 @@ class Codec:
         rest = [" " + x for x in rest]
         return [first, *rest] if first else rest
 
-    def _learn(self, matches: list[str]) -> None:
-        """The ids of matches that aren't known yet, as 32-bit words."""
-        known, get = self.matches, self.ranks.get
-        if len(known) > self.most:
-            known.clear()
-        new = [m for m in dict.fromkeys(matches) if m not in known]
-        words = [m.encode() for m in new]
+    def _unknown(self, strings: Iterable[str]) -> list[str]:
+        """Those of the strings that no memo has; what the old one has moves to the young one."""
+        young, old = self.young, self.old
+        missing = [x for x in strings if x not in young]
+        out = []
+        for x in missing:
+            ids = old.get(x)
+            if ids is None:
+                out.append(x)
+            else:
+                young[x] = ids
+        return out
+
+    def _learn(self, matches: list[str]) -> dict[str, bytes]:
+        """The ids of matches, as 32-bit words."""
+        new = {}
         short = []
-        for m, word in zip(new, words, strict=True):
+        get = self.ranks.get
+        for m in matches:
+            word = m.encode()
             token = get(word)
             if token is not None:
-                known[m] = array("I", (token,)).tobytes()
+                new[m] = token.to_bytes(4, sys.byteorder)
             elif len(word) > self.SHORT:
-                known[m] = array("I", self.transducer.encode(word)).tobytes()
+                new[m] = array("I", self.transducer.encode(word)).tobytes()
             else:
                 short.append((m, word))
         ids, counts = self.transducer.encode_all([w for _, w in short])
         raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
         for (m, _), start, end in zip(short, [0, *ends], ends, strict=False):
-            known[m] = raw[start:end]
-
-    def _stretches(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of stretches, each cut into its matches. Those of a space and what isn't white space are cut in one go: a line's end between two is a match of its own."""
-        plain = [p for p in parts if p[0] == " " and p[1:].split() == [p[1:]]]
-        held = set(plain)
-        groups: list[tuple[str, list[str]]] = []
-        if plain:
-            flat = self.pattern.findall("\n".join(plain))
-            start = 0
-            for p in plain:
-                end = start
-                size = 0
-                while size < len(p):
-                    size += len(flat[end])
-                    end += 1
-                groups.append((p, flat[start:end]))
-                start = end + 1
-        groups += [(p, self.pattern.findall(p)) for p in parts if p not in held]
-        self._learn([m for _, found in groups for m in found])
-        ids = self.matches
-        return {p: ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found)) for p, found in groups}
+            new[m] = raw[start:end]
+        return new
+
+    def _split(self, parts: list[str]) -> list[tuple[str, list[str]]]:
+        """Each stretch with its matches. Those of a space and what isn't white space are cut in one go: a line's end between two is a match of its own."""
+        plain, groups = [], []
+        for p in parts:
+            if p[0] == " " and p[1:].split() == [p[1:]]:
+                plain.append(p)
+            else:
+                groups.append((p, self.pattern.findall(p)))
+        found = self.pattern.findall("\n".join(plain))
+        start = 0
+        for p in plain:
+            end, size = start, 0
+            while size < len(p):
+                size += len(found[end])
+                end += 1
+            groups.append((p, found[start:end]))
+            start = end + 1
+        return groups
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as 32-bit numbers."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        cut = [[p for p in self._parts(text) if p] for text in texts]
-        missing: dict[str, None] = {}
-        for parts in cut:
-            missing.update(dict.fromkeys(p for p in parts if p not in young))
-        new = {}
-        for p in missing:
-            if (ids := old.get(p)) is not None:
-                new[p] = ids
-        new |= self._stretches([p for p in missing if p not in new])
-        young.update((p, ids) for p, ids in new.items() if len(p) < 64)
-        long = {p: ids for p, ids in new.items() if len(p) >= 64}
-        get = young.__getitem__
-        return [np.frombuffer(b"".join([young[p] if p in young else long[p] for p in parts] if long else map(get, parts)), np.uint32) for parts in cut]
+        cut = [self._parts(text) for text in texts]
+        distinct: set[str] = set().union(*cut)
+        distinct.discard("")
+        # A word of Latin letters, with or without its space, is one match; the rest is left to the pattern.
+        single, other = [], []
+        for p in self._unknown(distinct):
+            (single if (p[1:] if p[0] == " " else p).isalpha() and max(p) < "\u0250" else other).append(p)
+        groups = self._split(other)
+        within = {m for _, found in groups for m in found}.difference(single)
+        new = self._learn(single + self._unknown(within))
+        young = self.young
+        young.update(new)
+        young.update((p, young[found[0]] if len(found) == 1 else b"".join(map(young.__getitem__, found))) for p, found in groups)
+        young[""] = b""
+        out = [np.frombuffer(b"".join(map(young.__getitem__, parts)), np.uint32) for parts in cut]
+        # Long ones aren't worth their room.
+        for p in [x for x in (*new, *(p for p, _ in groups)) if len(x) >= 64]:
+            young.pop(p, None)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -503,7 +521,7 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
         return work
 
-    return map_rows(df.select(F.col(f"`{id_col}`").cast("bigint"), text_of(text_col)), schema, make)
+    return map_rows(df.select(F.col(f"`{id_col}`").cast("bigint"), text_of(text_col)), schema, make, 512)
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

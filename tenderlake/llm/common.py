@@ -62,8 +62,8 @@ def map_batches(df: DataFrame, schema: pa.Schema, run: Callable[[Iterator[pa.Rec
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
-def map_rows(df: DataFrame, schema: pa.Schema, make: Callable[[], Callable[..., list[list]]]) -> DataFrame:
-    """Apply a function to the columns of ``df``, a slice of rows at a time, inside the tasks of its partitions.
+def map_rows(df: DataFrame, schema: pa.Schema, make: Callable[[], Callable[..., list[list]]], size: int = SLICE) -> DataFrame:
+    """Apply a function to the columns of ``df``, a slice of ``size`` rows at a time, inside the tasks of its partitions.
 
     ``make`` is called once a task and gives the function; that gets one list for each column and returns one list
     for each field of ``schema``.
@@ -72,8 +72,8 @@ def map_rows(df: DataFrame, schema: pa.Schema, make: Callable[[], Callable[...,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(start, SLICE)
+            for start in range(0, batch.num_rows, size):
+                rows = batch.slice(start, size)
                 out = work(*(column.to_pylist() for column in rows.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(out, schema, strict=True)], schema=schema)
 
