@@ -78,7 +78,7 @@ class OrdinalModel:
     #: The tail probability from which a document is kept, as ratings tell it that the weights were not fitted on.
     keep_at: float = 0.5
 
-    def scorer(self, most: int = 100_000) -> Callable[[str], float]:
+    def scorer(self, most: int = 80_000) -> Callable[[str], float]:
         """A function from text to score, which remembers for up to ``most`` words which of their features weigh anything."""
         known: dict[str, tuple[int, ...]] = {}
         weights = self.weights
@@ -103,21 +103,19 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(score - t, -50, 50)))) for t in self.thresholds]
 
 
-def telling(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int, sure: float) -> np.ndarray:
-    """The buckets of at least ``least`` rows that take part: all of the shape, and the words' that speak against a document.
+def telling(names: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, sure: float) -> np.ndarray:
+    """Which of the buckets ``names`` take part: all of the shape, and the words' that speak against a document. ``flat`` has their places.
 
     Those are more frequent in a lower grade than in the others by ``sure`` standard errors. A text is good unless something speaks against
     it; words that are merely common in good texts would tell long from short ones instead. Rows of a negative grade don't count.
     """
-    counts = np.zeros((GRADES, BUCKETS), np.int32)
+    counts = np.zeros((GRADES, len(names)))
     for at in range(0, len(flat), 1 << 20):  # piece by piece: the driver's memory holds the sample, not several copies of it
         part, grade = flat[at : at + (1 << 20)], grades[owner[at : at + (1 << 20)]]
         for k in range(GRADES):
-            counts[k] += np.bincount(part[grade == k], minlength=BUCKETS).astype(np.int32)
-    total = counts.sum(0)
-    rows = int((grades >= 0).sum())
-    out = np.zeros(BUCKETS, bool)
-    out[[bucket(f"s {name} {i}") for name in SHAPES for i in range(32)] + [bucket("s empty")]] = True
+            counts[k] += np.bincount(part[grade == k], minlength=len(names))
+    total, rows = counts.sum(0), int((grades >= 0).sum())
+    out = np.isin(names, [bucket(f"s {name} {i}") for name in SHAPES for i in range(32)] + [bucket("s empty")])
     for k in range(GRADES - 1):
         inside = int((grades == k).sum())
         outside = rows - inside
@@ -125,7 +123,7 @@ def telling(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int,
             share = total / rows
             error = np.sqrt(share * (1 - share) * (1 / inside + 1 / outside)) + 1e-12
             out |= counts[k] / inside - (total - counts[k]) / outside > sure * error
-    return out & (total >= least)
+    return out
 
 
 def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3, sure: float = 5.0, penalty: float = 1e-4, steps: int = 800, rate: float = 0.3, balance: float = 0.5) -> OrdinalModel:
@@ -137,10 +135,15 @@ def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3,
     if not len(grades):
         return OrdinalModel({}, [0.0] * (GRADES - 1))
     held_back = np.arange(len(grades)) % 5 == 4
-    often = telling(flat, owner, np.where(held_back, -1, grades).astype(np.int8), least, sure)
-    names = np.flatnonzero(often)
-    place = (np.cumsum(often) - 1).astype(np.int32)
-    used = often[flat]
+    # Only buckets of at least ``least`` rows, by their places.
+    names = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= least)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    flat = place[flat]
+    chosen = telling(names, flat[flat >= 0], owner[flat >= 0], np.where(held_back, -1, grades).astype(np.int8), sure)
+    names, place = names[chosen], np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+    used = np.flatnonzero(flat >= 0)
+    used = used[place[flat[used]] >= 0]
     flat, owner = place[flat[used]], owner[used]
     # Sums of floating point numbers depend on their order, so that is fixed.
     order = np.lexsort((flat, owner))

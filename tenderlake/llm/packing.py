@@ -71,7 +71,7 @@ class IdBytes:
     """The ids of texts as little-endian 32-bit words. Stretches from space to space are remembered in two generations of up to ``most``: what is
     met again moves to the young one, and when that is full the old one goes."""
 
-    def __init__(self, encode: Callable[[str], list[int]], added: dict[str, int] | None = None, most: int = 120_000) -> None:
+    def __init__(self, encode: Callable[[str], list[int]], added: dict[str, int] | None = None, most: int = 80_000) -> None:
         self.encode, self.most = encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

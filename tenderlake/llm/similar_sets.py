@@ -7,8 +7,9 @@ all of them, since a fingerprint is an estimate; so a prefix filter finds the re
 * All sets are sorted by one order. A pair of 0.8 or more shares a shingle among the first ``size // 5 + 1`` of both, so only those are filed.
   Any order serves; shingles that a sample finds to be common come last, which keeps the entries of the table small.
 * At the first shared shingle no more than what follows it can be shared too. That and the sizes rule out many pairs without a look at the sets.
-* A sketch of 256 bits holds for each of as many classes of shingles whether their number is odd. Where two sketches differ, the sets differ
-  in at least one shingle of that class, and sets of 0.8 differ in a ninth of their sizes at most. That rules out nearly all other pairs of up to about 500 shingles.
+* A sketch of 512 bits holds for each of as many classes of shingles whether their number is odd. Where two sketches differ, the sets differ
+  in at least one shingle of that class, and sets of 0.8 differ in a ninth of their sizes at most. That rules out nearly all other pairs of up to about 1,000 shingles.
+* Two sets that meet in an entry and both have the same one as their last shared entry before have met there already, and aren't compared again.
 * First each member of an entry is compared with the entry's smallest one, and the links, with those of the fingerprints, give components. Then only pairs of different
   components remain: a dense family is done with after the first round and costs no pairs.
 * A pair is confirmed by its two whole sets. They are made again from the texts of the documents in question, so sets are never stored.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import SEED, SLICE, arrow_fields, join_split, map_batches, text_of, without_ids
@@ -30,7 +31,7 @@ from tenderlake.llm.simhash import print_links, print_of, shingle_hashes
 from tenderlake.sources.tables import discard, materialize
 
 #: Words of 64 bits of a sketch.
-SKETCH = 4
+SKETCH = 8
 
 
 def number_of(items: np.ndarray) -> int:
@@ -39,7 +40,7 @@ def number_of(items: np.ndarray) -> int:
 
 
 def sketch_of(items: np.ndarray) -> list[int]:
-    """Of the classes that 8 bits of a hash name, those with an odd number of items."""
+    """Of the classes that 9 bits of a hash name, those with an odd number of items."""
     odd = np.bincount((items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
@@ -192,13 +193,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = confirmed(materialize(likely(first, sets, first.count()), "likely-pairs"), sets.select("no", "mark"), docs, words)
     groups = connected_components(links)
 
-    labelled = met.select("key", "no", "size", "pos").join(groups.withColumnRenamed("node", "no"), "no", "left").withColumn("label", F.coalesce("component", "no")).drop("component")
+    before = F.lag("key").over(Window.partitionBy("no").orderBy("pos")).alias("before")  # as many rows as one set has in its prefix
+    labelled = met.select("key", "no", "size", "pos", before).join(groups.withColumnRenamed("node", "no"), "no", "left").withColumn("label", F.coalesce("component", "no")).drop("component")
     labelled = materialize(labelled, "labelled-shingles")
     discard(met)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     rest = labelled.join(mixed, "key", "left_semi").join(sets.select("no", "sketch"), "no")
-    left, right = (rest.select("key", *(F.col(c).alias(side + c) for c in ("no", "size", "pos", "label", "sketch"))) for side in ("a_", "b_"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_no") < F.col("b_no")) & (F.col("a_label") != F.col("b_label")) & may_link("a_", "b_") & close_sketches("a_", "b_"))
+    left, right = (rest.select("key", *(F.col(c).alias(side + c) for c in ("no", "size", "pos", "before", "label", "sketch"))) for side in ("a_", "b_"))
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_no") < F.col("b_no")) & (F.col("a_label") != F.col("b_label")) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False)) & may_link("a_", "b_") & close_sketches("a_", "b_"))
     across = materialize(across.select(F.col("a_no").alias("a"), F.col("b_no").alias("b")).distinct(), "other-pairs")
     more = confirmed(across.join(first, ["a", "b"], "left_anti"), sets.select("no", "mark"), docs, words)
     if not more.isEmpty():
