@@ -9,23 +9,34 @@ from pyspark.sql import functions as F
 def tag_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", most: int = 5000) -> DataFrame:
     """``df`` with ``tags``: the sorted tags of all dictionary rows (``term, tag``) whose term the text holds, whatever its case.
 
-    The dictionary goes into the plan, so its size is checked: over ``most`` rows it is refused, and :func:`tag_by_words` serves instead.
+    The dictionary goes into the plan, so its size is checked: over ``most`` rows it is refused, and :func:`tag_by_words` serves instead. The text is
+    lowered once.
     """
     rows = dictionary.select("term", "tag").where("term IS NOT NULL AND tag IS NOT NULL").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the dictionary has over {most} rows; use tag_by_words")
     if not rows:
         return df.withColumn("tags", F.array().cast("array<string>"))
-    entries = F.array(*(F.struct(F.lit(r["term"].lower()).alias("term"), F.lit(r["tag"]).alias("tag")) for r in sorted(rows)))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hits = F.filter(entries, lambda e: F.contains(low, e["term"]))
-    return df.withColumn("tags", F.array_sort(F.array_distinct(F.transform(hits, lambda e: e["tag"]))))
+    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    hits = F.array(*(F.when(F.contains("_low", F.lit(r["term"].lower())), F.lit(r["tag"])) for r in sorted(rows)))
+    return low.withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(hits)))).drop("_low")
 
 
 def tag_by_words(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key`` and ``tags`` for a dictionary of any size whose terms are single words: words and terms meet in an equi-join."""
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("_word"))
-    found = words.join(dictionary.select(F.lower("term").alias("_word"), "tag").distinct(), "_word").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    """``key`` and ``tags`` for a dictionary of any size, whose terms are one or several words: runs of words and terms meet in an equi-join.
+
+    Letters and digits make words, whatever stands between them. As long as the longest term's, every run of words is looked up, so no term is left out.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    terms = dictionary.select(F.array_join(words(F.col("term")), " ").alias("_run"), F.size(words(F.col("term"))).alias("_n"), "tag").where("_n > 0 AND tag IS NOT NULL").distinct()
+    longest = terms.agg(F.max("_n")).first()[0] or 0
+    # A run of n words for each place at which one fits.
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(F.col("_words"), i, n), " ")) for n in range(1, longest + 1)]
+    split = df.select(key, words(F.col(text)).alias("_words"))
+    if runs:
+        found = split.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("_run")).join(terms, "_run").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    else:
+        found = split.where("false").select(key, F.array().cast("array<string>").alias("tags"))
     return df.select(key).join(found, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 

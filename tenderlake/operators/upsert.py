@@ -72,10 +72,13 @@ def create_with_links(parents: DataFrame, bridges: dict[str, DataFrame], request
 def patch(table: DataFrame, changes: DataFrame, key: str = "id", given: str | None = "given") -> DataFrame:
     """Merge changes into rows of their key. ``given`` names an array of the columns that a change sets, null values among them; None: all its columns (a replacement).
 
-    Changes whose key is unknown are left out.
+    Changes whose key is unknown are left out. Two changes for one key are an error, since neither comes first.
     """
     fields = [c for c in changes.columns if c not in (key, given) and c in table.columns]
     side = changes.select(F.col(key).alias("_key"), *(F.col(f).alias(f"_{f}") for f in fields), *([F.col(given).alias("_given")] if given else []))
-    joined = table.join(side, table[key] == side["_key"], "left")
+    several = F.raise_error(F.concat(F.lit("several changes for the key "), F.col("_key").cast("string")))
+    once = side.groupBy("_key").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in side.columns if c != "_key"))
+    once = once.withColumn("_key", F.when(F.col("_n") == 1, F.col("_key")).otherwise(several))
+    joined = table.join(once, table[key] == once["_key"], "left")
     present = lambda f: F.col("_key").isNotNull() & (F.array_contains("_given", f) if given else F.lit(True))
     return joined.select(*(F.when(present(c), F.col(f"_{c}").cast(t)).otherwise(table[c]).alias(c) if c in fields else table[c] for c, t in table.dtypes))

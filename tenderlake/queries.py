@@ -7,6 +7,7 @@ for domains, conversations for paged documents, events for alerts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,24 @@ def date_facet(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.date_facet(load_table(spark, sf, "orders"), "o_orderdate", "month", F.lit("1998-05-17")).select("o_orderkey")
 
 
+FACETS = {
+    "today": "d = DATE '1998-05-17'",
+    "past_7_days": "d >= DATE '1998-05-10' AND d <= DATE '1998-05-17'",
+    "year": "d >= DATE '1998-01-01' AND d < DATE '1999-01-01'",
+    "null": "d IS NULL",
+    "not_null": "d IS NOT NULL",
+    "any": "TRUE",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS facet, o_orderkey FROM (SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS DATE) AS d FROM orders) WHERE {test}" for name, test in FACETS.items()))
+def date_facets_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other choice of the date facet, over orders of which some have no date."""
+    o = load_table(spark, sf, "orders").withColumn("o_orderdate", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate")))
+    parts = [alerts.date_facet(o, "o_orderdate", name, F.lit("1998-05-17")).select(F.lit(name).alias("facet"), "o_orderkey") for name in FACETS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Nested records.
 
 
@@ -298,6 +317,35 @@ def delete_set_null(spark: SparkSession, sf: str) -> DataFrame:
     return after["supplier"].select("s_suppkey", "s_nationkey")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS id, c_name AS nom, c_nationkey FROM customer),
+     n AS (SELECT row_number() OVER (ORDER BY s_suppkey) + (SELECT max(id) FROM c) AS id, s_name AS nom, s_suppkey FROM supplier)
+SELECT id, nom, CAST(NULL AS BIGINT) AS lien FROM c UNION ALL SELECT id, nom, NULL FROM n
+UNION ALL SELECT id, 'lien', s_suppkey FROM n UNION ALL SELECT id, 'lien', s_suppkey + 1 FROM n WHERE s_suppkey % 2 = 0
+""")
+def create_with_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers become companies with ids behind the largest one; each names one or two targets, and gets one bridge row for each."""
+    parents = load_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nom"))
+    s = load_table(spark, sf, "supplier")
+    asked = F.when(F.col("s_suppkey") % 2 == 0, F.array("s_suppkey", F.col("s_suppkey") + 1)).otherwise(F.array("s_suppkey"))
+    requests = s.select("s_suppkey", F.col("s_name").alias("nom"), asked.alias("domaine_ids"))
+    bridge = spark.createDataFrame([], "id bigint, entreprise_id bigint, domaine_id bigint")
+    rows, bridges = upsert.create_with_links(parents, {"b": bridge}, requests, ["s_suppkey"], {"b": ("entreprise_id", "domaine_id", "domaine_ids")})
+    links = bridges["b"].select(F.col("entreprise_id").alias("id"), F.lit("lien").alias("nom"), F.col("domaine_id").alias("lien"))
+    return rows.select("id", "nom", F.lit(None).cast("bigint").alias("lien")).unionByName(links)
+
+
+@query("""
+SELECT event_id AS id, event_type AS type_alerte FROM events
+UNION ALL SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity), 'lot' FROM lineitem
+""")
+def append_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row is appended, repeats too, with ids behind the largest one."""
+    stored = load_table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type_alerte"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    return upsert.append(stored, load_table(spark, sf, "lineitem").select(*order, F.lit("lot").alias("type_alerte")), order)
+
+
 # Rules.
 
 
@@ -324,12 +372,33 @@ def length_violations(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.length_violations(load_table(spark, sf, "part"), "p_name", "p_partkey", 10)
 
 
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS row_key, 'required' AS rule, 'o_orderstatus' AS field, CAST(NULL AS VARCHAR) AS value FROM orders WHERE o_orderstatus = 'P'
+""")
+def missing_violations(spark: SparkSession, sf: str) -> DataFrame:
+    o = load_table(spark, sf, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    return integrity.missing_violations(o, "o_orderstatus", "o_orderkey")
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS row_key, 'equals o_custkey' AS rule, 'other' AS field, CAST(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey + o_orderkey % 5 - 1 END AS VARCHAR) AS value
+FROM orders WHERE o_orderkey % 5 <> 1
+""")
+def equality_violations(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.col("o_orderkey") % 5
+    o = load_table(spark, sf, "orders").withColumn("other", F.when(turn != 0, F.col("o_custkey") + turn - 1))
+    return integrity.equality_violations(o, "other", "o_custkey", "o_orderkey")
+
+
 @query(r"""
-SELECT CAST(page_id AS VARCHAR) AS row_key, 'url' AS rule, 'url' AS field, url AS value FROM pages
+WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN replace(url, '://', ':/') ELSE url END AS url FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS row_key, 'url' AS rule, 'url' AS field, url AS value FROM p
 WHERE url <> '' AND NOT regexp_matches(url, '^(?:https?|ftps?)://[^\s/?#:]+(?::[0-9]{2,5})?(?:[/?#]\S*)?$')
 """)
 def form_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.form_violations(load_table(spark, sf, "pages"), "url", "page_id", "url")
+    """Every third page has an address with a slash too few."""
+    pages = load_table(spark, sf, "pages")
+    return integrity.form_violations(pages.withColumn("url", F.when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("://"), F.lit(":/"))).otherwise(F.col("url"))), "url", "page_id", "url")
 
 
 # Crawled pages and paged documents.
@@ -347,9 +416,9 @@ def filter_links_contains(spark: SparkSession, sf: str) -> DataFrame:
     return documents.links_containing(documents.extract_links(load_table(spark, sf, "pages")), ("The", "an")).select("page_id", "position", "href")
 
 
-@query(f"{LINKS_SQL} SELECT page_id, CAST(position AS INTEGER) AS position, 'https://www.example.org' || href AS file_url FROM l WHERE href LIKE '%ing'")
+@query(f"{LINKS_SQL} SELECT page_id, CAST(position AS INTEGER) AS position, 'https://www.example.org' || href AS file_url FROM l WHERE href LIKE '%ble'")
 def filter_links_suffix(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.listed_urls(load_table(spark, sf, "pages"), "https://www.example.org", suffix="ing").select("page_id", "position", "file_url")
+    return documents.listed_urls(load_table(spark, sf, "pages"), "https://www.example.org", suffix="ble").select("page_id", "position", "file_url")
 
 
 @query(f"{LINKS_SQL} SELECT page_id, CAST(position AS INTEGER) AS position, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS file_url FROM l")
@@ -420,24 +489,12 @@ def tag_by_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return tagged.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query("""
-SELECT DISTINCT c_custkey AS entreprise_id, l_orderkey AS publication_id FROM customer
-JOIN (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_custkey % 10 = 0) i ON o_custkey = c_custkey
-JOIN lineitem USING (l_suppkey) WHERE l_linenumber = 2 AND l_orderkey % 10 = 0
-""")
-def match_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    lines, orders = load_table(spark, sf, "lineitem"), load_table(spark, sf, "orders")
-    interests = lines.where("l_linenumber = 1").join(orders.where("o_custkey % 10 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("entreprise_id"), F.col("l_suppkey").alias("domaine_id"))
-    topics = lines.where("l_linenumber = 2 AND l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("publication_id"), F.col("l_suppkey").alias("domaine_id"))
-    return alerts.match_alerts(topics, interests)
-
-
 @query("""
 SELECT DISTINCT c_custkey AS entreprise_id, l_orderkey AS publication_id FROM customer
 JOIN (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1) i ON o_custkey = c_custkey
 JOIN lineitem USING (l_suppkey) WHERE l_linenumber = 2
 """)
-def match_alerts_whole(spark: SparkSession, sf: str) -> DataFrame:
+def match_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """The matches of all companies and all publications."""
     lines, orders = load_table(spark, sf, "lineitem"), load_table(spark, sf, "orders")
     interests = lines.where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("entreprise_id"), F.col("l_suppkey").alias("domaine_id"))

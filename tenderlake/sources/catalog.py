@@ -12,54 +12,61 @@ from tenderlake.schemas import TABLES
 
 
 class Catalog:
-    """Tables below ``root``. A commit writes new versions beside the old and then swaps one pointer, so readers see all of it or nothing.
+    """Tables below ``root``. A commit writes new versions beside the old and then adds one list of the current ones, so readers see all of it or nothing.
 
-    Of two writers that commit at once, the second gets an error and has to read again.
+    A commit follows the list that this object has read last (by :meth:`tables`). Of two writers that both follow one list, the second gets an error and has to read again.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.number = 0
+        self.pointers: dict[str, str] = {}
+        self.refresh()
 
-    def _pointers(self) -> dict[str, str]:
-        """The newest list of versions. Lists are numbered files of one line."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return {}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path) if not s.getPath().getName().startswith(("_", ".")))
-        if not names:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/_versions/{names[-1]}").first()[0])
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def refresh(self) -> None:
+        """Read the newest list of versions. Lists are numbered files of one line."""
+        path, fs = self._path()
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        self.number = max(numbers, default=0)
+        self.pointers = json.loads(self.spark.read.text(f"{self.root}/_versions/{self.number:010d}").first()[0]) if numbers else {}
+
+    def last_batch(self, stream: str) -> int:
+        """The number of the last batch of a stream that has been taken in, -1 before the first."""
+        self.refresh()
+        return self.pointers.get(f"batch of {stream}", -1)
 
     def table(self, name: str) -> DataFrame:
         """The current version of a table; empty if none was written."""
-        version = self._pointers().get(name)
+        version = self.pointers.get(name)
         schema = TABLES[name].schema
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
 
     def tables(self) -> dict[str, DataFrame]:
+        """All tables as the newest list has them; the next commit follows it."""
+        self.refresh()
         return {name: self.table(name) for name in TABLES}
 
-    def commit(self, tables: Mapping[str, DataFrame]) -> None:
-        """Write the tables as new versions, then point to them."""
-        pointers = self._pointers()
+    def commit(self, tables: Mapping[str, DataFrame], batches: Mapping[str, int] | None = None) -> None:
+        """Write the tables as new versions, then the list that points to them, under the number behind the list that was read."""
+        pointers = {**self.pointers, **{f"batch of {stream}": number for stream, number in (batches or {}).items()}}
         for name, df in tables.items():
             version = uuid.uuid4().hex
             schema = TABLES[name].schema
             df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{self.root}/{name}/{version}")
             pointers[name] = version
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        number = 1 + max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=0) if fs.exists(folder) else 1
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/_{uuid.uuid4().hex}")
-        stream = fs.create(draft, False)
+        path, fs = self._path(f"{self.number + 1:010d}")
+        try:
+            stream = fs.create(path, False)  # an error if another writer has made this list
+        except Exception as e:
+            raise RuntimeError("another writer has committed meanwhile; read again and retry") from e
         stream.write(bytearray(json.dumps(pointers).encode()))
         stream.close()
-        # A name that exists can't be renamed to: of two writers one fails.
-        if not fs.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions/{number:010d}")):
-            raise RuntimeError("another writer has committed meanwhile; read again and retry")
+        self.number, self.pointers = self.number + 1, pointers
 
     def register_views(self) -> None:
         """Each table as a temporary view, for SQL."""

@@ -154,6 +154,9 @@ def test_tags_and_matches(spark):
     words = spark.createDataFrame([("road", "works"), ("road", "works"), ("bridge", "b")], "term string, tag string")
     assert {r.id: r.tags for r in alerts.tag_by_dictionary(docs, words).collect()} == {1: ["works"], 2: []}
     assert {r.id: r.tags for r in alerts.tag_by_words(docs, words, "id").collect()} == {1: ["works"], 2: []}
+    long = spark.createDataFrame([(1, "It is licensed, under TERMS"), (2, "licensed by, under"), (3, None)], "id long, text string")
+    terms = spark.createDataFrame([("licensed under", "legal"), ("under terms", "terms"), ("by", "who"), ("a b c d e f", "none"), ("", "empty"), (None, "null")], "term string, tag string")
+    assert {r.id: r.tags for r in alerts.tag_by_words(long, terms, "id").collect()} == {1: ["legal", "terms"], 2: ["who"], 3: []}
     with pytest.raises(ValueError):
         alerts.tag_by_dictionary(docs, words, most=1)
     p = spark.createDataFrame([(1, 5), (1, 6), (2, None)], "publication_id long, domaine_id long")
@@ -166,3 +169,10 @@ def test_date_facets(spark):
     ids = lambda x: [r[0] for r in rows(alerts.date_facet(df, "d", x, F.lit("2024-02-29")).select("id"))]
     assert ids("any") == [1, 2, 3, 4] and ids("today") == [1] and ids("past_7_days") == [1, 2] and ids("month") == [1, 2] and ids("year") == [1, 2]
     assert ids("null") == [4] and ids("not_null") == [1, 2, 3]
+
+
+def test_two_changes_for_one_key_are_an_error(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, nom string")
+    changes = spark.createDataFrame([(1, "x"), (1, "y")], "id long, nom string")
+    with pytest.raises(Exception, match="several changes"):
+        upsert.patch(table, changes, given=None).collect()

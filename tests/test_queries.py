@@ -46,7 +46,7 @@ def test_alerts_of_all_companies_and_publications(spark):
             followers.setdefault(supplier, set()).add(company[order])
     for order, supplier, _ in lines[lines.l_linenumber == 2].itertuples(index=False):
         want |= {(c, order) for c in followers.get(supplier, ())}
-    got = [(r.entreprise_id, r.publication_id) for r in QUERIES["match_alerts_whole"](spark, SF).collect()]
+    got = [(r.entreprise_id, r.publication_id) for r in QUERIES["match_alerts"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
     assert any(c % 10 and p % 10 for c, p in got)
 

@@ -138,6 +138,19 @@ def test_generator_is_seeded_and_unique(spark):
     assert all(1 <= len(r.domaines) <= 3 and len(set(r.domaines)) == len(r.domaines) and r.secteurs == ["s"] for r in one)
 
 
+def test_the_second_of_two_writers_gets_an_error(spark, tmp_path):
+    root = f"file://{tmp_path}/shared-catalog"
+    make = lambda *names: spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], TABLES["domaine"].schema)
+    a, b = Catalog(spark, root), Catalog(spark, root)
+    a.tables(), b.tables()
+    b.commit({"domaine": make("from b")})
+    with pytest.raises(RuntimeError):
+        a.commit({"domaine": make("from a")})
+    assert [r.libelle for r in a.tables()["domaine"].collect()] == ["from b"]
+    a.commit({"domaine": make("from a", "once more")})
+    assert b.tables()["domaine"].count() == 2
+
+
 def test_streams(spark, tmp_path):
     from tenderlake.streaming.ingest import interest_stream, payload_stream, save_stream, windowed_counts
 
@@ -147,7 +160,7 @@ def test_streams(spark, tmp_path):
     for i in (0, 1):
         (landing / f"{i}.json").write_text("\n".join(json.dumps(p) for p in BATCH))
         save_stream(payload_stream(spark, f"file://{landing}"), catalog, f"file://{tmp_path}/cp").awaitTermination()
-        assert catalog.table("marche").count() == 3 and catalog.table("alerte").count() == 2
+        assert catalog.table("marche").count() == 3 and catalog.table("alerte").count() == 2 * (i + 1)  # alerts are inserted whenever they come
     spark.createDataFrame([(1, 5, datetime.datetime(2024, 1, 1)), (1, 5, datetime.datetime(2024, 1, 1, 0, 5))], "publication_id long, domaine_id long, ts timestamp").write.parquet(f"file://{tmp_path}/pubs")
     stream = spark.readStream.schema("publication_id long, domaine_id long, ts timestamp").parquet(f"file://{tmp_path}/pubs")
     firms = spark.createDataFrame([(9, 5)], "entreprise_id long, domaine_id long")
