@@ -67,12 +67,31 @@ def unique_violations(df: DataFrame, field: str, key: str, existing: DataFrame |
     return _report(df.join(doubled, F.col(field) == F.col("_value"), "left_semi"), key, "unique", field)
 
 
+def too_long(field: str, most: int) -> Column:
+    return F.char_length(field) > most
+
+
+def missing(field: str) -> Column:
+    return F.col(field).isNull()
+
+
+def ill_formed(field: str, form: str) -> Column:
+    return (F.col(field) != "") & ~F.col(field).rlike(FORMS[form])
+
+
+def no_decimal(field: str, digits: int = 15, places: int = 2) -> Column:
+    """Whether a value (text or number) isn't a decimal of that size, or would be rounded."""
+    text = F.col(field).cast("string")
+    exact = text.try_cast(f"decimal({digits},{places})")
+    return text.isNotNull() & (exact.isNull() | (exact != text.try_cast("decimal(38,10)")))
+
+
 def length_violations(df: DataFrame, field: str, key: str, most: int) -> DataFrame:
-    return _report(df.where(F.char_length(field) > most), key, "max_length", field)
+    return _report(df.where(too_long(field, most)), key, "max_length", field)
 
 
 def missing_violations(df: DataFrame, field: str, key: str) -> DataFrame:
-    return _report(df.where(F.col(field).isNull()), key, "required", field)
+    return _report(df.where(missing(field)), key, "required", field)
 
 
 def reference_violations(df: DataFrame, field: str, key: str, target: DataFrame, target_key: str) -> DataFrame:
@@ -82,14 +101,11 @@ def reference_violations(df: DataFrame, field: str, key: str, target: DataFrame,
 
 
 def form_violations(df: DataFrame, field: str, key: str, form: str) -> DataFrame:
-    return _report(df.where((F.col(field) != "") & ~F.col(field).rlike(FORMS[form])), key, form, field)
+    return _report(df.where(ill_formed(field, form)), key, form, field)
 
 
 def decimal_violations(df: DataFrame, field: str, key: str, digits: int = 15, places: int = 2) -> DataFrame:
-    """Values (text or numbers) that aren't decimals of that size, or would be rounded."""
-    text = F.col(field).cast("string")
-    exact = text.try_cast(f"decimal({digits},{places})")
-    return _report(df.where(text.isNotNull() & (exact.isNull() | (exact != text.try_cast("decimal(38,10)")))), key, "decimal", field)
+    return _report(df.where(no_decimal(field, digits, places)), key, "decimal", field)
 
 
 def equality_violations(df: DataFrame, field: str, other: str, key: str) -> DataFrame:
@@ -104,24 +120,28 @@ def normal_email(column: str) -> Column:
     return F.when(c.contains("@"), F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(domain)), F.lower(domain))).otherwise(c)
 
 
-def validate(name: str, rows: DataFrame, tables: Mapping[str, DataFrame], metadata: Mapping[str, Table] = TABLES) -> DataFrame:
-    """Every violation of ``rows`` to be inserted in table ``name``: ``row_key, rule, field, value``."""
+def row_violations(table: Table, rows: DataFrame, key: str) -> DataFrame:
+    """Violations that a row shows by itself (required, length, form, decimal), all rules in one pass over the rows."""
+    found = []
+    for c in (c for c in table.columns if c.name in rows.columns):
+        rules = [("required", missing(c.name))] if not c.nullable else []
+        rules += [("max_length", too_long(c.name, c.max_length))] if c.max_length else []
+        rules += [(c.form, ill_formed(c.name, c.form))] if c.form else []
+        rules += [("decimal", no_decimal(c.name))] if c.kind == "money" else []
+        entry = lambda rule: F.struct(F.lit(rule).alias("rule"), F.lit(c.name).alias("field"), F.col(c.name).cast("string").alias("value"))  # noqa: B023, E731
+        found += [F.when(broken, entry(rule)) for rule, broken in rules]
+    listed = F.array_compact(F.array(*found)) if found else F.lit(None).cast("array<struct<rule: string, field: string, value: string>>")
+    return rows.select(F.col(key).cast("string").alias("row_key"), F.explode(listed).alias("_v")).select("row_key", "_v.*")
+
+
+def validate(name: str, rows: DataFrame, tables: Mapping[str, DataFrame], metadata: Mapping[str, Table] = TABLES, key: str | None = None, unique: bool = True) -> DataFrame:
+    """Every violation of ``rows`` to be inserted in table ``name``: ``row_key, rule, field, value``. ``key``: the column that names a row, if not the table's."""
     table = metadata[name]
-    reports = []
-    for c in table.columns:
-        if c.name not in rows.columns:
-            continue
-        if not c.nullable:
-            reports.append(missing_violations(rows, c.name, table.key))
-        if c.unique:
-            reports.append(unique_violations(rows, c.name, table.key, tables.get(name)))
-        if c.max_length:
-            reports.append(length_violations(rows, c.name, table.key, c.max_length))
-        if c.form:
-            reports.append(form_violations(rows, c.name, table.key, c.form))
-        if c.kind == "money":
-            reports.append(decimal_violations(rows, c.name, table.key))
+    key = key or table.key
+    reports = [row_violations(table, rows, key)]
+    if unique:
+        reports += [unique_violations(rows, c.name, key, tables.get(name)) for c in table.columns if c.unique and c.name in rows.columns]
     for r in table.references:
         if r.column in rows.columns and r.target in tables:
-            reports.append(reference_violations(rows, r.column, table.key, tables[r.target], metadata[r.target].key))
+            reports.append(reference_violations(rows, r.column, key, tables[r.target], metadata[r.target].key))
     return reduce(DataFrame.unionByName, reports)

@@ -28,6 +28,7 @@ TENDER = ["dateDepot", "referenceDossier", "lieuDepot", "conditionsParticipation
 RESULT = ["marche", "date_attribution", "entreprise_attributaire", "montant_attribue", "reference_decision", "nombre_offres_recues", "delai_execution", "motif_rejet_autres_offres"]
 COMPANY = ["id", "nom", "numero_identification", "siret", "adresse", "telephone", "email", "date_creation", "description", "repnom", "repprenom", "rccm", "domaines", "secteurs"]
 ALERT = ["id", "entreprise", "publication", "type_alerte", "date_alerte", "contenu_alerte", "canal_alerte"]
+USER = ["id", "email", "first_name", "last_name", "telephone", "notifications_actives", "entreprise"]
 
 
 def publications(t: Tables, rows: DataFrame) -> DataFrame:
@@ -72,6 +73,17 @@ def profiles(t: Tables, rows: DataFrame) -> DataFrame:
     return rows.select(*_kept(rows), "email", "first_name", "last_name")
 
 
+def users(t: Tables, rows: DataFrame) -> DataFrame:
+    """Users with their company; one without is shown with null."""
+    df = nest_one(rows, companies(t, t["entreprise"]), ("entreprise_id", "id"), "entreprise", COMPANY)
+    return df.select(*_kept(rows), *USER)
+
+
+def linked(table: str, column: str, name: str, fields: list[str]) -> Callable[[Tables, DataFrame], DataFrame]:
+    """Rows of a bridge with what they lead to."""
+    return lambda t, rows: nest_one(rows, t[table], (column, "id"), name, fields, required=True).select(*_kept(rows), "id", name)
+
+
 def plain(*columns: str) -> Callable[[Tables, DataFrame], DataFrame]:
     return lambda t, rows: rows.select(*_kept(rows), *columns)
 
@@ -125,6 +137,9 @@ RESOURCES: dict[str, Resource] = {
     "publications-domaines": Resource("publication_domaine", plain("id", "publication_id", "domaine_id")),
     "alertes": Resource("alerte", alerts, ("type_alerte", "contenu_alerte"), ("date_alerte",)),
     "entreprises": Resource("entreprise", companies),
+    "entreprises-domaines": Resource("entreprise_domaine", linked("domaine", "domaine_id", "domaine", LABEL)),
+    "entreprises-secteurs": Resource("entreprise_secteur", linked("secteur_activite", "secteur_id", "secteur", SECTOR)),
+    "utilisateurs": Resource("utilisateur", users),
     "profil": Resource("utilisateur", profiles),
     # The administration's lists.
     "admin-entreprises": Resource("entreprise", plain("nom", "numero_identification", "siret", "email", "telephone", "date_creation"), ("nom", "numero_identification", "siret", "email", "repnom", "repprenom"), default="nom"),

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions.urls import basename, resolve_simple, url_path
-from tenderlake.operators import alerts, documents, integrity, nesting, ordering, upsert
+from tenderlake.operators import alerts, documents, integrity, lookup, nesting, ordering, upsert
 from tenderlake.operators.search import search
-from tenderlake.schemas import CASCADE, SET_NULL, Reference, Table
+from tenderlake.plans import writes
+from tenderlake.plans.ingest import save_payloads
+from tenderlake.plans.resources import list_resource
+from tenderlake.schemas import CASCADE, SET_NULL, TABLES, Column, Reference, Table
+from tenderlake.sources.files import parse_payloads
 from tenderlake.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,6 +350,111 @@ def append_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.append(stored, load_table(spark, sf, "lineitem").select(*order, F.lit("lot").alias("type_alerte")), order)
 
 
+# Requests and payloads.
+
+FIRMS = {
+    "nation": Table("nation", (), "n_nationkey"),
+    "firm": Table("firm", (Column("id", "long"), Column("nom", "str", unique=True, max_length=40), Column("nation_id", "int")), references=(Reference("nation_id", "nation", CASCADE),)),
+}
+
+
+def _firms(spark: SparkSession, sf: str, stored: str) -> dict[str, DataFrame]:
+    firm = load_table(spark, sf, "customer").where(stored).select((F.col("c_custkey") + 1).alias("id"), F.col("c_name").alias("nom"), F.col("c_nationkey").alias("nation_id"))
+    return {"nation": load_table(spark, sf, "nation"), "firm": firm}
+
+
+def _created(spark: SparkSession, sf: str) -> writes.Written:
+    """A third of the companies is stored; all are asked for, some without a nation or with one that isn't there."""
+    c = load_table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    nation = F.when(key % 5 == 0, F.lit(None)).when(key % 7 == 0, 99).otherwise(F.col("c_nationkey"))
+    return writes.create(_firms(spark, sf, "c_custkey % 3 = 0"), "firm", c.select(key.alias("arrival"), F.col("c_name").alias("nom"), nation.alias("nation_id")), FIRMS, {})
+
+
+@query("""
+WITH e AS (SELECT c_custkey + 1 AS id, c_name AS nom, c_nationkey AS nation_id FROM customer WHERE c_custkey % 3 = 0)
+SELECT * FROM e UNION ALL SELECT (SELECT max(id) FROM e) + row_number() OVER (ORDER BY c_custkey), c_name, c_nationkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0
+""")
+def create_by_request(spark: SparkSession, sf: str) -> DataFrame:
+    return _created(spark, sf).tables["firm"]
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS row_key, 'required' AS rule, 'nation_id' AS field, CAST(NULL AS VARCHAR) AS value FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'reference', 'nation_id', '99' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'unique', 'nom', c_name FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 = 0
+""")
+def refused_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return _created(spark, sf).refused
+
+
+@query("""
+SELECT c_custkey + 1 AS id, CASE WHEN c_custkey % 4 = 1 THEN 'new ' || c_name WHEN c_custkey = 2 THEN 'one name' ELSE c_name END AS nom,
+  CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE c_nationkey END AS nation_id FROM customer
+""")
+def change_by_request(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter keeps its name, one gets a free name, one asks for the same name (the first gets it), one gets a nation and no name."""
+    key = F.col("c_custkey")
+    nom = F.when(key % 4 == 0, F.col("c_name")).when(key % 4 == 1, F.concat(F.lit("new "), "c_name")).when(key % 4 == 2, "one name")
+    given = F.when(key % 4 == 3, F.array(F.lit("nation_id"))).otherwise(F.array(F.lit("nom")))
+    requests = load_table(spark, sf, "customer").select(key.alias("arrival"), (key + 1).alias("id"), nom.alias("nom"), F.lit(1).alias("nation_id"), given.alias("given"))
+    return writes.change(_firms(spark, sf, "true"), "firm", requests, metadata=FIRMS, links={}).tables["firm"]
+
+
+def _taken_in(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All orders as extraction payloads: a company, its domain, a publication for each day, a contract for each priority, an alert for finished ones."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    company = F.struct(F.concat(F.lit("firm "), F.col("o_custkey").cast("string")).alias("nom"), key.cast("string").alias("siret"), F.array("o_orderstatus").alias("domaines"))
+    publication = F.struct(day.alias("numero"), day.alias("date_publication"), key.cast("string").alias("titre"))
+    contract = F.struct(F.col("o_orderpriority").alias("objet"), key.cast("string").alias("region"))
+    alert = F.when(F.col("o_orderstatus") == "F", F.struct(F.lit("fin").alias("type_alerte"), key.cast("string").alias("contenu_alerte")))
+    award = F.struct(key.cast("int").alias("nombre_offres_recues"))
+    parts = F.struct(key.alias("arrival"), company.alias("entreprise"), publication.alias("publication"), contract.alias("marche"), alert.alias("alerte"), award.alias("resultat"), F.col("o_orderpriority").alias("type_procedure"))
+    payloads = parse_payloads(load_table(spark, sf, "orders").select(F.to_json(parts).alias("body")))
+    return save_payloads({n: spark.createDataFrame([], t.schema) for n, t in TABLES.items()}, payloads, F.lit("2024-05-01 00:00:00"))
+
+
+@query("""
+WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS numero FROM orders),
+     m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY numero, o_orderpriority ORDER BY o_orderkey) = 1)
+SELECT row_number() OVER (ORDER BY o_orderkey) AS id, numero, o_orderpriority AS objet, CAST(o_orderkey AS VARCHAR) AS region, o_orderpriority AS procedure,
+  'firm ' || o_custkey AS attributaire, CAST(o_orderkey AS INTEGER) AS offres, CAST(min(o_orderkey) OVER (PARTITION BY numero) AS VARCHAR) AS titre
+FROM m
+""")
+def payload_awards(spark: SparkSession, sf: str) -> DataFrame:
+    """Awards of all payloads as the service lists them, four levels deep, flattened again."""
+    listed = list_resource(_taken_in(spark, sf), "resultats")
+    return listed.select(
+        F.col("marche.id").alias("id"), F.col("marche.publication.numero").alias("numero"), F.col("marche.objet").alias("objet"), F.col("marche.region").alias("region"), F.col("marche.type_procedure.libelle").alias("procedure"),
+        F.col("entreprise_attributaire.nom").alias("attributaire"), F.col("nombre_offres_recues").alias("offres"), F.col("marche.publication.titre").alias("titre"),
+    )
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY o_orderkey) AS id, 'firm ' || o_custkey AS entreprise, strftime(o_orderdate, '%Y-%m-%d') AS numero, CAST(o_orderkey AS VARCHAR) AS contenu,
+  (SELECT string_agg(DISTINCT s.o_orderstatus, ',' ORDER BY s.o_orderstatus) FROM orders s WHERE s.o_custkey = o.o_custkey) AS domaines
+FROM orders o WHERE o_orderstatus = 'F'
+""")
+def payload_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of all payloads, with the company's domains."""
+    shown = list_resource(_taken_in(spark, sf), "alertes")
+    domains = F.array_join(F.array_sort(F.transform("entreprise.domaines", lambda d: d["libelle"])), ",")
+    return shown.select("id", F.col("entreprise.nom").alias("entreprise"), F.col("publication.numero").alias("numero"), F.col("contenu_alerte").alias("contenu"), domains.alias("domaines"))
+
+
+@query("SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def find_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies name their nation; a name that no nation has would be an error."""
+    nations = load_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    names = load_table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("named"))
+    return lookup.find_named(names, nations, "named", "n_name", "nation").select("c_custkey", "nation.n_nationkey", "nation.n_regionkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def first_or_none(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.first_or_none(load_table(spark, sf, "orders"), F.col("o_orderstatus") == "P", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
 # Rules.
 
 

@@ -176,3 +176,14 @@ def test_two_changes_for_one_key_are_an_error(spark):
     changes = spark.createDataFrame([(1, "x"), (1, "y")], "id long, nom string")
     with pytest.raises(Exception, match="several changes"):
         upsert.patch(table, changes, given=None).collect()
+
+
+def test_names_are_found_or_fail(spark):
+    from tenderlake.operators.lookup import find_named, first_or_none
+
+    named = spark.createDataFrame([("a", 1), ("b", 2)], "name string, n int")
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "b")], "id int, who string")
+    assert {r.id: r.found and r.found.n for r in find_named(df, named, "who", "name", "found").collect()} == {1: 2, 2: None, 3: 2}
+    with pytest.raises(Exception, match="is called z"):
+        find_named(spark.createDataFrame([("z",)], "who string"), named, "who", "name", "found").collect()
+    assert first_or_none(named, F.col("n") > 5, ["n"]).count() == 0 and first_or_none(named, F.col("n") > 0, [F.desc("n")]).first().name == "b"

@@ -172,3 +172,73 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert [r.n for r in spark.table("counts").collect()] == [2]
     assert PAYLOAD
+
+
+def test_companies_are_created_changed_and_removed_by_request(spark, saved):
+    from tenderlake.plans.writes import change, create, remove
+
+    company = "arrival long, nom string, numero_identification string, siret string, email string, repprenom string, domaine_ids array<long>, secteur_ids array<long>"
+    requests = spark.createDataFrame(
+        [
+            (1, "Beta", "N2", "2", "b@example.org", "p", [2, 2, 1], []),
+            (2, "Gamma", "N3", "2", None, "p", [1], None),  # siret of 1
+            (3, "Delta", "N3", "3", None, "p", None, None),  # free, as 2 is refused
+            (4, "Echo", "N4", "1", None, "p", None, None),  # siret that is stored
+            (5, None, "N5", "5", "no address", "p", [99], [1]),
+            (6, "Foxtrot", "N6", "x" * 21, "", "p", [1], [1]),
+            (7, "Golf", "N2", "7", None, "p", None, None),  # number of 1
+        ],
+        company,
+    )
+    made = create(saved, "entreprise", requests)
+    assert rows(made.tables["entreprise"], "id", "nom") == [(1, "Alpha"), (2, "Beta"), (3, "Delta")]
+    assert rows(made.tables["entreprise_domaine"].where("entreprise_id > 1"), "entreprise_id", "domaine_id") == [(2, 1), (2, 2), (2, 2)]
+    assert rows(made.refused, "row_key", "rule", "field") == [
+        ("2", "unique", "siret"), ("4", "unique", "siret"), ("5", "email", "email"), ("5", "reference", "domaine_ids"), ("5", "required", "nom"), ("6", "max_length", "siret"), ("7", "unique", "numero_identification"),
+    ]
+
+    changes = spark.createDataFrame(
+        [
+            (1, 2, "Beta 2", "2", [], ["nom", "siret"]),  # its own siret
+            (2, 3, None, "1", None, ["siret"]),  # another's
+            (3, 99, "x", "9", None, ["nom"]),
+            (4, 2, "again", "9", None, ["nom"]),
+            (5, 1, None, "8", [2], ["siret"]),  # nom isn't set
+        ],
+        "arrival long, id long, nom string, siret string, domaine_ids array<long>, given array<string>",
+    )
+    changed = change(made.tables, "entreprise", changes)
+    assert rows(changed.tables["entreprise"], "id", "nom", "siret") == [(1, "Alpha", "8"), (2, "Beta 2", "2"), (3, "Delta", "3")]
+    assert rows(changed.tables["entreprise_domaine"], "entreprise_id", "domaine_id") == [(1, 2)]
+    assert rows(changed.refused, "row_key", "rule") == [("2", "unique"), ("3", "unknown"), ("4", "one change for a key")]
+    whole = change(made.tables, "entreprise", changes.where("arrival IN (1, 2, 3)").drop("given"), None)
+    assert rows(whole.refused, "row_key", "rule", "field") == [("2", "required", "nom"), ("3", "unknown", "id")]
+
+    gone = remove(changed.tables, "entreprise", spark.createDataFrame([(1, 1), (2, 1), (3, 77)], "arrival long, id long"))
+    assert rows(gone.tables["entreprise"], "id") == [(2,), (3,)] and gone.tables["alerte"].count() == 0
+    assert rows(gone.refused, "row_key", "value") == [("2", "1"), ("3", "77")]
+    award = create(saved, "resultat", spark.createDataFrame([(1, 1, "r"), (2, 2, "r"), (3, 2, "s"), (4, 50, "t")], "arrival long, marche_id long, reference_decision string"))
+    assert rows(award.refused, "row_key", "rule") == [("1", "unique"), ("3", "unique"), ("4", "reference")]
+    assert award.tables["resultat"].count() == 3
+    none = create(saved, "domaine", spark.createDataFrame([], "arrival long, libelle string"))
+    assert none.tables["domaine"].count() == 2 and none.refused.count() == 0
+
+
+def test_requests_take_unique_values_in_turn(spark):
+    """Against one loop over the requests."""
+    import random
+
+    from tenderlake.plans.writes import take_in_turn
+
+    dice = random.Random(5)
+    claims = [(i, f, str(dice.randrange(40))) for i in range(120) for f in ("a", "b")]
+    held = [("a", "3"), ("b", "5")]
+    taken, want = set(held), set()
+    for i in range(120):
+        mine = {(f, v) for j, f, v in claims if j == i}
+        if mine & taken:
+            want.add(str(i))
+        else:
+            taken |= mine
+    got = take_in_turn(spark.createDataFrame(claims, "arrival long, field string, value string"), spark.createDataFrame(held, "field string, value string"))
+    assert {r.row_key for r in got.collect()} == want and len(want) < 120
