@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.operators import integrity, upsert
 from tenderlake.schemas import TABLES, Table
-from tenderlake.sources.tables import materialize
+from tenderlake.sources.tables import discard, materialize
 
 Tables = Mapping[str, DataFrame]
 #: Table to its many-to-many relations: bridge to (its parent column, its target column, the request's array of ids).
@@ -112,12 +112,13 @@ def take_in_turn(claims: DataFrame, held: DataFrame) -> DataFrame:
 
     ``held`` (``field, value``) is taken from the start. In each round a request that comes first for all of its values is accepted, and the others that want one of these are
     refused. With one unique field a round settles all; with several, as many rounds as requests block each other in a chain. Values are reduced to their first request
-    before they are joined, so a value in very many requests meets one row.
+    before they are joined, so a value in very many requests is joined with one row, and Spark's skew join may split its requests.
     """
     claims = materialize(claims, "claims")
     blocked = materialize(claims.join(held.select("field", "value").distinct(), ["field", "value"], "left_semi").select("arrival", "field", "value"), "claims-held")
     refused = [blocked]
-    open_ = claims.join(blocked.select("arrival").distinct(), "arrival", "left_anti").select("arrival", "field", "value")
+    open_ = materialize(claims.join(blocked.select("arrival").distinct(), "arrival", "left_anti").select("arrival", "field", "value"), "claims-open")
+    discard(claims)
     while not open_.isEmpty():
         first = open_.groupBy("field", "value").agg(F.min("arrival").alias("first"))
         standing = materialize(open_.join(first, ["field", "value"]).select("arrival", "field", "value", "first"), "claims-standing")
@@ -126,7 +127,8 @@ def take_in_turn(claims: DataFrame, held: DataFrame) -> DataFrame:
         blocked = materialize(lost.select("arrival", "field", "value"), "claims-lost")
         refused.append(blocked)
         settled = winners.unionByName(blocked.select("arrival").distinct())
-        open_ = materialize(standing.join(settled, "arrival", "left_anti").select("arrival", "field", "value"), "claims-open")
+        before, open_ = open_, materialize(standing.join(settled, "arrival", "left_anti").select("arrival", "field", "value"), "claims-open")
+        discard(before, standing, winners)
     report = reduce(DataFrame.unionByName, refused)
     return report.select(F.col("arrival").cast("string").alias("row_key"), F.lit("unique").alias("rule"), "field", "value")
 
