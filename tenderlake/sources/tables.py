@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tenderlake.sources.shipping import ship_package
+
 
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Lazy scan of ``<base>/<name>.parquet``; filters and columns reach the Parquet reader."""
+    ship_package(spark)
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 

@@ -69,3 +69,25 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'publication_list' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")})
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_workers_find_the_package_in_a_session_that_was_there_before(tmp_path):
+    """Started elsewhere, before the entry is imported, without a path to the repository."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path / "warehouse")!r}).getOrCreate()
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+q = entry.queries()
+for name in ("crawl_document_urls", *(n for n in q if n.startswith(("op6_", "op12_")))):
+    assert q[name](spark, {SF!r}).count() >= 0, name
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, env=env)
