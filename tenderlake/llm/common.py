@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from tenderlake.sources.shipping import ship_package
+
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE = 256
 #: Of the hashes of shingles.
@@ -58,6 +60,7 @@ def arrow_fields(**kinds: str | pa.DataType) -> pa.Schema:
 
 def map_batches(df: DataFrame, schema: pa.Schema, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` with an Arrow schema and bounded batches."""
+    ship_package(df.sparkSession)
     bounded_batches(df)
     return df.mapInArrow(run, from_arrow_schema(schema))
 
