@@ -11,6 +11,7 @@ from tenderlake.llm.ordinal_quality import op1_quality_ordinal
 from tenderlake.llm.packing import op9_best_fit_packing
 from tenderlake.llm.periodic_runs import op12_periodic_runs
 from tenderlake.llm.pii_crf import op2_pii_crf
+from tenderlake.llm.ranked_search import OP13_SQL, op13_ranked_search
 from tenderlake.llm.secret_scan import op4_secret_scan
 from tenderlake.llm.simhash import op8_simhash_near_dedup
 from tenderlake.llm.url_filter import OP6_SQL, op6_url_filter
@@ -28,8 +29,10 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
     "op11_license_scan": op11_license_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op6_url_filter": OP6_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
