@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlake.sources.tables import materialize
+
+
+def _grams(text: Column, sizes: Iterable[int]) -> Column:
+    """The distinct runs of so many characters, overlapping ones too; the empty one is among them if asked for."""
+    lists = [F.array(F.lit("")) if n == 0 else F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*lists))
+
 
-def tag_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text", most: int = 5000) -> DataFrame:
-    """``df`` with ``tags``: the sorted tags of all dictionary rows (``term, tag``) whose term the text holds, whatever its case.
+def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 3, most: int = 200_000) -> DataFrame:
+    """``key`` and ``tags``: the sorted tags of all dictionary rows (``term, tag``) whose term the text holds anywhere, whatever its case. One row for each key.
 
-    The dictionary goes into the plan, so its size is checked: over ``most`` rows it is refused, and :func:`tag_by_words` serves instead. The text is
-    lowered once.
+    The dictionary may have any size, and terms any characters. Each term is filed under the one of its grams (runs of ``gram`` characters; all of a shorter term) that the fewest texts have; a term
+    with a gram that no text has is dropped. Texts are probed by their grams, and what is found is verified in the text. Grams are counted by an aggregate over all texts, so only
+    as many rows as there are distinct grams are shuffled. Filed terms are broadcast, ``most`` at a time: a larger dictionary is cut by hash into shards, each with a probe of its own.
+
+    A null text counts as empty; an empty term is in every text; rows of the dictionary with a null are ignored. Texts that repeat a key share its tags. Jobs run while the result is built.
     """
-    rows = dictionary.select("term", "tag").where("term IS NOT NULL AND tag IS NOT NULL").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the dictionary has over {most} rows; use tag_by_words")
-    if not rows:
-        return df.withColumn("tags", F.array().cast("array<string>"))
-    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    hits = F.array(*(F.when(F.contains("_low", F.lit(r["term"].lower())), F.lit(r["tag"])) for r in sorted(rows)))
-    return low.withColumn("tags", F.array_sort(F.array_distinct(F.array_compact(hits)))).drop("_low")
+    terms = materialize(dictionary.select(F.lower("term").alias("term"), "tag").where("term IS NOT NULL AND tag IS NOT NULL").distinct(), "terms")
+    size = F.least(F.length("term"), F.lit(gram))
+    # The empty gram stands for the row itself, so that each key keeps a row, and it files the empty term.
+    sizes = sorted({0, *(r[0] for r in terms.select(size).distinct().collect())})
+    low = df.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_low"))
+    probes = low.select("_key", "_low", F.explode(_grams(F.col("_low"), sizes)).alias("_gram"))
+    counts = probes.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    # Of a term only the grams of its size count: a shorter one says less.
+    split = terms.select("term").distinct().select("term", F.explode(reduce(lambda rest, n: F.when(size == n, _grams(F.col("term"), [n])).otherwise(rest), sizes, F.array(F.lit("")))).alias("_gram"))
+    rarest = F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram")
+    filed = split.join(counts, "_gram", "left").groupBy("term").agg(rarest, F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).where("_least > 0")
+    filed = materialize(filed.join(terms, "term").select(F.col("_gram").alias("_filed"), "term", "tag"), "filed-terms")
+    shards = -(-filed.count() // most) or 1
+    hit = (F.col("_gram") == F.col("_filed")) & F.contains("_low", F.col("term"))
+    shard = lambda i: filed.where(F.pmod(F.hash("term"), F.lit(shards)) == i) if shards > 1 else filed
+    found = [probes.join(F.broadcast(shard(i)), hit, "left").where("_gram = '' OR tag IS NOT NULL").select("_key", "tag") for i in range(shards)]
+    return reduce(DataFrame.unionByName, found).groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+def tag_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``tags``, as :func:`find_tags` finds them, for each row by itself. The rows are numbered and written first, so that any table will do."""
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "to-tag")
+    return numbered.join(find_tags(numbered, dictionary, "_row", text), "_row").drop("_row")
 
 
 def tag_by_words(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key`` and ``tags`` for a dictionary of any size, whose terms are one or several words: runs of words and terms meet in an equi-join.
+    """``key`` and ``tags`` by whole words, not by parts of words as :func:`find_tags`: runs of words and terms of one or several words meet in an equi-join.
 
     Letters and digits make words, whatever stands between them. As long as the longest term's, every run of words is looked up, so no term is left out.
     """

@@ -594,10 +594,25 @@ WITH t(term, tag) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in TERMS)})
 SELECT doc_id, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag), '') AS tags FROM documents LEFT JOIN t ON contains(lower(text), lower(term)) GROUP BY 1
 """)
 def tag_by_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = alerts.tag_by_dictionary(load_table(spark, sf, "documents").select("doc_id", "text"), spark.createDataFrame(list(TERMS), "term string, tag string"))
+    tagged = alerts.find_tags(load_table(spark, sf, "documents"), spark.createDataFrame(list(TERMS), "term string, tag string"), "doc_id")
     return tagged.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query("""
+WITH t AS (
+  SELECT DISTINCT lower(w) AS term, length(w) || ' letters' AS tag FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM benchmark)
+  UNION SELECT lower(substr(text, 4, 9)), 'turn ' || turn FROM conversations
+)
+SELECT doc_id, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag), '') AS tags FROM documents LEFT JOIN t ON contains(lower(text), term) GROUP BY 1
+""")
+def tag_by_large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary made from two tables: words, and stretches of text with blanks and signs in them."""
+    word = load_table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("term"))
+    stretches = load_table(spark, sf, "conversations").select(F.substring("text", 4, 9).alias("term"), F.concat(F.lit("turn "), "turn").alias("tag"))
+    terms = word.select("term", F.concat(F.length("term"), F.lit(" letters")).alias("tag")).union(stretches)
+    return alerts.find_tags(load_table(spark, sf, "documents"), terms, "doc_id").select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
 @query("""
 SELECT DISTINCT c_custkey AS entreprise_id, l_orderkey AS publication_id FROM customer
 JOIN (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1) i ON o_custkey = c_custkey

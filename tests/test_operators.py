@@ -157,8 +157,6 @@ def test_tags_and_matches(spark):
     long = spark.createDataFrame([(1, "It is licensed, under TERMS"), (2, "licensed by, under"), (3, None)], "id long, text string")
     terms = spark.createDataFrame([("licensed under", "legal"), ("under terms", "terms"), ("by", "who"), ("a b c d e f", "none"), ("", "empty"), (None, "null")], "term string, tag string")
     assert {r.id: r.tags for r in alerts.tag_by_words(long, terms, "id").collect()} == {1: ["legal", "terms"], 2: ["who"], 3: []}
-    with pytest.raises(ValueError):
-        alerts.tag_by_dictionary(docs, words, most=1)
     p = spark.createDataFrame([(1, 5), (1, 6), (2, None)], "publication_id long, domaine_id long")
     c = spark.createDataFrame([(9, 5), (9, 6)], "entreprise_id long, domaine_id long")
     assert rows(alerts.match_alerts(p, c)) == [(9, 1)]
@@ -187,3 +185,29 @@ def test_names_are_found_or_fail(spark):
     with pytest.raises(Exception, match="is called z"):
         find_named(spark.createDataFrame([("z",)], "who string"), named, "who", "name", "found").collect()
     assert first_or_none(named, F.col("n") > 5, ["n"]).count() == 0 and first_or_none(named, F.col("n") > 0, [F.desc("n")]).first().name == "b"
+
+
+def test_tags_of_any_dictionary_by_brute_force(spark):
+    import random
+
+    dice = random.Random(2)
+    signs = list("ab cde@.-%_\\É\u4e2d\U0001f600 ")
+    texts = [(i, "".join(dice.choice(signs) for _ in range(dice.choice([0, 1, 2, 5, 60])))) for i in range(150)] + [(200, None), (201, "The party was artful"), (202, "the PARTY was artful")]
+    cut = lambda t: t[(a := dice.randrange(len(t) + 1)) : a + dice.randrange(9)]
+    terms = [(cut(dice.choice(texts)[1] or ""), f"t{dice.randrange(60)}") for _ in range(300)] + [("art", "art"), ("party was", "two"), ("@", "at"), ("absent", "no"), (None, "null"), ("x", None), ("%", "percent")]
+    want = {i: sorted({g for w, g in terms if w is not None and g is not None and w.lower() in (t or "").lower()}) for i, t in texts}
+    df, dictionary = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "term string, tag string")
+    for found in (alerts.find_tags(df, dictionary, "id"), alerts.find_tags(df, dictionary, "id", most=20), alerts.tag_by_dictionary(df, dictionary)):
+        assert {r.id: r.tags for r in found.collect()} == want
+    twice = alerts.tag_by_dictionary(df.union(df), dictionary)
+    assert twice.count() == 2 * len(texts) and twice.columns == ["id", "text", "tags"]
+    assert {r.id: r.tags for r in alerts.find_tags(df, dictionary.where("false"), "id").collect()} == {i: [] for i, _ in texts}
+    assert alerts.find_tags(df.where("false"), dictionary, "id").count() == 0
+
+
+def test_a_dictionary_of_100000_terms(spark):
+    """Terms are looked for in the plan's join, none in the plan itself."""
+    terms = spark.range(100_000).select(F.concat(F.lit("term "), F.conv(F.col("id").cast("string"), 10, 36), F.lit(".")).alias("term"), F.col("id").cast("string").alias("tag"))
+    texts = spark.range(300).select("id", F.concat(F.lit("xTERM "), F.conv((F.col("id") * 331).cast("string"), 10, 36), F.lit(". and more")).alias("text"))
+    found = alerts.find_tags(texts, terms, "id")
+    assert {r.id: r.tags for r in found.collect()} == {i: [str(i * 331)] for i in range(300)}
