@@ -1,83 +1,120 @@
 """From extraction payloads to tables: ordered, set-based get-or-creates over a whole batch.
 
 The batch is taken as if its payloads had come one after the other in order of ``arrival``: existing rows are never changed, and of new rows with one
-natural key the first counts. Nothing is looped over; each table is one plan of an aggregate, an anti join and a union.
+natural key the first counts. Nothing is looped over. The steps are the same whether they give new tables as plans (:func:`save_payloads`) or append to stored ones (:func:`store_payloads`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.defaults import has_text, or_empty
-from tenderlake.operators.upsert import add_links, append, get_or_create
+from tenderlake.operators import upsert
+from tenderlake.schemas import TABLES
+from tenderlake.sources.store import Store
 from tenderlake.sources.tables import materialize
 
 COMPANY_TEXTS = ("numero_identification", "siret", "adresse", "telephone", "email", "description", "repnom", "repprenom", "rccm")
 
 
+class Target(Protocol):
+    """What a batch is saved to."""
+
+    def get_or_create(self, name: str, rows: DataFrame, order: Sequence[str | Column]) -> None: ...
+
+    def add_links(self, name: str, pairs: DataFrame) -> None: ...
+
+    def insert(self, name: str, rows: DataFrame, order: Sequence[str | Column], batch: str) -> None: ...
+
+    def ids(self, name: str, keys: DataFrame) -> DataFrame: ...
+
+
+class Plans:
+    """Tables as plans; each that a batch touches is written to the shared folder, as later ones need its ids."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]) -> None:
+        self.tables = dict(tables)
+
+    def get_or_create(self, name: str, rows: DataFrame, order: Sequence[str | Column]) -> None:
+        key = TABLES[name].natural_key
+        self.tables[name] = materialize(upsert.get_or_create(self.tables[name], rows, key, order, "id" if TABLES[name].key == "id" else None), name)
+
+    def add_links(self, name: str, pairs: DataFrame) -> None:
+        left, right = TABLES[name].natural_key
+        self.tables[name] = materialize(upsert.add_links(self.tables[name], pairs, left, right), name)
+
+    def insert(self, name: str, rows: DataFrame, order: Sequence[str | Column], batch: str) -> None:
+        self.tables[name] = upsert.append(self.tables[name], rows, order)
+
+    def ids(self, name: str, keys: DataFrame) -> DataFrame:
+        return self.tables[name].groupBy(*TABLES[name].natural_key).agg(F.min(TABLES[name].key).alias("id"))
+
+
 def save_payloads(tables: Mapping[str, DataFrame], payloads: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """All tables after the batch; those that it touches are written to the shared folder on the way, as later ones need their ids.
+    """All tables after the batch, as :func:`save_to` has it."""
+    plans = Plans(tables)
+    save_to(plans, payloads, now, "")
+    return plans.tables
+
 
-    ``payloads`` has the columns of :data:`tenderlake.schemas.PAYLOAD`, with distinct values of ``arrival``. A payload without a company, award or alert skips
+def store_payloads(store: Store, payloads: DataFrame, now: Column, batch: str) -> None:
+    """Add what the batch brings to the stored tables. ``batch`` names it; a batch that is stored once more, after a failure, leaves what one time would have left."""
+    save_to(store, payloads, now, batch)
+
+
+def save_to(t: Target, payloads: DataFrame, now: Column, batch: str) -> None:
+    """``payloads`` has the columns of :data:`tenderlake.schemas.PAYLOAD`, with distinct values of ``arrival``. A payload without a company, award or alert skips
     that step; publication and contract are always looked up, with an empty number or object if need be. An alert
     without a company can't be stored and is left out.
     """
-    t = dict(tables)
     p = materialize(payloads, "payloads")
     company = p.where("entreprise IS NOT NULL")
 
-    def put(name: str, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-        t[name] = materialize(get_or_create(t[name], rows, key, order, None if name == "resultat" else "id"), name)
-        return t[name]
-
     # Companies, then what they deal in; a payload's own domain comes after its company's.
-    put("entreprise", company.select("arrival", "entreprise.nom", "entreprise.date_creation", *(or_empty(F.col(f"entreprise.{c}")).alias(c) for c in COMPANY_TEXTS)), ["nom"], ["arrival"])
+    firm = company.select("arrival", "entreprise.nom", "entreprise.date_creation", *(or_empty(F.col(f"entreprise.{c}")).alias(c) for c in COMPANY_TEXTS))
+    t.get_or_create("entreprise", firm, ["arrival"])
     own = company.select("arrival", F.col("entreprise.nom").alias("_nom"), F.posexplode("entreprise.domaines").alias("at", "libelle"))
     single = p.where(has_text(F.col("domaine"))).select("arrival", F.lit(None).cast("string").alias("_nom"), F.lit(1 << 30).alias("at"), F.col("domaine").alias("libelle"))
-    put("domaine", own.unionByName(single).where("libelle IS NOT NULL"), ["libelle"], ["arrival", "at"])
+    named = own.unionByName(single).where("libelle IS NOT NULL")
+    t.get_or_create("domaine", named, ["arrival", "at"])
     sectors = company.select("arrival", F.col("entreprise.nom").alias("_nom"), F.posexplode("entreprise.secteurs").alias("at", "nom")).where("nom IS NOT NULL")
-    put("secteur_activite", sectors, ["nom"], ["arrival", "at"])
-    companies = t["entreprise"].select(F.col("id").alias("entreprise_id"), F.col("nom").alias("_nom"))
-    domains = t["domaine"].select(F.col("id").alias("domaine_id"), "libelle")
-    t["entreprise_domaine"] = materialize(add_links(t["entreprise_domaine"], own.join(companies, "_nom").join(domains, "libelle"), "entreprise_id", "domaine_id"), "entreprise_domaine")
-    sector_ids = t["secteur_activite"].select(F.col("id").alias("secteur_id"), "nom")
-    t["entreprise_secteur"] = materialize(add_links(t["entreprise_secteur"], sectors.join(companies, "_nom").join(sector_ids, "nom"), "entreprise_id", "secteur_id"), "entreprise_secteur")
+    t.get_or_create("secteur_activite", sectors, ["arrival", "at"])
+    firms = t.ids("entreprise", firm).select(F.col("id").alias("entreprise_id"), F.col("nom").alias("_nom"))
+    domains = t.ids("domaine", named).select(F.col("id").alias("domaine_id"), "libelle")
+    t.add_links("entreprise_domaine", own.join(firms, "_nom").join(domains, "libelle"))
+    t.add_links("entreprise_secteur", sectors.join(firms, "_nom").join(t.ids("secteur_activite", sectors).select(F.col("id").alias("secteur_id"), "nom"), "nom"))
 
-    put("type_procedure", p.where(has_text(F.col("type_procedure"))).select("arrival", F.col("type_procedure").alias("libelle")), ["libelle"], ["arrival"])
+    procedures = p.where(has_text(F.col("type_procedure"))).select("arrival", F.col("type_procedure").alias("libelle"))
+    t.get_or_create("type_procedure", procedures, ["arrival"])
 
     text = lambda c: or_empty(F.col(f"publication.{c}")).alias(c)
-    put("publication", p.select("arrival", text("numero"), text("titre"), "publication.date_publication", text("source"), text("source_url"), text("type_publication")), ["numero"], ["arrival"])
+    publications = p.select("arrival", text("numero"), text("titre"), "publication.date_publication", text("source"), text("source_url"), text("type_publication"))
+    t.get_or_create("publication", publications, ["arrival"])
 
     # From here on every payload knows the ids of what it names.
-    kinds = t["type_procedure"].select(F.col("id").alias("type_procedure_id"), F.col("libelle").alias("_kind"))
-    pubs = t["publication"].select(F.col("id").alias("publication_id"), F.col("numero").alias("_numero")).groupBy("_numero").agg(F.min("publication_id").alias("publication_id"))
-    firms = companies.groupBy("_nom").agg(F.min("entreprise_id").alias("entreprise_id"))
+    kinds = t.ids("type_procedure", procedures).select(F.col("id").alias("type_procedure_id"), F.col("libelle").alias("_kind"))
+    pubs = t.ids("publication", publications).select(F.col("id").alias("publication_id"), F.col("numero").alias("_numero"))
     known = p.select("*", or_empty(F.col("publication.numero")).alias("_numero"), F.col("type_procedure").alias("_kind"), F.col("entreprise.nom").alias("_nom"), or_empty(F.col("marche.objet")).alias("objet"))
     known = known.join(pubs, "_numero").join(kinds, "_kind", "left").join(firms, "_nom", "left")
     known = materialize(known, "payloads-known")
-    t["publication_domaine"] = materialize(add_links(t["publication_domaine"], known.join(domains, known["domaine"] == domains["libelle"]), "publication_id", "domaine_id"), "publication_domaine")
+    t.add_links("publication_domaine", known.join(domains, known["domaine"] == domains["libelle"]))
 
-    put(
-        "marche",
-        known.select("arrival", "publication_id", "type_procedure_id", or_empty(F.col("marche.ministere")).alias("ministere"), or_empty(F.col("marche.region")).alias("region"), "objet", "marche.budget_min", "marche.budget_max"),
-        ["publication_id", "objet"],
-        ["arrival"],
-    )
-    contracts = t["marche"].groupBy("publication_id", "objet").agg(F.min("id").alias("marche_id"))
-    known = known.join(contracts, ["publication_id", "objet"])
+    contracts = known.select("arrival", "publication_id", "type_procedure_id", or_empty(F.col("marche.ministere")).alias("ministere"), or_empty(F.col("marche.region")).alias("region"), "objet", "marche.budget_min", "marche.budget_max")
+    t.get_or_create("marche", contracts, ["arrival"])
+    known = known.join(t.ids("marche", contracts).withColumnRenamed("id", "marche_id"), ["publication_id", "objet"])
     lots = known.select("arrival", "marche_id", F.posexplode("lots").alias("at", "_lot")).select("arrival", "at", "marche_id", "_lot.numero_lot", or_empty(F.col("_lot.description")).alias("description"), "_lot.montant")
-    put("lot", lots, ["marche_id", "numero_lot"], ["arrival", "at"])
+    t.get_or_create("lot", lots, ["arrival", "at"])
 
     award = lambda c: or_empty(F.col(f"resultat.{c}")).alias(c)
     awards = known.where("resultat IS NOT NULL").select(
         "arrival", "marche_id", "resultat.date_attribution", F.col("entreprise_id").alias("entreprise_attributaire_id"), "resultat.montant_attribue", award("reference_decision"), "resultat.nombre_offres_recues", award("delai_execution"), award("motif_rejet_autres_offres")
     )
-    put("resultat", awards, ["marche_id"], ["arrival"])
+    t.get_or_create("resultat", awards, ["arrival"])
 
     note = lambda c: or_empty(F.col(f"alerte.{c}")).alias(c)
     alerts = known.where("alerte IS NOT NULL AND entreprise_id IS NOT NULL").select("arrival", "entreprise_id", "publication_id", note("type_alerte"), F.coalesce("alerte.date_alerte", now.cast("timestamp")).alias("date_alerte"), note("contenu_alerte"), note("canal_alerte"))
-    t["alerte"] = append(t["alerte"], alerts, ["arrival"])
-    return t
+    t.insert("alerte", alerts, ["arrival"], batch)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tenderlake.plans.ingest import save_payloads
+from tenderlake.plans.ingest import store_payloads
 from tenderlake.schemas import PAYLOAD
-from tenderlake.sources.catalog import Catalog
+from tenderlake.sources.store import Store
 
 
 def payload_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
@@ -16,13 +18,13 @@ def payload_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -
     return spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", files_at_once).json(folder)
 
 
-def save_stream(stream: DataFrame, catalog: Catalog, checkpoint: str) -> StreamingQuery:
-    """Save what has landed and stop. The catalogue remembers the last batch of each checkpoint that it has taken in, in the same commit, so a batch that is replayed
-    after a failure changes nothing, and alerts that say the same as earlier ones are stored as often as they come."""
+def save_stream(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Save what has landed and stop. Batches are stored under the names of the checkpoint and their number, so a batch that is replayed after a failure changes nothing that it has stored, and
+    alerts that say the same as those of earlier batches are stored as often as they come."""
+    name = re.sub(r"[^A-Za-z0-9]+", "-", checkpoint).strip("-")
 
     def save(batch: DataFrame, number: int) -> None:
-        if number > catalog.last_batch(checkpoint):
-            catalog.commit(save_payloads(catalog.tables(), batch, F.current_timestamp()), {checkpoint: number})
+        store_payloads(store, batch, F.current_timestamp(), f"{name}-{number}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

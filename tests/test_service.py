@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.operators import integrity
-from tenderlake.plans.ingest import save_payloads
+from tenderlake.plans.ingest import save_payloads, store_payloads
 from tenderlake.plans.resources import RESOURCES, detail, list_resource, response
 from tenderlake.schemas import PAYLOAD, TABLES
-from tenderlake.sources.catalog import Catalog
 from tenderlake.sources.files import list_files, parse_payloads, read_config, read_text_pages, to_json_rows, write_pages, write_texts
 from tenderlake.sources.generator import companies
+from tenderlake.sources.store import Store
 
 BATCH = [
     {
@@ -102,14 +102,48 @@ def test_validation_of_a_table(spark, saved):
     assert rows(integrity.validate("domaine", doubled, saved), "rule", "field") == [("unique", "libelle")]
 
 
-def test_catalog_versions(spark, saved, tmp_path):
-    c = Catalog(spark, f"file://{tmp_path}/catalog")
-    assert c.table("lot").count() == 0
-    c.commit({"lot": saved["lot"], "domaine": saved["domaine"]})
-    c.commit({"lot": c.table("lot").where("numero_lot = 1")})
-    assert c.table("lot").count() == 1 and c.table("domaine").count() == 2
-    c.register_views()
-    assert spark.sql("SELECT count(*) FROM domaine").first()[0] == 2
+def as_rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0], ids=["broadcast", "by bucket"])
+def test_stored_tables_get_new_rows_only(spark, empty, saved, most):
+    """As the plans have it, twice; what is stored stays in its files."""
+    store = Store(spark, f"stored_{most}", buckets=4, most=most)
+    body = lambda batch: parse_payloads(spark.createDataFrame([(json.dumps(p),) for p in batch], "body string"))
+    now = F.lit("2024-05-01 00:00:00")
+    store_payloads(store, body(BATCH), now, "first")
+    for name in ("entreprise", "lot", "alerte"):
+        assert as_rows(store.table(name)) == as_rows(saved[name]), name
+    files = {name: set(store.table(name).inputFiles()) for name in TABLES}
+    more = [
+        {"arrival": 1, "entreprise": {"nom": "Beta", "siret": "2", "domaines": ["Eau", "Sol"]}, "publication": {"numero": "P1"}, "marche": {"objet": "Route"}, "lots": [{"numero_lot": 1}, {"numero_lot": 3}], "resultat": {}, "alerte": {"type_alerte": "y"}},
+        {"arrival": 2, "entreprise": {"nom": None, "siret": "0"}, "publication": {"numero": "P9"}},
+        {"arrival": 3, "entreprise": {"nom": None, "siret": "1"}, "publication": {"numero": "P9"}},
+    ]
+    want = save_payloads(saved, body(more), now)
+    for _ in range(2 if most else 1):  # the second time as after a failure
+        store_payloads(store, body(more), now, "second")
+    for name in TABLES:
+        columns = [c for c in store.table(name).columns if c != "id" or name != "alerte"]  # a batch that is repeated numbers its alerts anew
+        assert as_rows(store.table(name).select(*columns)) == as_rows(want[name].select(*columns)), name
+        assert files[name] <= set(store.table(name).inputFiles()), name
+    added = {name: set(store.table(name).inputFiles()) - files[name] for name in TABLES}
+    counts = {name: spark.read.parquet(*sorted(a)).count() if a else 0 for name, a in added.items()}
+    assert counts == {name: want[name].count() - saved[name].count() for name in TABLES}
+    assert counts["entreprise"] == 2 and counts["alerte"] == 1 and counts["resultat"] == 0
+
+
+def test_a_stored_table_is_met_without_a_shuffle(spark):
+    """Only the batch's keys are exchanged, to as many partitions as there are buckets."""
+    store = Store(spark, "stored_plan", buckets=5, most=0)
+    keys = spark.createDataFrame([(i, f"o{i}") for i in range(20)], "publication_id long, objet string")
+    plan = store._meeting("marche", keys)._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("ShuffledHashJoin") :].split("Union")[0]
+    lines = joined.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "Bucketed: true" in x)
+    assert not any("Exchange" in x for x in lines[: scan + 1])
+    assert sum("Exchange hashpartitioning" in x and ", 5)" in x for x in lines) == 1
 
 
 def test_files(spark, tmp_path):
@@ -138,29 +172,16 @@ def test_generator_is_seeded_and_unique(spark):
     assert all(1 <= len(r.domaines) <= 3 and len(set(r.domaines)) == len(r.domaines) and r.secteurs == ["s"] for r in one)
 
 
-def test_the_second_of_two_writers_gets_an_error(spark, tmp_path):
-    root = f"file://{tmp_path}/shared-catalog"
-    make = lambda *names: spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], TABLES["domaine"].schema)
-    a, b = Catalog(spark, root), Catalog(spark, root)
-    a.tables(), b.tables()
-    b.commit({"domaine": make("from b")})
-    with pytest.raises(RuntimeError):
-        a.commit({"domaine": make("from a")})
-    assert [r.libelle for r in a.tables()["domaine"].collect()] == ["from b"]
-    a.commit({"domaine": make("from a", "once more")})
-    assert b.tables()["domaine"].count() == 2
-
-
 def test_streams(spark, tmp_path):
     from tenderlake.streaming.ingest import interest_stream, payload_stream, save_stream, windowed_counts
 
     landing = tmp_path / "landing"
     landing.mkdir()
-    catalog = Catalog(spark, f"file://{tmp_path}/stored")
+    store = Store(spark, "streamed", buckets=2)
     for i in (0, 1):
         (landing / f"{i}.json").write_text("\n".join(json.dumps(p) for p in BATCH))
-        save_stream(payload_stream(spark, f"file://{landing}"), catalog, f"file://{tmp_path}/cp").awaitTermination()
-        assert catalog.table("marche").count() == 3 and catalog.table("alerte").count() == 2 * (i + 1)  # alerts are inserted whenever they come
+        save_stream(payload_stream(spark, f"file://{landing}"), store, f"file://{tmp_path}/cp").awaitTermination()
+        assert store.table("marche").count() == 3 and store.table("alerte").count() == 2 * (i + 1)  # alerts are inserted whenever they come
     spark.createDataFrame([(1, 5, datetime.datetime(2024, 1, 1)), (1, 5, datetime.datetime(2024, 1, 1, 0, 5))], "publication_id long, domaine_id long, ts timestamp").write.parquet(f"file://{tmp_path}/pubs")
     stream = spark.readStream.schema("publication_id long, domaine_id long, ts timestamp").parquet(f"file://{tmp_path}/pubs")
     firms = spark.createDataFrame([(9, 5)], "entreprise_id long, domaine_id long")
