@@ -12,7 +12,8 @@ import hashlib
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -38,15 +39,58 @@ MAGIC = (
     (b"OggS", "ogg"),
 )
 BLOCK = 64
+#: Of check sums from the start of the bytes.
+STRIDE = 4096
 WAV_HEAD = 44
 
 
+class Chain:
+    """Lists that are linked through the bytes (chunks, pages, blocks): each place is looked at once, however many heads lead to it.
+
+    ``step(place)`` gives the next place, which is larger, and None, or None and the result of a list that ends there. A place remembers the next one, a far one
+    and the result, so any place of its list is found in a logarithm of steps.
+    """
+
+    def __init__(self, step: Callable[[int], tuple[int | None, object]]) -> None:
+        self.step = step
+        self.next: dict[int, int] = {}
+        self.far: dict[int, int] = {}
+        self.depth: dict[int, int] = {}
+        self.result: dict[int, object] = {}
+
+    def end(self, place: int) -> object:
+        """The result of the list from ``place`` on."""
+        way, p = [], place
+        while p not in self.result:
+            q, result = self.step(p)
+            if q is None:
+                self.next[p] = self.far[p] = p
+                self.depth[p], self.result[p] = 0, result
+                break
+            way.append((p, q))
+            p = q
+        for p, q in reversed(way):
+            self.next[p], self.depth[p], self.result[p] = q, self.depth[q] + 1, self.result[q]
+            far = self.far[q]
+            self.far[p] = self.far[far] if self.depth[q] - self.depth[far] == self.depth[far] - self.depth[self.far[far]] else q
+        return self.result[place]
+
+    def upto(self, place: int, target: int) -> int:
+        """The first place of the list from ``place`` on that isn't before ``target``, or the list's last."""
+        self.end(place)
+        while place < target and self.next[place] != place:
+            place = self.far[place] if self.far[place] <= target else self.next[place]
+        return place
+
+
 class Marks:
-    """Places of a mark in the bytes, in order, found once: many heads that all look for an end behind them share one search."""
+    """What validators find out about the bytes once, for all heads: places of marks, linked lists, check sums."""
 
     def __init__(self, data: bytes) -> None:
         self.data = data
         self.places: dict[bytes, list[int]] = {}
+        self.chains: dict[str, Chain] = {}
+        self.sums: list[int] = []
 
     def next(self, mark: bytes, at: int) -> int:
         """The first place of ``mark`` from ``at`` on, -1 if there is none."""
@@ -60,81 +104,150 @@ class Marks:
         i = bisect_left(places, at)
         return places[i] if i < len(places) else -1
 
+    def chain(self, name: str, step: Callable[[bytes, int], tuple[int | None, object]]) -> Chain:
+        if name not in self.chains:
+            self.chains[name] = Chain(lambda p: step(self.data, p))
+        return self.chains[name]
+
+    def crc32(self, low: int, high: int) -> int:
+        """Of the bytes from ``low`` to ``high``; a long stretch from sums that are kept for every ``STRIDE`` bytes from the start."""
+        if high - low <= STRIDE:
+            return zlib.crc32(self.data[low:high])
+        if not self.sums:
+            self.sums.append(0)
+            for p in range(0, len(self.data) - STRIDE + 1, STRIDE):
+                self.sums.append(zlib.crc32(self.data[p : p + STRIDE], self.sums[-1]))
+        upto = lambda p: zlib.crc32(self.data[p // STRIDE * STRIDE : p], self.sums[p // STRIDE])
+        return upto(high) ^ shifted(upto(low), high - low)
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    total, i = 0, 0
+    while vector:
+        if vector & 1:
+            total ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return total
+
+
+@cache
+def _zeros(power: int) -> tuple[int, ...]:
+    """What 2**power zero bytes do to a CRC-32, as a matrix over bits."""
+    if power == 0:
+        rows = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit: the format's polynomial, reflected
+        for _ in range(3):
+            rows = [_times(rows, r) for r in rows]
+        return tuple(rows)
+    half = list(_zeros(power - 1))
+    return tuple(_times(half, r) for r in half)
+
+
+def shifted(crc: int, n: int) -> int:
+    """A CRC-32 as it goes on over ``n`` zero bytes, without what begins and ends it."""
+    power = 0
+    while n:
+        if n & 1:
+            crc = _times(list(_zeros(power)), crc)
+        n >>= 1
+        power += 1
+    return crc
+
+
+# Each validator takes the bytes, a place, and what is known about the bytes, and returns (media type, length) or None.
+def _riff_step(b: bytes, p: int) -> tuple[int | None, object]:
+    if p + 8 > len(b):
+        return None, None
+    n = struct.unpack_from("<I", b, p + 4)[0]
+    return (p + 8 + n + (n & 1), None) if p + 8 + n + (n & 1) <= len(b) else (None, None)
+
+
+def _riff_next(name: bytes) -> Callable[[bytes, int], tuple[int | None, object]]:
+    """A list's result is where its first chunk of that name is."""
+
+    def step(b: bytes, p: int) -> tuple[int | None, object]:
+        return (None, p) if b[p : p + 4] == name else _riff_step(b, p)
+
+    return step
+
 
-# Each validator takes the bytes, a place, and the bytes' marks, and returns (media type, length) or None.
 def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     length = 8 + struct.unpack_from("<I", b, at + 4)[0]
     kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}.get(b[at + 8 : at + 12])
-    if kind is None or at + length > len(b):
+    if kind is None or at + length > len(b) or length <= 12 or marks.chain("riff", _riff_step).upto(at + 12, at + length) != at + length:
         return None
-    p, names = at + 12, []
-    while p + 8 <= at + length:
-        names.append(b[p : p + 4])
-        p += 8 + (n := struct.unpack_from("<I", b, p + 4)[0]) + (n & 1)
-    needed = {"audio/wav": {b"fmt ", b"data"}}.get(kind, set())
-    return (kind, length) if p == at + length and names and needed <= {*names} else None
+    needed = {"audio/wav": (b"fmt ", b"data")}.get(kind, ())
+    found = [marks.chain(f"riff {name}", _riff_next(name)).end(at + 12) for name in needed]
+    return (kind, length) if all(p is not None and p < at + length for p in found) else None
 
 
 def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n = struct.unpack_from(">I", b, p)[0]
+    def step(b: bytes, p: int) -> tuple[int | None, object]:
+        if p + 12 > len(b):
+            return None, None
+        end = p + 12 + struct.unpack_from(">I", b, p)[0]
         name = b[p + 4 : p + 8]
-        end = p + 12 + n
-        if end > len(b) or first and name != b"IHDR" or zlib.crc32(b[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return None
-        if name == b"IEND":
-            return "image/png", end - at
-        p, first = end, False
-    return None
+        if end > len(b) or not name.isalpha() or marks.crc32(p + 4, end - 4) != struct.unpack_from(">I", b, end - 4)[0]:
+            return None, None
+        return (None, end) if name == b"IEND" else (end, None)
 
+    # The head chunk has 13 bytes.
+    end = marks.chain("png", step).end(at + 8) if b[at + 8 : at + 16] == b"\0\0\0\rIHDR" else None
+    return ("image/png", end - at) if end else None
 
-def _blocks(b: bytes, p: int) -> int | None:
-    """The end of a run of GIF sub-blocks."""
-    while p < len(b):
-        n = b[p]
-        p += 1 + n
-        if not n:
-            return p
-    return None
+
+def _blocks_step(b: bytes, p: int) -> tuple[int | None, object]:
+    """A run of GIF sub-blocks; its result is its end."""
+    if p >= len(b):
+        return None, None
+    return (p + 1 + b[p], None) if b[p] else (None, p + 1)
 
 
 def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    if at + 13 > len(b):
-        return None
-    p: int | None = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while p is not None and p < len(b):
+    def step(b: bytes, p: int) -> tuple[int | None, object]:
+        if p >= len(b):
+            return None, None
         if b[p] == 0x3B:
-            return "image/gif", p + 1 - at
+            return None, p + 1
         if b[p] == 0x21:
-            p = _blocks(b, p + 2)
+            inner = p + 2
         elif b[p] == 0x2C and p + 10 < len(b):
-            p = _blocks(b, p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0))
+            inner = p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0)
         else:
-            return None
-    return None
+            return None, None
+        return marks.chain("gif blocks", _blocks_step).end(inner), None
+
+    if at + 13 > len(b):
+        return None
+    end = marks.chain("gif", step).end(at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0))
+    return ("image/gif", end - at) if end else None
+
+
+def _jpeg_step(b: bytes, state: int) -> tuple[int | None, object]:
+    """From segment to segment. A state is twice the place, and one more once there was a scan."""
+    p, scan = state >> 1, state & 1
+    if p + 2 > len(b) or b[p] != 0xFF:
+        return None, None
+    mark = b[p + 1]
+    if mark == 0xD9:
+        return None, p + 2 if scan else None
+    if p + 4 > len(b):
+        return None, None
+    p += 2 + struct.unpack_from(">H", b, p + 2)[0]
+    if mark == 0xDA:
+        scan = 1
+        while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+            p += 2
+        if p < 0 or p + 1 >= len(b):
+            return None, None
+    return 2 * p + scan, None
 
 
 def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p, scan = at + 2, False
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return None
-        mark = b[p + 1]
-        if mark == 0xD9:
-            return ("image/jpeg", p + 2 - at) if scan else None
-        p += 2 + struct.unpack_from(">H", b, p + 2)[0]
-        if mark == 0xDA:
-            scan = True
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0 or p + 1 >= len(b):
-                return None
-            if b[p + 1] == 0xD9:
-                return "image/jpeg", p + 2 - at
-    return None
+    end = marks.chain("jpeg", _jpeg_step).end(2 * (at + 2))
+    return ("image/jpeg", end - at) if end else None
 
 
 def _bmp(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
@@ -237,17 +350,20 @@ def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     return None
 
 
+def _ogg_step(b: bytes, p: int) -> tuple[int | None, object]:
+    """From page to page, to the one that says it is the last."""
+    if p + 27 > len(b) or b[p : p + 5] != b"OggS\0":
+        return None, None
+    table = b[p + 27 : p + 27 + b[p + 26]]
+    end = p + 27 + len(table) + sum(table)
+    if len(table) < b[p + 26] or end > len(b):
+        return None, None
+    return (None, end) if b[p + 5] & 4 else (end, None)
+
+
 def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p = at
-    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
-        table = b[p + 27 : p + 27 + b[p + 26]]
-        if len(table) < b[p + 26] or p + 27 + len(table) + sum(table) > len(b):
-            return None
-        last = b[p + 5] & 4
-        p += 27 + len(table) + sum(table)
-        if last:
-            return "audio/ogg", p - at
-    return None
+    end = marks.chain("ogg", _ogg_step).end(at)
+    return ("audio/ogg", end - at) if end else None
 
 
 VALIDATORS = {"riff": _riff, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg}

@@ -1,11 +1,11 @@
 """URL filter: memory-mapped sorted 64-bit digests, vectorised binary search, stored strings against collisions.
 
-A rule is a host and the beginning of a path. A url is probed with every suffix of its host that begins at a label,
+A rule is a host and the beginning of a path. A url is probed with every suffix of its host that begins at a label and has no more labels than the rules' hosts, nor is longer,
 joined to the beginning of its path in every length that some rule has. The keys of all probes are looked up in one vectorised
 binary search over the sorted array of the rules' keys; a hit counts only if the string stored
 beside the key equals the probe. Of the hits of a url the longest rule wins.
 
-The table is built once on the driver from the rules, checked against ``max_bytes``, and broadcast; each worker maps it from a nameless
+The table is built once on the driver from the rules, checked against ``max_bytes``, and broadcast; each worker process maps it once, from a nameless
 file of its own, so it is paged in on demand, no other process needs the file, and nothing stays behind when a worker is lost.
 Rule sets beyond the bound go through :func:`judge_by_join` instead, where Spark joins probes and rules by their strings.
 """
@@ -39,8 +39,12 @@ def split_url(url: str | None) -> tuple[str, str]:
 class RuleTable:
     """Sorted keys, and the strings and verdicts in the same order, in one block of bytes."""
 
-    def __init__(self, keys: np.ndarray, offsets: np.ndarray, strings: np.ndarray, blocks: np.ndarray, lengths: list[int]) -> None:
-        self.keys, self.offsets, self.strings, self.blocks, self.lengths = keys, offsets, strings, blocks, lengths
+    #: The table that this process has mapped last, and its digest.
+    mapped: tuple[int, RuleTable] | None = None
+
+    def __init__(self, keys: np.ndarray, offsets: np.ndarray, strings: np.ndarray, blocks: np.ndarray, labels: int, longest: int, lengths: list[int]) -> None:
+        """``labels`` and ``longest``: the most labels and characters of any rule's host; ``lengths``: of the rules' paths."""
+        self.keys, self.offsets, self.strings, self.blocks, self.labels, self.longest, self.lengths = keys, offsets, strings, blocks, labels, longest, lengths
 
     @staticmethod
     def build(rules: Iterable[tuple[str, str, str]]) -> RuleTable:
@@ -51,11 +55,13 @@ class RuleTable:
             seen[key] = verdict == "block" and seen.get(key, True)
         entries = sorted((xxhash.xxh64_intdigest(s), s, blocked) for s, blocked in seen.items())
         offsets = np.cumsum([0, *(len(s) for _, s, _ in entries)]).astype(np.int64)
-        lengths = sorted({len(s.decode().partition("\0")[2]) for s in seen})
-        return RuleTable(np.array([k for k, _, _ in entries], np.uint64), offsets, np.frombuffer(b"".join(s for _, s, _ in entries), np.uint8), np.array([b for _, _, b in entries], np.uint8), lengths)
+        parts = [s.decode().partition("\0") for s in seen]
+        lengths = sorted({len(path) for _, _, path in parts})
+        labels, longest = max((h.count(".") + 1 for h, _, _ in parts), default=0), max((len(h) for h, _, _ in parts), default=0)
+        return RuleTable(np.array([k for k, _, _ in entries], np.uint64), offsets, np.frombuffer(b"".join(s for _, s, _ in entries), np.uint8), np.array([b for _, _, b in entries], np.uint8), labels, longest, lengths)
 
     def pack(self) -> bytes:
-        head = np.array([len(self.keys), len(self.strings), len(self.lengths), *self.lengths], np.int64)
+        head = np.array([len(self.keys), len(self.strings), self.labels, self.longest, len(self.lengths), *self.lengths], np.int64)
         return b"".join(x.tobytes() for x in (head, self.keys, self.offsets, self.strings, self.blocks))
 
     @staticmethod
@@ -65,14 +71,21 @@ class RuleTable:
             f.write(packed)
             f.flush()
             whole = np.memmap(f, np.uint8, "r", shape=(len(packed),))
-        n, size, k = whole[:24].view(np.int64)
-        at = 24 + 8 * int(k)
-        lengths = whole[24:at].view(np.int64).tolist()
+        n, size, labels, longest, k = whole[:40].view(np.int64)
+        at = 40 + 8 * int(k)
+        lengths = whole[40:at].view(np.int64).tolist()
         parts = []
         for width, kind in ((8 * n, np.uint64), (8 * (n + 1), np.int64), (size, np.uint8), (n, np.uint8)):
             parts.append(whole[at : at + int(width)].view(kind))
             at += int(width)
-        return RuleTable(*parts, lengths)
+        return RuleTable(*parts, int(labels), int(longest), lengths)
+
+    @classmethod
+    def once(cls, digest: int, shared) -> RuleTable:
+        """The table behind a broadcast, mapped once for all tasks that this process runs."""
+        if cls.mapped is None or cls.mapped[0] != digest:
+            cls.mapped = digest, cls.map(shared.value)
+        return cls.mapped[1]
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """The place of each probe among the rules, -1 if it is none."""
@@ -95,12 +108,13 @@ class RuleTable:
         return text, "block" if self.blocks[j] else "allow"
 
 
-def probes_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
+def probes_of(host: str, path: str, table: RuleTable) -> list[bytes]:
+    """From the longest host to the shortest. However many labels a host has, only as many as some rule's host has are taken off its end."""
     if not host:
         return []
-    labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
-    return [f"{s}\0{path[:n]}".encode("utf-8", "surrogatepass") for s in suffixes for n in lengths if n <= len(path)]
+    labels = host.rsplit(".", table.labels)[-table.labels :] if table.labels else []
+    suffixes = [s for i in range(len(labels)) if len(s := ".".join(labels[i:])) <= table.longest]
+    return [f"{s}\0{path[:n]}".encode("utf-8", "surrogatepass") for s in suffixes for n in table.lengths if n <= len(path)]
 
 
 def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_bytes: int = 256 << 20) -> DataFrame:
@@ -109,19 +123,19 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_
     The rule is host and path of the longest rule that fits (its host or a subdomain, and the beginning of its path; between
     rules of one length the longer host), null if none does; the verdict is the rule's, else ``default``. A null url, or one without ``://``, has an empty
     host and path and no rule. Rows may repeat; ids may be null; other columns aren't read; an empty table gives an empty result.
-    Of rules that repeat a host and path one that allows counts. A table of rules over ``max_bytes`` is refused: use :func:`judge_by_join`.
+    Of rules that repeat a host and path one that allows counts. Hosts and paths of any length take no more probes than the rules' labels and path lengths. A table of rules over ``max_bytes`` is refused: use :func:`judge_by_join`.
     """
     packed = RuleTable.build(rules).pack()
     if len(packed) > max_bytes:
         raise ValueError(f"the rules take {len(packed)} bytes, more than may be broadcast ({max_bytes}); use judge_by_join")
-    shared = df.sparkSession.sparkContext.broadcast(packed)
+    shared, digest = df.sparkSession.sparkContext.broadcast(packed), xxhash.xxh64_intdigest(packed)
 
     def run(batches):
-        table = RuleTable.map(shared.value)
+        table = RuleTable.once(digest, shared)
         for batch in batches:
             ids, urls = batch.column(0), batch.column(1).to_pylist()
             parts = [split_url(u) for u in urls]
-            each = [probes_of(h, p, table.lengths) for h, p in parts]
+            each = [probes_of(h, p, table) for h, p in parts]
             found = table.find([x for probes in each for x in probes])
             names, verdicts, at = [], [], 0
             for probes in each:
@@ -148,7 +162,9 @@ def judge_by_join(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     pages = df.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), lower(F.regexp_extract(u, form, 1)).alias("host"), F.regexp_extract(u, form, 2).alias("path"))
     named = rules.groupBy(lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("rule_verdict"))
     lengths = named.select("rule_host", F.length("rule_path").alias("n")).distinct()
-    labels = F.split("host", r"\.")
+    # As many labels as some rule's host has, from a host's end.
+    most = named.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    labels = F.split(F.substring_index("host", ".", -most), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     # Each host and path once, however many pages have them.
     urls = pages.where("host != ''").select("host", "path").distinct()

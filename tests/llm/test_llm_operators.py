@@ -391,6 +391,45 @@ def test_many_heads_without_an_end_take_linear_time():
         assert media_sniff.media_inside(data, words) == (None, [])
 
 
+def test_a_million_bytes_of_heads_that_share_their_lists_take_linear_time():
+    import struct
+    import time
+
+    words = media_sniff.automaton()
+    page = b"OggS\0\0" + b"\0" * 20 + b"\0"
+    head = b"\x89PNG\r\n\x1a\n" + (ihdr := struct.pack(">I", 13) + b"IHDR" + b"\0" * 13) + struct.pack(">I", zlib.crc32(ihdr[4:]))
+    frame = b"GIF89a" + b"\0" * 7 + b"!\xfe\x04"
+    chunks = b"RIFF" + struct.pack("<I", 12) + b"WAVEdata" + struct.pack("<I", 0)
+    cases = [page * (10**6 // 27), head * (10**6 // 33), frame * (10**6 // 16), b"GIF89a" * (10**6 // 6), chunks * (10**6 // 20), b"RIFF\x04\0\0\0WAVE" * (10**6 // 12), b"RIFF\xff\xff\x07\0WAVE" * 40_000 + b"LIST\0\0\0\0" * 65_000]
+    # Each head before a long chunk whose sum is wrong.
+    cases.append(b"".join(head + struct.pack(">I", 10**6 - 60 * i) + b"IDAT" + b"\0" * 19 for i in range(16_000)) + b"\0" * 100_000)
+    for data in cases:
+        began = time.process_time()
+        media_sniff.media_inside(data, words)
+        assert time.process_time() - began < 20
+
+
+def test_lists_and_sums_through_the_bytes():
+    import random
+
+    dice = random.Random(1)
+    data = bytes(dice.randrange(256) for _ in range(30_000))
+    marks = media_sniff.Marks(data)
+    for _ in range(200):
+        a, b = sorted(dice.randrange(30_001) for _ in range(2))
+        assert marks.crc32(a, b) == zlib.crc32(data[a:b])
+    chain = media_sniff.Chain(lambda p: (p + data[p] % 9 + 1, None) if p < 29_000 else (None, p))
+    for _ in range(300):
+        p, target = dice.randrange(29_000), dice.randrange(29_010)
+        q = p
+        while q < min(target, 29_000):
+            q += data[q] % 9 + 1
+        assert chain.upto(p, target) == q
+        while q < 29_000:
+            q += data[q] % 9 + 1
+        assert chain.end(p) == q
+
+
 def test_sniffing_corrects_types(spark, none):
     df = spark.createDataFrame([(1, bytearray(png()), "image/jpeg"), (2, None, None), (3, bytearray(b"text"), "text/plain"), (4, bytearray(media_sniff.to_wav(png() + b"\0" * 7)), "audio/wav")], "id long, data binary, actual string")
     got = {r.id: r for r in media_sniff.sniff_media(df, "id", "data", "actual").collect()}
@@ -411,6 +450,19 @@ def test_texts_survive_storage(odd, none):
 
 # 6: URLs
 
+
+def test_hosts_of_very_many_labels_take_no_more_probes(spark):
+    rules = [("com", "/", "allow"), ("a.example.com", "/x", "block")]
+    host = "a." * 100_000 + "example.com"
+    table = url_filter.RuleTable.build(rules)
+    assert len(url_filter.probes_of(host, "/xy", table)) <= 6 and url_filter.probes_of("b" * 10**6, "/", table) == []
+    df = spark.createDataFrame([(1, f"http://{host}/xy"), (2, "http://com/"), (3, "http://" + "b" * 10**6 + ".com/x")], "page_id long, url string")
+    want = {1: "a.example.com/x", 2: "com/", 3: "com/"}
+    assert {r.page_id: r.rule for r in url_filter.judge_urls(df, rules).collect()} == want
+    assert {r.page_id: r.rule for r in url_filter.judge_by_join(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()} == want
+    assert [r.rule for r in url_filter.judge_urls(df, []).collect()] == [None] * 3
+
+
 URLS = ["http://Example.COM/en/x", "https://www.example.com/en/", "http://a.www.example.com/en/1?u=http://b.net/es/", "http://x.net/es/1", "http://net/fr/", "http://xnet/fr/", "http://example.com", "http://example.com?/en/", "http://example.com/fr/#/en/", "no scheme", "", None, "a://b://c/d", "http://É.com/é", "http://user@host.com:80/p", "http://com/"]
 
 
