@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlake.functions.pdf import Pdf
 from tenderlake.schemas import PAYLOAD
+from tenderlake.sources.shipping import ship_package
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
@@ -18,17 +19,25 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFr
 
 
 def read_pdf_pages(files: DataFrame) -> DataFrame:
-    """``path, page_no`` (from 0) and ``text`` of each page of each file. Needs the optional package ``pypdf`` on the executors."""
+    """``path, page_no`` (from 0)``, text`` and ``error`` of each page of each file (``path, content``), wherever Spark reads files from. A file that can't be read is one row with an error.
 
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pypdf import PdfReader
+    A task takes a file as a whole; :func:`tenderlake.sources.pdf.read_pages` splits large files.
+    """
 
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                texts = [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
-                yield pd.DataFrame({"path": path, "page_no": range(len(texts)), "text": texts}).astype({"path": object, "text": object})
+                rows = []
+                try:
+                    pdf = Pdf.of(content)
+                    for page in pdf.pages():
+                        rows.append((path, page.number, pdf.text(page), None))
+                except Exception as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["path", "page_no", "text", "error"]).astype({"page_no": "Int32"})
 
-    return files.select("path", "content").mapInPandas(pages, "path string, page_no int, text string")
+    ship_package(files.sparkSession)
+    return files.select("path", "content").mapInPandas(pages, "path string, page_no int, text string, error string")
 
 
 def read_text_pages(files: DataFrame, mark: str = "\f") -> DataFrame:
@@ -64,8 +73,9 @@ def write_texts(df: DataFrame, folder: str, name: str = "file_name", text: str =
 
 
 def write_pages(df: DataFrame, folder: str, doc: str = "doc_id") -> None:
-    """Pages in a directory for each document."""
-    df.repartition(doc).write.mode("overwrite").partitionBy(doc).parquet(folder)
+    """Pages as a table, in 256 folders by the document's hash: a document's pages stand together, and no folder lists all documents. For a file a page: :mod:`tenderlake.sources.pdf`."""
+    dealt = df.withColumn("part", F.pmod(F.hash(doc), F.lit(256)))
+    dealt.repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
 
 
 def to_json_rows(df: DataFrame, name: str = "body") -> DataFrame:
