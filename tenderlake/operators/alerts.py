@@ -13,24 +13,33 @@ from tenderlake.sources.tables import materialize
 
 def _grams(text: Column, sizes: Iterable[int]) -> Column:
     """The distinct runs of so many characters, overlapping ones too; the empty one is among them if asked for."""
-    lists = [F.array(F.lit("")) if n == 0 else F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    return F.array_distinct(F.concat(*lists))
+    signs = F.split(text, "")
+    runs = lambda n: F.transform(signs, lambda _, i: F.concat(*(F.get(signs, i + j) for j in range(n))))
+    # What begins too near the end to be whole is null.
+    return F.array_distinct(F.concat(*(F.array(F.lit("")) if n == 0 else F.array_compact(runs(n)) for n in sizes)))
 
 
-def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 3, most: int = 200_000) -> DataFrame:
+def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 3, most: int = 200_000, few: int = 200) -> DataFrame:
     """``key`` and ``tags``: the sorted tags of all dictionary rows (``term, tag``) whose term the text holds anywhere, whatever its case. One row for each key.
 
     The dictionary may have any size, and terms any characters. Each term is filed under the one of its grams (runs of ``gram`` characters; all of a shorter term) that the fewest texts have; a term
     with a gram that no text has is dropped. Texts are probed by their grams, and what is found is verified in the text. Grams are counted by an aggregate over all texts, so only
     as many rows as there are distinct grams are shuffled. Filed terms are broadcast, ``most`` at a time: a larger dictionary is cut by hash into shards, each with a probe of its own.
 
+    A dictionary of up to ``few`` rows takes a shorter way to the same rows: its terms are looked for one by one in the plan, and the texts are read once.
+
     A null text counts as empty; an empty term is in every text; rows of the dictionary with a null are ignored. Texts that repeat a key share its tags. Jobs run while the result is built.
     """
     terms = materialize(dictionary.select(F.lower("term").alias("term"), "tag").where("term IS NOT NULL AND tag IS NOT NULL").distinct(), "terms")
+    low = df.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_low"))
+    head = terms.limit(few + 1).collect()
+    if len(head) <= few:
+        hits = F.array(F.lit(None).cast("string"), *(F.when(F.contains("_low", F.lit(r["term"])), F.lit(r["tag"])) for r in sorted(head)))
+        found = low.select("_key", F.array_distinct(F.array_compact(hits)).alias("_hits"))
+        return found.groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_hits")))).alias("tags"))
     size = F.least(F.length("term"), F.lit(gram))
     # The empty gram stands for the row itself, so that each key keeps a row, and it files the empty term.
     sizes = sorted({0, *(r[0] for r in terms.select(size).distinct().collect())})
-    low = df.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_low"))
     probes = low.select("_key", "_low", F.explode(_grams(F.col("_low"), sizes)).alias("_gram"))
     counts = probes.groupBy("_gram").agg(F.count("*").alias("_texts"))
     # Of a term only the grams of its size count: a shorter one says less.

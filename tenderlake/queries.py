@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions.urls import basename, resolve_simple, url_path
-from tenderlake.operators import alerts, documents, integrity, lookup, nesting, ordering, upsert
+from tenderlake.operators import alerts, documents, integrity, lookup, nesting, ordering, sections, upsert
 from tenderlake.operators.search import search
 from tenderlake.plans import writes
 from tenderlake.plans.ingest import save_payloads
@@ -584,6 +584,43 @@ def page_counts(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_pages"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
+# Sections.
+
+#: Sections of conversations by the words of their language; the first word of each is the title's.
+LANGUAGES = (sections.Section("english", ("the", "and"), ("the", "with", " of ")), sections.Section("french", ("les", "une"), (" la ", "que", " le ")), sections.Section("german", ("der", "und"), ("sch", "ein", " die ")))
+
+
+def _sections_sql() -> str:
+    """The best path by a recursion over the lines, which carries for each section the best gain and path so far."""
+    n = len(LANGUAGES) + 1
+    has = lambda w: f"(CASE WHEN contains(lower(line), '{w}') THEN 1 ELSE 0 END)"
+    inside = ["0"] + [f"2 * ({' + '.join(map(has, s.words))})" for s in LANGUAGES]
+    heading = "length(trim(line, ' ')) BETWEEN 1 AND 80 AND NOT regexp_matches(trim(line, ' '), '[.;,]$')"
+    begins = ["0"] + [f"((6 * ({' + '.join(map(has, s.title))})) // {len(s.title)}) * (CASE WHEN {heading} THEN 2 ELSE 1 END)" for s in LANGUAGES]
+    best = f"list_transform(range(0, {n}), lambda j: list_sort(list_transform(range(0, {n}), lambda k: {{'loss': b.cur[k + 1].loss - l.e[j + 1] - (CASE WHEN j = k THEN 0 ELSE l.h[j + 1] - 8 END), 'path': b.cur[k + 1].path || chr(CAST(97 + j AS INTEGER))}}))[1])"
+    start = f"list_transform(range(0, {n}), lambda j: {{'loss': CASE WHEN j = 0 THEN CAST(0 AS BIGINT) ELSE 1000000000 END, 'path': ''}})"
+    names = ", ".join(f"'{s.name}'" for s in LANGUAGES)
+    return f"""
+WITH RECURSIVE parts AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS n, [{", ".join(inside)}] AS e, [{", ".join(begins)}] AS h FROM parts),
+b AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {start} AS cur FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT b.conv_id, l.n, {best} AS cur FROM b JOIN l ON l.conv_id = b.conv_id AND l.n = b.n + 1
+),
+p AS (SELECT conv_id, list_sort(arg_max(cur, n))[1].path AS path FROM b GROUP BY 1)
+SELECT conv_id, [{names}][ascii(path[n]) - 97] AS section, CAST(min(turn) AS BIGINT) AS first_page, CAST(max(turn) AS BIGINT) AS last_page, count(*) AS n_lines
+FROM l JOIN p USING (conv_id) WHERE path[n] != 'a' GROUP BY 1, 2
+"""
+
+
+@query(_sections_sql())
+def section_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and last page of each section of each conversation, and how many lines it has there."""
+    lines = sections.section_lines(load_table(spark, sf, "conversations"), LANGUAGES, "conv_id", "turn")
+    return lines.where("section IS NOT NULL").groupBy("conv_id", "section").agg(F.min("turn").alias("first_page"), F.max("turn").alias("last_page"), F.count("*").alias("n_lines"))
+
+
 # Tags and alerts.
 
 TERMS = (("the", "english"), ("der", "german"), ("les", "french"), ("ción", "spanish"), ("license", "legal"), ("licensed under", "legal"), ("@", "contact"))
