@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 from tenderlake.sources.tables import materialize
 
 
-def _grams(text: Column, sizes: Iterable[int]) -> Column:
-    """The distinct runs of so many characters, overlapping ones too; the empty one is among them if asked for."""
-    signs = F.split(text, "")
-    runs = lambda n: F.transform(signs, lambda _, i: F.concat(*(F.get(signs, i + j) for j in range(n))))
+def _grams(signs: str, sizes: Iterable[int]) -> Column:
+    """The distinct runs of so many characters, overlapping ones too, of a column of single characters; the empty run is among them if asked for."""
+    runs = lambda n: F.transform(F.col(signs), lambda _, i: F.concat(*(F.get(F.col(signs), i + j) for j in range(n))))
     # What begins too near the end to be whole is null.
     return F.array_distinct(F.concat(*(F.array(F.lit("")) if n == 0 else F.array_compact(runs(n)) for n in sizes)))
 
 
-def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 3, most: int = 200_000, few: int = 200) -> DataFrame:
+def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 6, window: int = 4096, most: int = 200_000, few: int = 200) -> DataFrame:
     """``key`` and ``tags``: the sorted tags of all dictionary rows (``term, tag``) whose term the text holds anywhere, whatever its case. One row for each key.
 
-    The dictionary may have any size, and terms any characters. Each term is filed under the one of its grams (runs of ``gram`` characters; all of a shorter term) that the fewest texts have; a term
-    with a gram that no text has is dropped. Texts are probed by their grams, and what is found is verified in the text. Grams are counted by an aggregate over all texts, so only
-    as many rows as there are distinct grams are shuffled. Filed terms are broadcast, ``most`` at a time: a larger dictionary is cut by hash into shards, each with a probe of its own.
+    The dictionary may have any size, and terms any characters. Each term is filed under a run of ``gram`` characters (a shorter term under itself), the one around the three characters in a row
+    that the fewest texts have; a term with three in a row that no text has is dropped. Texts are cut into windows of ``window`` characters, which overlap by the longest term, and windows are probed by their
+    runs; what is found is verified in the window. Threes are counted by an aggregate over all texts, so only as many rows as there are different ones are shuffled. Filed terms are broadcast,
+    ``most`` at a time: a larger dictionary is cut by hash into shards, each with a probe of its own.
 
     A dictionary of up to ``few`` rows takes a shorter way to the same rows: its terms are looked for one by one in the plan, and the texts are read once.
 
@@ -37,16 +37,29 @@ def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
         hits = F.array(F.lit(None).cast("string"), *(F.when(F.contains("_low", F.lit(r["term"])), F.lit(r["tag"])) for r in sorted(head)))
         found = low.select("_key", F.array_distinct(F.array_compact(hits)).alias("_hits"))
         return found.groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_hits")))).alias("tags"))
+
     size = F.least(F.length("term"), F.lit(gram))
-    # The empty gram stands for the row itself, so that each key keeps a row, and it files the empty term.
-    sizes = sorted({0, *(r[0] for r in terms.select(size).distinct().collect())})
-    probes = low.select("_key", "_low", F.explode(_grams(F.col("_low"), sizes)).alias("_gram"))
-    counts = probes.groupBy("_gram").agg(F.count("*").alias("_texts"))
-    # Of a term only the grams of its size count: a shorter one says less.
-    split = terms.select("term").distinct().select("term", F.explode(reduce(lambda rest, n: F.when(size == n, _grams(F.col("term"), [n])).otherwise(rest), sizes, F.array(F.lit("")))).alias("_gram"))
-    rarest = F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram")
-    filed = split.join(counts, "_gram", "left").groupBy("term").agg(rarest, F.min(F.coalesce("_texts", F.lit(0))).alias("_least")).where("_least > 0")
-    filed = materialize(filed.join(terms, "term").select(F.col("_gram").alias("_filed"), "term", "tag"), "filed-terms")
+    lengths = terms.groupBy(size.alias("size")).agg(F.max(F.length("term")).alias("longest")).collect()
+    # The empty run stands for the row itself, so that each key keeps a row, and it files the empty term.
+    sizes = sorted({0, *(r["size"] for r in lengths)})
+    step, longest = max(window, *(r["longest"] for r in lengths)), max(r["longest"] for r in lengths)
+    # The characters are a column of their own, so that they are split once.
+    signs = low.select("_key", F.split("_low", "").alias("_all"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1)), F.lit(step)), lambda i: F.slice("_all", i, step + longest - 1))
+    windows = signs.select("_key", F.explode(cuts).alias("_signs"))
+
+    counts = windows.select(F.explode(_grams("_signs", [3])).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_texts"))
+    # Where the rarest three characters of a term are; a run around them.
+    threes = terms.where("length(term) >= 3").select("term").distinct().withColumn("_signs", F.split("term", ""))
+    threes = threes.select("term", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_signs") - 2), lambda i: F.array_join(F.slice("_signs", i, 3), ""))).alias("_at", "_gram"))
+    rare = threes.join(counts, "_gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("texts"), "_at")).alias("_rare")).where("_rare.texts > 0")
+    begin = F.greatest(F.lit(1), F.least(F.col("_rare._at") + 1 - (gram - 3) // 2, F.length("term") - (gram - 1)))
+    filed = rare.select("term", F.substring("term", begin, F.lit(gram)).alias("_filed")).unionByName(terms.where("length(term) < 3").select("term", F.col("term").alias("_filed")).distinct())
+    filed = materialize(filed.join(terms, "term").select("_filed", "term", "tag"), "filed-terms")
+
+    # Joined before they are probed, once for each window.
+    whole = windows.select("_key", "_signs", F.array_join("_signs", "").alias("_low"))
+    probes = whole.select("_key", "_low", F.explode(_grams("_signs", sizes)).alias("_gram"))
     shards = -(-filed.count() // most) or 1
     hit = (F.col("_gram") == F.col("_filed")) & F.contains("_low", F.col("term"))
     shard = lambda i: filed.where(F.pmod(F.hash("term"), F.lit(shards)) == i) if shards > 1 else filed

@@ -197,7 +197,7 @@ def test_tags_of_any_dictionary_by_brute_force(spark):
     terms = [(cut(dice.choice(texts)[1] or ""), f"t{dice.randrange(60)}") for _ in range(300)] + [("art", "art"), ("party was", "two"), ("@", "at"), ("absent", "no"), (None, "null"), ("x", None), ("%", "percent")]
     want = {i: sorted({g for w, g in terms if w is not None and g is not None and w.lower() in (t or "").lower()}) for i, t in texts}
     df, dictionary = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "term string, tag string")
-    for found in (alerts.find_tags(df, dictionary, "id"), alerts.find_tags(df, dictionary, "id", most=20, few=0), alerts.find_tags(df, dictionary, "id", few=1000), alerts.tag_by_dictionary(df, dictionary)):
+    for found in (alerts.find_tags(df, dictionary, "id"), alerts.find_tags(df, dictionary, "id", most=20, few=0), alerts.find_tags(df, dictionary, "id", gram=3, window=10, few=0), alerts.find_tags(df, dictionary, "id", few=1000), alerts.tag_by_dictionary(df, dictionary)):
         assert {r.id: r.tags for r in found.collect()} == want
     twice = alerts.tag_by_dictionary(df.union(df), dictionary)
     assert twice.count() == 2 * len(texts) and twice.columns == ["id", "text", "tags"]
