@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.functions.urls import basename, resolve_simple, url_path
-from tenderlake.operators import alerts, documents, integrity, lookup, nesting, ordering, sections, upsert
+from tenderlake.operators import alerts, documents, integrity, lookup, names, nesting, ordering, sections, upsert
 from tenderlake.operators.search import search
 from tenderlake.plans import writes
 from tenderlake.plans.ingest import save_payloads
@@ -621,6 +621,21 @@ def section_pages(spark: SparkSession, sf: str) -> DataFrame:
     return lines.where("section IS NOT NULL").groupBy("conv_id", "section").agg(F.min("turn").alias("first_page"), F.max("turn").alias("last_page"), F.count("*").alias("n_lines"))
 
 
+# Names.
+
+
+@query("""
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS name FROM conversations),
+k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS known_name FROM benchmark)
+SELECT name, known_name, CAST(levenshtein(name, known_name) AS INTEGER) AS distance FROM w JOIN k ON levenshtein(name, known_name) <= 2
+""")
+def near_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Long words of the conversations as names, those of the benchmark as known ones."""
+    words = lambda t: load_table(spark, sf, t).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("nom"))
+    known = words("benchmark").select(F.lower("nom").alias("nom")).distinct().withColumn("id", F.col("nom"))
+    return names.near_names(words("conversations"), known).select("name", "known_name", "distance")
+
+
 # Tags and alerts.
 
 TERMS = (("the", "english"), ("der", "german"), ("les", "french"), ("ción", "spanish"), ("license", "legal"), ("licensed under", "legal"), ("@", "contact"))

@@ -214,3 +214,41 @@ def test_a_dictionary_of_100000_terms(spark):
     texts = spark.range(300).select("id", F.concat(F.lit("xTERM "), F.conv((F.col("id") * 331).cast("string"), 10, 36), F.lit(". and more")).alias("text"))
     found = alerts.find_tags(texts, terms, "id")
     assert {r.id: r.tags for r in found.collect()} == {i: [str(i * 331)] for i in range(300)}
+
+
+def test_names_within_two_edits_by_brute_force(spark):
+    import random
+
+    from tenderlake.operators import names
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    dice = random.Random(6)
+    word = lambda: "".join(dice.choice("ab é\U0001f600c") for _ in range(dice.choice([0, 1, 2, 3, 9, 10, 11, 12, 25])))
+    known = [(i, word()) for i in range(120)]
+
+    def changed(t):
+        for _ in range(dice.randrange(4)):
+            i = dice.randrange(len(t) + 1)
+            t = dice.choice([t[:i] + "x" + t[i:], t[:i] + t[i + 1 :], t[:i] + "b" + t[i + 1 :]])
+        return t
+
+    asked = [changed(dice.choice(known)[1]) for _ in range(150)] + ["  ALPHA   sarl", None] + ["Societe generale " + str(i) for i in range(5)]
+    known += [(500, "Alpha SARL"), (501, "alpha sarl"), (502, None)] + [(600 + i, "societe generale " + "y" * i) for i in range(5)]
+    clean = lambda t: " ".join(t.lower().split())
+    want = {(clean(a), i, b, distance(clean(a), clean(b))) for a in asked if a is not None for i, b in known if b is not None and distance(clean(a), clean(b)) <= 2}
+    a, k = spark.createDataFrame([(t,) for t in asked], "nom string"), spark.createDataFrame(known, "id long, nom string")
+    for prefix in (10, 4):
+        got = [tuple(r) for r in names.near_names(a, k, prefix=prefix).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    best = {}
+    for name, i, _, d in want:
+        best[name] = min(best.get(name, (9, 0)), (d, i))
+    found = names.resolve_names(a, k).collect()
+    assert len(found) == len(asked) and all(r.known_id == (best.get(clean(r.nom), (0, None))[1] if r.nom is not None else None) for r in found)
