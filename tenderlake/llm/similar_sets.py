@@ -12,6 +12,7 @@ all of them, since a fingerprint is an estimate; so a prefix filter finds the re
 * Two sets that meet in an entry and both have the same one as their last shared entry before have met there already, and aren't compared again.
 * First each member of an entry is compared with the entry's smallest one, and the links, with those of the fingerprints, give components. Then only pairs of different
   components remain: a dense family is done with after the first round and costs no pairs.
+* Sets are numbered by a 64-bit hash; a second hash tells when two sets have got one number, and those get others. Texts are told apart by their MD5 sums. So what counts as equal agrees in 128 bits.
 * A pair is confirmed by its two whole sets. They are made again from the texts of the documents in question, so sets are never stored.
 """
 
@@ -34,9 +35,23 @@ from tenderlake.sources.tables import discard, materialize
 SKETCH = 8
 
 
-def number_of(items: np.ndarray) -> int:
-    """A hash of a set, which serves as its number."""
-    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).astype(np.int64))
+#: Members of an entry that are compared with each other in one task.
+CHUNK = 2000
+
+
+def number_of(items: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A hash of a set, which serves as its number, and another one to check it by. Fewer bits are for tests."""
+    raw = items.tobytes()
+    number, check = np.array([xxhash.xxh64_intdigest(raw, SEED) >> (64 - bits), xxhash.xxh64_intdigest(raw, SEED + 1)], np.uint64).view(np.int64).tolist()
+    return number, check
+
+
+def renumbered(df: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """``df`` (``no, check``, others) without ``check``; sets whose number is among the few that clash get one from both hashes."""
+    if clashing is None:
+        return df.drop("check")
+    met = df.join(F.broadcast(clashing.withColumn("_clash", F.lit(True))), "no", "left")
+    return met.withColumn("no", F.when(F.col("_clash"), F.xxhash64("no", "check")).otherwise(F.col("no"))).select([c for c in df.columns if c != "check"])
 
 
 def sketch_of(items: np.ndarray) -> list[int]:
@@ -49,16 +64,16 @@ def common_items(docs: DataFrame, words: int, sample: int = 20_000, most: int =
     """Items that are common in a sample of the texts (``mark, body``), in order, and how often. They only shape the order, never the result."""
     step = docs.count() // sample + 1
     picked = docs.where(F.pmod(F.xxhash64("mark"), F.lit(step)) == 0).dropDuplicates(["mark"])
-    items = sets_of(picked, words).select(F.explode("items").alias("item"))
+    items = sets_of(picked, words, 64).select(F.explode("items").alias("item"))
     rows = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "item").limit(most).toArrow()
     items, n = (rows.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(items)
     return items[order], n[order]
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """``no`` and ``items`` of each text (``mark, body``)."""
-    schema = arrow_fields(no="long", items=pa.list_(pa.int64()))
+def sets_of(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """``no, check`` and ``items`` of each text (``mark, body``)."""
+    schema = arrow_fields(no="long", check="long", items=pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,15 +81,16 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                 found = [np.unique(shingle_hashes(t, words).view(np.int64)) for t in batch.column(1).slice(at, 64).to_pylist()]
                 ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([pa.array(map(number_of, found), pa.int64()), items.cast(schema.field(1).type)], schema=schema)
+                numbers = np.array([number_of(x, bits) for x in found], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[:, 0].copy()), pa.array(numbers[:, 1].copy()), items.cast(schema.field(2).type)], schema=schema)
 
     return map_batches(docs.select("mark", "body"), schema, run)
 
 
-def summaries(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """For each row (``doc_id, mark, body``): ``doc_id, mark, no``, fingerprint, size, sketch, and the set's first ``size // 5 + 1`` items, rare ones first."""
+def summaries(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
+    """For each row (``doc_id, mark, body``): ``doc_id, mark, no, check``, fingerprint, size, sketch, and the set's first ``size // 5 + 1`` items, rare ones first."""
     known, often = common
-    schema = arrow_fields(doc_id="long", mark="long", no="long", fp="long", size="long", sketch=pa.list_(pa.int64()), prefix=pa.list_(pa.int64()))
+    schema = arrow_fields(doc_id="long", mark="text", no="long", check="long", fp="long", size="long", sketch=pa.list_(pa.int64()), prefix=pa.list_(pa.int64()))
 
     def first(items: np.ndarray) -> np.ndarray:
         n = len(items) // 5 + 1
@@ -91,7 +107,7 @@ def summaries(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray]
                 for text in rows.column(2).to_pylist():
                     hashes = shingle_hashes(text, words)
                     items = np.unique(hashes.view(np.int64))
-                    out.append((number_of(items), print_of(hashes), len(items), sketch_of(items), first(items)))
+                    out.append((*number_of(items, bits), print_of(hashes), len(items), sketch_of(items), first(items)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))], schema=schema)
 
     return map_batches(docs.select("doc_id", "mark", "body"), schema, run)
@@ -147,13 +163,13 @@ def likely(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     return pairs.where(F.expr("9 * least(a_size, b_size) >= 4 * (a_size + b_size)")).where(close_sketches("a_", "b_")).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def confirmed(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int, bits: int, clashing: DataFrame | None) -> DataFrame:
     """Those of the pairs (a, b), written already, whose whole sets have a similarity of 0.8 or more. ``marks`` has each set's number and the mark of a text that gives it."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
     wanted = materialize(marks.join(wanted, "no", "left_semi").select("no", F.col("mark").alias("wanted")), "wanted-sets")
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
     texts = docs.join(side, F.col("mark") == F.col("wanted")).dropDuplicates(["mark"])
-    held = materialize(sets_of(texts, words).join(wanted.select("no"), "no", "left_semi").dropDuplicates(["no"]), "held-sets")
+    held = materialize(renumbered(sets_of(texts, words, bits), clashing).join(wanted.select("no"), "no", "left_semi").dropDuplicates(["no"]), "held-sets")
     # A hub's set goes once with each chunk of its partners.
     chunks = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(max(64, pairs.count() // 100_000))).alias("chunk")).agg(F.collect_list("b").alias("bs"))
     both = chunks.join(held.select(F.col("no").alias("a"), F.col("items").alias("x")), "a").select("a", "x", F.explode("bs").alias("b"))
@@ -163,14 +179,17 @@ def confirmed(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int) -
     return links
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, chunk: int = CHUNK) -> DataFrame:
     """``doc_id`` and ``component_id`` for each row of ``df``: the components of all pairs with a similarity of 0.8 or more.
 
     Documents with equal sets always link, empty ones too. The component's id is its smallest id; a null id belongs to its component but never
-    names it, unless no other is there. Texts of one 64-bit hash count as one. Jobs run while the result is built.
+    names it, unless no other is there. Jobs run while the result is built. ``bits`` of the sets' numbers and the ``chunk`` of an entry that a task compares change nothing in the result.
     """
-    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_of(text_col).alias("body")).select("doc_id", F.xxhash64("body").alias("mark"), "body")
-    every = materialize(summaries(docs, words, common_items(docs, words)), "set-summaries")
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_of(text_col).alias("body")).select("doc_id", F.md5("body").alias("mark"), "body")
+    every = materialize(summaries(docs, words, common_items(docs, words), bits), "set-summaries")
+    clashing = materialize(every.groupBy("no").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low != high").select("no"), "clashing-numbers")
+    clashing = None if clashing.isEmpty() else clashing
+    every = every.drop("check") if clashing is None else materialize(renumbered(every, clashing), "set-summaries")
     facts = F.min(F.struct("mark", "fp", "size", "sketch")).alias("f")
     sets = materialize(every.groupBy("no").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), facts).select("no", "least", "n", "f.*"), "distinct-sets")
 
@@ -190,19 +209,23 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = join_split(sets.select("fp", F.col("no").alias("b")), prints.withColumnRenamed("no", "a"), "fp", sets.count()).where("a != b").select("a", "b")
     proposed = linked.select(F.least("a_no", "b_no").alias("a"), F.greatest("a_no", "b_no").alias("b")).unionByName(same)
     first = materialize(stars.unionByName(proposed).distinct(), "first-pairs")
-    links = confirmed(materialize(likely(first, sets, first.count()), "likely-pairs"), sets.select("no", "mark"), docs, words)
+    links = confirmed(materialize(likely(first, sets, first.count()), "likely-pairs"), sets.select("no", "mark"), docs, words, bits, clashing)
     groups = connected_components(links)
 
     before = F.lag("key").over(Window.partitionBy("no").orderBy("pos")).alias("before")  # as many rows as one set has in its prefix
     labelled = met.select("key", "no", "size", "pos", before).join(groups.withColumnRenamed("node", "no"), "no", "left").withColumn("label", F.coalesce("component", "no")).drop("component")
     labelled = materialize(labelled, "labelled-shingles")
     discard(met)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(sets.select("no", "sketch"), "no")
-    left, right = (rest.select("key", *(F.col(c).alias(side + c) for c in ("no", "size", "pos", "before", "label", "sketch"))) for side in ("a_", "b_"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_no") < F.col("b_no")) & (F.col("a_label") != F.col("b_label")) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False)) & may_link("a_", "b_") & close_sketches("a_", "b_"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("low != high").select("key", "chunks")
+    rest = labelled.join(mixed, "key").join(sets.select("no", "sketch"), "no")
+    # An entry of very many members is dealt out to squares of chunks, so that no task compares all of them.
+    own, every_chunk = F.pmod(F.xxhash64("no"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    side = lambda name: [F.col(c).alias(name + c) for c in ("no", "size", "pos", "before", "label", "sketch")]
+    left = rest.select("key", own.alias("row"), every_chunk.alias("column"), *side("a_"))
+    right = rest.select("key", every_chunk.alias("row"), own.alias("column"), *side("b_"))
+    across = left.join(right, (left["key"] == right["key"]) & (left["row"] == right["row"]) & (left["column"] == right["column"]) & (F.col("a_no") < F.col("b_no")) & (F.col("a_label") != F.col("b_label")) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False)) & may_link("a_", "b_") & close_sketches("a_", "b_"))
     across = materialize(across.select(F.col("a_no").alias("a"), F.col("b_no").alias("b")).distinct(), "other-pairs")
-    more = confirmed(across.join(first, ["a", "b"], "left_anti"), sets.select("no", "mark"), docs, words)
+    more = confirmed(across.join(first, ["a", "b"], "left_anti"), sets.select("no", "mark"), docs, words, bits, clashing)
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 

@@ -175,6 +175,14 @@ def test_near_copies_are_all_pairs_of_similarity_80(spark, common, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_numbers_that_clash_and_chunks_of_entries_change_nothing(spark):
+    """Sets with numbers of four bits, of which nearly all clash, and entries compared in squares of two members."""
+    df = spark.createDataFrame(list(enumerate(graded_texts())), "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in similar_sets.similar_groups(df).collect()}
+    for more in ({"bits": 4}, {"chunk": 2}):
+        assert {r.doc_id: r.component_id for r in similar_sets.similar_groups(df, **more).collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
