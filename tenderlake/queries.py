@@ -12,12 +12,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenderlake.functions.defaults import has_text, or_empty
 from tenderlake.functions.urls import basename, resolve_simple, url_path
 from tenderlake.operators import alerts, documents, integrity, lookup, names, nesting, ordering, sections, upsert
 from tenderlake.operators.search import search
 from tenderlake.plans import writes
 from tenderlake.plans.ingest import save_payloads
-from tenderlake.plans.resources import list_resource
+from tenderlake.plans.resources import list_resource, response
 from tenderlake.schemas import CASCADE, SET_NULL, TABLES, Column, Reference, Table
 from tenderlake.sources.files import parse_payloads
 from tenderlake.sources.tables import load_table
@@ -584,6 +585,134 @@ def page_counts(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_pages"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
+# Whole resources.
+
+
+def _catalogue(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The catalogue's tables from the generated ones: orders as publications and contracts, line items as lots, nations as kinds of procedure and domains, regions as sectors, customers as companies and users."""
+    o, li, n, r, c = (load_table(spark, sf, x) for x in ("orders", "lineitem", "nation", "region", "customer"))
+    key, firm = F.col("o_orderkey"), F.col("c_custkey")
+    given = {
+        "publication": o.select(key.alias("id"), F.col("o_orderpriority").alias("titre"), key.cast("string").alias("numero"), F.to_date("o_orderdate").alias("date_publication"), F.col("o_orderstatus").alias("source")),
+        "type_procedure": n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("libelle"), F.col("n_regionkey").alias("description")),
+        "marche": o.select(key.alias("id"), key.alias("publication_id"), (F.col("o_custkey") % 30).alias("type_procedure_id"), F.col("o_orderstatus").alias("region"), F.concat(F.lit("objet "), key).alias("objet"), F.col("o_totalprice").alias("budget_min")),
+        "lot": li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("marche_id"), F.col("l_linenumber").alias("numero_lot"), F.col("l_extendedprice").alias("montant")),
+        "domaine": n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("libelle"), F.col("n_regionkey").alias("description")),
+        "secteur_activite": r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("nom")),
+        "publication_domaine": o.select(key.alias("id"), key.alias("publication_id"), (F.col("o_custkey") % 25).alias("domaine_id")),
+        "entreprise": c.select(firm.alias("id"), F.col("c_name").alias("nom"), firm.alias("numero_identification"), F.concat(F.lit("s"), firm).alias("siret"), F.lit("").alias("repprenom")),
+        "entreprise_domaine": c.select(firm.alias("id"), firm.alias("entreprise_id"), F.col("c_nationkey").alias("domaine_id")),
+        "entreprise_secteur": c.select(firm.alias("id"), firm.alias("entreprise_id"), (firm % 5).alias("secteur_id")),
+        "utilisateur": c.select(firm.alias("id"), F.concat("c_mktsegment", F.lit("@x.org")).alias("email"), F.col("c_mktsegment").alias("first_name"), F.col("c_name").alias("last_name"), F.when(firm % 3 == 0, firm + 1).alias("entreprise_id"), F.lit(True).alias("notifications_actives")),
+    }
+    typed = lambda df, t: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema))
+    return {name: typed(given[name], t) if name in given else spark.createDataFrame([], t.schema) for name, t in TABLES.items()}
+
+
+@query("""
+SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS numero, n2.n_name AS domaine, n1.n_name AS procedure, o_orderstatus AS region, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS budget,
+  l_linenumber AS numero_lot, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS montant
+FROM orders JOIN nation n2 ON n2.n_nationkey = o_custkey % 25 LEFT JOIN nation n1 ON n1.n_nationkey = o_custkey % 30 LEFT JOIN lineitem ON l_orderkey = o_orderkey
+""")
+def resource_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    """All contracts as the service lists them, with publication, its domains, procedure and lots, flattened again."""
+    listed = list_resource(_catalogue(spark, sf), "marches")
+    flat = listed.select("id", F.col("publication.numero").alias("numero"), F.element_at("publication.domaines", 1)["libelle"].alias("domaine"), F.col("type_procedure.libelle").alias("procedure"), "region", as_text("budget_min", "budget"), F.explode_outer("lots").alias("lot"))
+    return flat.select("id", "numero", "domaine", "procedure", "region", "budget", F.col("lot.numero_lot").alias("numero_lot"), F.col("lot.montant").cast("string").alias("montant"))
+
+
+@query("""
+SELECT 'types-procedure' AS resource, CAST(n_nationkey AS BIGINT) AS id, n_name AS label, CAST(NULL AS VARCHAR) AS description FROM nation
+UNION ALL SELECT 'domaines', n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) FROM nation
+UNION ALL SELECT 'secteurs', r_regionkey, r_name, NULL FROM region
+UNION ALL SELECT 'publications-domaines', o_orderkey, CAST(o_orderkey AS VARCHAR), CAST(o_custkey % 25 AS VARCHAR) FROM orders
+UNION ALL SELECT 'entreprises-domaines', c_custkey, n_name, CAST(n_regionkey AS VARCHAR) FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'entreprises-secteurs', c_custkey, r_name, NULL FROM customer JOIN region ON r_regionkey = c_custkey % 5
+""")
+def resource_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The resources of labels and of bridges, each as the service lists it."""
+    t = _catalogue(spark, sf)
+    shown = {
+        "types-procedure": ("libelle", F.lit(None).cast("string")),
+        "domaines": ("libelle", F.col("description")),
+        "secteurs": ("nom", F.col("description")),
+        "publications-domaines": ("publication_id", F.col("domaine_id").cast("string")),
+        "entreprises-domaines": ("domaine.libelle", F.col("domaine.description")),
+        "entreprises-secteurs": ("secteur.nom", F.col("secteur.description")),
+    }
+    parts = [list_resource(t, name).select(F.lit(name).alias("resource"), "id", F.col(label).cast("string").alias("label"), more.alias("description")) for name, (label, more) in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""
+SELECT u.c_custkey AS id, u.c_mktsegment || '@x.org' AS email, u.c_mktsegment AS first_name, u.c_name AS last_name, e.c_name AS entreprise, n_name AS domaine
+FROM customer u LEFT JOIN customer e ON u.c_custkey % 3 = 0 AND e.c_custkey = u.c_custkey + 1 LEFT JOIN nation ON n_nationkey = e.c_nationkey
+""")
+def resource_users(spark: SparkSession, sf: str) -> DataFrame:
+    """All users with their company; one without has none."""
+    listed = list_resource(_catalogue(spark, sf), "utilisateurs")
+    return listed.select("id", "email", "first_name", "last_name", F.col("entreprise.nom").alias("entreprise"), F.element_at("entreprise.domaines", 1)["libelle"].alias("domaine"))
+
+
+@query("SELECT c_mktsegment || '@x.org' AS email, c_mktsegment AS first_name, c_name AS last_name FROM customer")
+def resource_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return list_resource(_catalogue(spark, sf), "profil")
+
+
+@query("""
+SELECT c_name AS nom, CAST(c_custkey AS VARCHAR) AS numero_identification, 's' || c_custkey AS siret, CAST(NULL AS VARCHAR) AS email FROM customer
+WHERE (lower(c_name) LIKE '%7%' OR CAST(c_custkey AS VARCHAR) LIKE '%7%') AND (lower(c_name) LIKE '%s1%' OR 's' || c_custkey LIKE '%s1%')
+""")
+def admin_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """The administration's list of companies for two words."""
+    return list_resource(_catalogue(spark, sf), "admin-entreprises", "7, S1").select("nom", "numero_identification", "siret", "email")
+
+
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\",\"note\":null}' AS body FROM region")
+def json_response(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as a service answers them, nulls included."""
+    return response(load_table(spark, sf, "region").withColumn("note", F.lit(None).cast("string")))
+
+
+@query("""
+WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN '12.50' WHEN 2 THEN 'none' WHEN 3 THEN '99999999999999' ELSE '-0.125' END AS montant FROM events)
+SELECT CAST(event_id AS VARCHAR) AS row_key, 'decimal' AS rule, 'montant' AS field, montant AS value FROM v
+WHERE TRY_CAST(montant AS DECIMAL(15,2)) IS NULL OR TRY_CAST(montant AS DECIMAL(15,2)) != TRY_CAST(montant AS DECIMAL(38,10))
+""")
+def decimal_violations(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("event_id") % 5
+    montant = F.when(key == 0, F.col("value").cast("string")).when(key == 1, "12.50").when(key == 2, "none").when(key == 3, "99999999999999").otherwise("-0.125")
+    return integrity.decimal_violations(load_table(spark, sf, "events").select("event_id", montant.alias("montant")), "montant", "event_id")
+
+
+@query("""
+WITH e AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '@' || c_mktsegment || '.Org' WHEN 1 THEN 'No At' ELSE c_name || '@A@B.C' END AS email FROM customer)
+SELECT c_custkey, CASE WHEN contains(email, '@') THEN regexp_replace(email, '[^@]*$', '') || lower(regexp_extract(email, '[^@]*$')) ELSE email END AS email FROM e
+""")
+def normal_emails(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey") % 3
+    email = F.when(key == 0, F.concat("c_name", F.lit("@"), "c_mktsegment", F.lit(".Org"))).when(key == 1, "No At").otherwise(F.concat("c_name", F.lit("@A@B.C")))
+    return load_table(spark, sf, "customer").select("c_custkey", email.alias("email")).select("c_custkey", integrity.normal_email("email").alias("email"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment, nullif(c_mktsegment, 'BUILDING') IS NOT NULL AND nullif(c_mktsegment, 'BUILDING') != '' AS given FROM customer")
+def empty_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """Absent texts as empty ones, and whether there was one."""
+    segment = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    return load_table(spark, sf, "customer").select("c_custkey", or_empty(segment).alias("segment"), has_text(segment).alias("given"))
+
+
+@query("""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '[^/]*$') AS file_name FROM pages)
+SELECT page_id, url, file_name FROM u WHERE file_name NOT IN (SELECT file_name FROM u WHERE page_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY page_id) = 1
+""")
+def manifest_whole_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """The second crawler's rule: names from whole URLs, whatever the answer's status."""
+    pages = load_table(spark, sf, "pages").select("page_id", "url")
+    manifest = pages.where("page_id % 3 = 0").select(basename("url").alias("file_name"))
+    return documents.files_to_fetch(pages, manifest, ["page_id"], "url", by_path=False, status=None).select("page_id", "url", "file_name")
+
+
 # Sections.
 
 #: Sections of conversations by the words of their language; the first word of each is the title's.
