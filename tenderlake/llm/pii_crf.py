@@ -260,8 +260,19 @@ def order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
+def vouched(model: FieldModel, features: list[int], label: int) -> bool:
+    """Whether what stands around a token speaks for the label, whatever the token's form: the context's features alone give it half of the weight at least."""
+    score = model.unary[features[FORM_FEATURES:]].sum(0)
+    weight = np.exp(score - score.max())
+    return bool(weight[label] >= 0.5 * weight.sum())
+
+
 def find_spans(texts: list[str], model: FieldModel, sure: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
-    """The base spans and all spans of each text. The texts' fields are put side by side and pass their messages at once."""
+    """The base spans and all spans of each text. The texts' fields are put side by side and pass their messages at once.
+
+    A token is not added for its form alone, which the patterns have judged already (a number as long as a card's with a wrong check digit is none): its context must speak for the label too, or a token
+    that a pattern has found must be its repeat or nearly so.
+    """
     bases = [base_spans(t) for t in texts]
     graphs = [graph_of(t) for t in texts]
     at = np.cumsum([0, *(len(g.tokens) for g in graphs)])
@@ -277,12 +288,20 @@ def find_spans(texts: list[str], model: FieldModel, sure: float = 0.9) -> list[t
         labelled = [LABELS[best[o + i]] if surely[o + i] else "O" for i in range(len(g.tokens))]
         covered = labels_of(g, base)
         linked = {(a, b) for a, b, kind in g.edges if kind == CHAIN}
+        alike: dict[int, list[tuple[int, int, int]]] = {}
+        for edge in g.edges:
+            if edge[2] != CHAIN:
+                alike.setdefault(edge[0], []).append(edge)
+                alike.setdefault(edge[1], []).append(edge)
         extra: list[Span] = []
         for i, (s, e) in enumerate(g.tokens):
             if labelled[i] == "O" or covered[i]:
                 continue
             while e - s > 1 and text[e - 1] in ".,;:!?)]}\"'":
                 e -= 1
+            label = LABELS.index(labelled[i])
+            if not vouched(model, g.features[i], label) and not any(covered[b if a == i else a] == label for a, b, _ in alike.get(i, ())):
+                continue
             # Cards and phones may be written in groups; whatever is long enough by itself is one by itself.
             group = labelled[i] in ("card", "phone") and len(DIGIT.findall(text[s:e])) < 13
             if group and extra and extra[-1][0] == labelled[i] and (i - 1, i) in linked and extra[-1][2] >= g.tokens[i - 1][1] - 1 and not covered[i - 1]:
