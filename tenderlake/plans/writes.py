@@ -6,15 +6,18 @@ a rule is refused as a whole and reported; the others go on. Nothing is stored h
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.operators import integrity, upsert
 from tenderlake.schemas import TABLES, Table
+from tenderlake.sources.shipping import ship_package
 from tenderlake.sources.tables import discard, materialize
 
 Tables = Mapping[str, DataFrame]
@@ -107,11 +110,12 @@ def remove(t: Tables, name: str, requests: DataFrame, metadata: Mapping[str, Tab
     return Written(integrity.delete(t, name, here.select(key), metadata), refused)
 
 
-def take_in_turn(claims: DataFrame, held: DataFrame) -> DataFrame:
+def take_in_turn(claims: DataFrame, held: DataFrame, few: int = 1_000_000) -> DataFrame:
     """The claims (``arrival, field, value``) by which requests are refused, if they are tried in order of arrival and each accepted one takes all of its values.
 
     ``held`` (``field, value``) is taken from the start. In each round a request that comes first for all of its values is accepted, and the others that want one of these are
-    refused. With one unique field a round settles all; with several, as many rounds as requests block each other in a chain. Values are reduced to their first request
+    refused, by the values that they lose in that round. With one unique field a round settles all; with several, as many rounds as requests block each other in a chain. Once at most ``few`` claims are left, one task
+    settles them in one pass, with the same result. Values are reduced to their first request
     before they are joined, so a value in very many requests is joined with one row, and Spark's skew join may split its requests.
     """
     claims = materialize(claims, "claims")
@@ -119,7 +123,7 @@ def take_in_turn(claims: DataFrame, held: DataFrame) -> DataFrame:
     refused = [blocked]
     open_ = materialize(claims.join(blocked.select("arrival").distinct(), "arrival", "left_anti").select("arrival", "field", "value"), "claims-open")
     discard(claims)
-    while not open_.isEmpty():
+    while open_.count() > few:
         first = open_.groupBy("field", "value").agg(F.min("arrival").alias("first"))
         standing = materialize(open_.join(first, ["field", "value"]).select("arrival", "field", "value", "first"), "claims-standing")
         winners = materialize(standing.groupBy("arrival").agg(F.bool_and(F.col("arrival") == F.col("first")).alias("_all")).where("_all").select("arrival"), "claims-won")
@@ -129,10 +133,39 @@ def take_in_turn(claims: DataFrame, held: DataFrame) -> DataFrame:
         settled = winners.unionByName(blocked.select("arrival").distinct())
         before, open_ = open_, materialize(standing.join(settled, "arrival", "left_anti").select("arrival", "field", "value"), "claims-open")
         discard(before, standing, winners)
+    refused.append(_settled(open_))
     report = reduce(DataFrame.unionByName, refused)
     return report.select(F.col("arrival").cast("string").alias("row_key"), F.lit("unique").alias("rule"), "field", "value")
 
 
+def _settled(claims: DataFrame) -> DataFrame:
+    """The claims that lose, found in one pass in order of arrival. Each request knows the round in which it would have been settled: an accepted one the round behind all earlier requests for its
+    values, a refused one the first round in which one of its values is taken."""
+    schema = claims.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: dict[tuple[str, str], int] = {}  # value to the round in which it was
+        asked: dict[tuple[str, str], int] = {}  # value to the last round of those that asked for it
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        lost: list[tuple] = []
+        for arrival, own in groupby(rows, key=lambda r: r.arrival):
+            values = [(r.field, r.value) for r in own]
+            rounds = [taken[v] for v in values if v in taken]
+            round_ = min(rounds) if rounds else 1 + max(asked.get(v, 0) for v in values)
+            lost += [(arrival, *v) for v in values if rounds and taken.get(v) == round_]
+            for v in values:
+                asked[v] = max(asked.get(v, 0), round_)
+                if not rounds:
+                    taken[v] = round_
+            if len(lost) >= 10_000:
+                yield pd.DataFrame(lost, columns=["arrival", "field", "value"])
+                lost = []
+        yield pd.DataFrame(lost, columns=["arrival", "field", "value"]).astype({"arrival": "int64"})
+
+    ship_package(claims.sparkSession)
+    return claims.repartition(1).sortWithinPartitions("arrival").mapInPandas(run, schema)
+
+
 def _claims(rows: DataFrame, fields: Sequence[str], *keep: str) -> DataFrame:
     """A row for each value in ``fields`` that isn't null."""
     pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]

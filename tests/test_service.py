@@ -263,3 +263,18 @@ def test_requests_take_unique_values_in_turn(spark):
             taken |= mine
     got = take_in_turn(spark.createDataFrame(claims, "arrival long, field string, value string"), spark.createDataFrame(held, "field string, value string"))
     assert {r.row_key for r in got.collect()} == want and len(want) < 120
+
+
+def test_one_pass_settles_as_rounds_do(spark):
+    """The same claims are lost, chains of requests that block each other among them."""
+    import random
+
+    from tenderlake.plans.writes import take_in_turn
+
+    dice = random.Random(7)
+    claims = [(i, f, str(dice.randrange(12))) for i in range(40) for f in ("a", "b", "c")] + [(100 + i, f, f"x{i + (f == 'b')}") for i in range(9) for f in ("a", "b")] + [(200 + i, "d", f"y{(i + k) // 2}") for i in range(10) for k in (0, 1)]
+    df, held = spark.createDataFrame(sorted(set(claims), key=str), "arrival long, field string, value string"), spark.createDataFrame([("a", "3")], "field string, value string")
+    rounds, once = (sorted(map(tuple, take_in_turn(df, held, few).collect())) for few in (0, 1000))
+    assert rounds == once and len(once) > 20
+    long = [(i, "d", f"z{i + k}") for i in range(4000) for k in (0, 1)]
+    assert take_in_turn(spark.createDataFrame(long, df.schema), held).count() == 2000
