@@ -6,6 +6,7 @@ for domains, conversations for paged documents, events for alerts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,14 +15,14 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.defaults import has_text, or_empty
 from tenderlake.functions.urls import basename, resolve_simple, url_path
-from tenderlake.operators import alerts, documents, integrity, lookup, names, nesting, ordering, sections, upsert
+from tenderlake.operators import alerts, documents, integrity, lookup, names, nesting, ordering, search_index, sections, upsert
 from tenderlake.operators.search import search
 from tenderlake.plans import writes
 from tenderlake.plans.ingest import save_payloads
 from tenderlake.plans.resources import list_resource, response
 from tenderlake.schemas import CASCADE, SET_NULL, TABLES, Column, Reference, Table
 from tenderlake.sources.files import parse_payloads
-from tenderlake.sources.tables import load_table
+from tenderlake.sources.tables import load_table, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +82,23 @@ def search_across_join(spark: SparkSession, sf: str) -> DataFrame:
     return search(o.join(c, o["winner"] == c["c_custkey"], "left"), "urgent", ["o_orderpriority", "c_name"]).select("o_orderkey", "o_orderpriority", "c_name")
 
 
+@query("""
+SELECT 'kernel' AS search, conv_id, turn FROM conversations WHERE lower(text) LIKE '%entre%' AND lower(text) LIKE '%tion de%'
+UNION ALL SELECT 'rare', conv_id, turn FROM conversations WHERE lower(text) LIKE '%schst%'
+""")
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two searches of all turns by an index that is built first and dropped at the end."""
+    turns = load_table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    table = f"turns_{uuid.uuid4().hex}"
+    search_index.build_index(turns, "key", ["text"], table, buckets=16)
+    searches = {"kernel": 'entre "tion de"', "rare": "schst"}
+    found = [search_index.indexed_search(turns, text, "key", ["text"], table).select(F.lit(name).alias("search"), "conv_id", "turn") for name, text in searches.items()]
+    out = materialize(reduce(DataFrame.unionByName, found), "search-indexed")
+    for part in ("runs", "lists"):
+        spark.sql(f"DROP TABLE {table}_{part}")
+    return out
+
+
 def ranked(df: DataFrame, *columns) -> DataFrame:
     """The position of each row in a total order, so that the order itself is compared."""
     from tenderlake.operators.numbering import number_rows
@@ -611,14 +629,14 @@ def _catalogue(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 @query("""
 SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS numero, n2.n_name AS domaine, n1.n_name AS procedure, o_orderstatus AS region, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS budget,
-  l_linenumber AS numero_lot, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS montant
+  CAST(l_linenumber AS VARCHAR) AS numero_lot, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS montant
 FROM orders JOIN nation n2 ON n2.n_nationkey = o_custkey % 25 LEFT JOIN nation n1 ON n1.n_nationkey = o_custkey % 30 LEFT JOIN lineitem ON l_orderkey = o_orderkey
 """)
 def resource_contracts(spark: SparkSession, sf: str) -> DataFrame:
     """All contracts as the service lists them, with publication, its domains, procedure and lots, flattened again."""
     listed = list_resource(_catalogue(spark, sf), "marches")
     flat = listed.select("id", F.col("publication.numero").alias("numero"), F.element_at("publication.domaines", 1)["libelle"].alias("domaine"), F.col("type_procedure.libelle").alias("procedure"), "region", as_text("budget_min", "budget"), F.explode_outer("lots").alias("lot"))
-    return flat.select("id", "numero", "domaine", "procedure", "region", "budget", F.col("lot.numero_lot").alias("numero_lot"), F.col("lot.montant").cast("string").alias("montant"))
+    return flat.select("id", "numero", "domaine", "procedure", "region", "budget", F.col("lot.numero_lot").cast("string").alias("numero_lot"), F.col("lot.montant").cast("string").alias("montant"))
 
 
 @query("""
