@@ -39,13 +39,18 @@ def listed_urls(pages: DataFrame, site: str, html: str = "html", suffix: str = "
     return links_ending(extract_links(pages, html), suffix).withColumn("file_url", prefixed(site, F.col("href")))
 
 
+def named_urls(urls: DataFrame, url: str = "file_url", by_path: bool = True) -> DataFrame:
+    """``urls`` with ``file_name``: the base name of the URL's path, or of the whole URL unless ``by_path``."""
+    return urls.withColumn("file_name", basename(url_path(url)) if by_path else basename(url))
+
+
 def files_to_fetch(urls: DataFrame, manifest: DataFrame, order: list[str], url: str = "file_url", by_path: bool = True, status: str | None = "status") -> DataFrame:
     """What an idempotent fetch stores: for each file name that ``manifest`` (column ``file_name``) lacks, the first URL.
 
     The name is the base name of the URL's path, or of the whole URL unless ``by_path``. With a column ``status``, only answers of 200 are stored, and the
     first such URL of a name wins; without one, whatever comes first.
     """
-    named = urls.withColumn("file_name", basename(url_path(url)) if by_path else basename(url))
+    named = named_urls(urls, url, by_path)
     if status:
         named = named.where(F.col(status) == 200)
     # First what is missing, then the first of each name: the manifest can be much larger than the batch.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.defaults import has_text, or_empty
 from tenderlake.functions.urls import basename, resolve_simple, url_path
-from tenderlake.operators import alerts, documents, integrity, lookup, names, nesting, ordering, search_index, sections, upsert
+from tenderlake.operators import alerts, bloom, documents, integrity, lookup, names, nesting, ordering, search_index, sections, upsert
 from tenderlake.operators.search import search
 from tenderlake.plans import writes
 from tenderlake.plans.ingest import save_payloads
@@ -731,6 +731,24 @@ def manifest_whole_urls(spark: SparkSession, sf: str) -> DataFrame:
     return documents.files_to_fetch(pages, manifest, ["page_id"], "url", by_path=False, status=None).select("page_id", "url", "file_name")
 
 
+@query(f"""
+{LINKS_SQL}, u AS (SELECT page_id, position, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || href AS file_name, url LIKE 'https:%' AS fresh FROM l)
+SELECT file_name, page_id, CAST(position AS INTEGER) AS position FROM u WHERE fresh AND file_name NOT IN (SELECT file_name FROM u WHERE NOT fresh)
+QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY page_id, position) = 1
+""")
+def new_links_past_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses behind the links of secure pages that no other page has but for the scheme; a Bloom filter of the latter rules most out before the exact join."""
+    links = documents.extract_links(load_table(spark, sf, "pages"))
+    address = F.substring_index(resolve_simple(F.col("url"), F.col("href")), "://", -1)
+    links = materialize(links.select("page_id", "position", address.alias("file_name"), F.startswith(F.col("url"), F.lit("https:")).alias("fresh")), "links")
+    stored = links.where("NOT fresh").select("file_name")
+    # Sized by the rows there are.
+    words = bloom.words_for(stored.count())
+    filters = materialize(bloom.bloom_filter(stored, "file_name", words), "filter")
+    first = upsert.first_wins(links.where("fresh"), ["file_name"], ["page_id", "position"])
+    return bloom.missing_from(first, stored, filters, "file_name", words).select("file_name", "page_id", "position")
+
+
 # Sections.
 
 #: Sections of conversations by the words of their language; the first word of each is the title's.
