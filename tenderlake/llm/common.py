@@ -7,14 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tenderlake.sources.shipping import ship_package
+from tenderlake.sources.tables import materialize
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE = 256
+#: Bytes of text that a model is fitted on.
+SAMPLE_BYTES = 128 << 20
 #: Of the hashes of shingles.
 SEED = 42
 
@@ -94,6 +97,21 @@ def without_ids(df: DataFrame, id_col: str, ids: DataFrame, most: int = 1_000_00
     return df.join(side, F.col(f"`{id_col}`").cast("bigint") == F.col(key), "left_anti")
 
 
+def within_bytes(sample: DataFrame, id_col: str, most: int, text: str = "body") -> DataFrame:
+    """Of a sample that is bounded by rows, one an id, what is bounded by bytes as well: whole texts in the order of the ids' hashes, up to ``most`` bytes together.
+
+    A text of more than a 64th of that isn't in it, so a single one can't take the others' place. The sample is written once, and the result may go to ``discard`` when it has been read; only ids and
+    lengths meet in one task, as many as the sample has rows.
+    """
+    sample = materialize(sample, "sample")
+    size, upto, chosen = (free_name(sample, n) for n in ("size", "upto", "within_id"))
+    sizes = sample.select(F.col(id_col).alias(chosen), F.octet_length(text).cast("bigint").alias(size)).where(F.col(size) <= max(1, most // 64))
+    sizes = sizes.withColumn(upto, F.sum(size).over(Window.orderBy(F.xxhash64(chosen), chosen))).where(F.col(upto) <= most)
+    out = sample.join(F.broadcast(sizes.select(chosen)), F.col(id_col).eqNullSafe(F.col(chosen)), "left_semi")
+    out._written_to = sample._written_to
+    return out
+
+
 def join_split(rows: DataFrame, table: DataFrame, key: str, total: int, parts: int = 20_000, least: int = 1000) -> DataFrame:
     """``rows`` with what ``table`` has for their ``key``. The table has each key once, none null, and by ``n`` how many of the ``total`` rows have it.
 

@@ -13,7 +13,7 @@ its texts, whose winner it takes from the root, and passes it to its own rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import free_name, text_of, without_ids
@@ -75,18 +75,18 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if shared.isEmpty():
         return without_ids(df, id_col, gone)
 
-    key, null, mark, nth = (free_name(df, x) for x in ("row_key", "row_null", "row_mark", "row_nth"))
+    key, null, mark, best = (free_name(df, x) for x in ("row_key", "row_null", "row_mark", "row_best"))
     number = lambda c: [F.coalesce(c, F.lit(0).cast("bigint")).alias(key), c.isNull().alias(null)]
     keyed = df.select("*", *number(F.col(f"`{id_col}`").cast("bigint")))
     doubtful = shared.select(*number(F.col("doc_id")))
     sure = without_ids(keyed.join(doubtful, [key, null], "left_anti"), id_col, gone)
     winners = found.where("kept").select(*number(F.col("doc_id")), F.unhex("text_sha256").alias(mark))
     others = keyed.join(doubtful, [key, null], "left_semi").withColumn(mark, F.unhex(F.sha2(normalised(text_col), 256))).join(winners, [key, null, mark], "left_semi")
-    # Rows that repeat an id and a text meet here anyway; the longest is the winner.
-    first = Window.partitionBy(key, null, mark).orderBy(F.length(text_of(text_col)).desc())
-    others = others.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    # Rows that repeat an id and a text are reduced before they are shuffled; the longest is the winner.
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return sure.select(*columns).unionByName(others.select(*columns))
+    longest = F.max_by(F.struct(*columns), F.length(text_of(text_col))).alias(best)
+    others = others.groupBy(key, null, mark).agg(longest)
+    return sure.select(*columns).unionByName(others.select(*(F.col(best).getField(c).alias(c) for c in df.columns)))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

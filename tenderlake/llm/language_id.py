@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import arrow_fields, map_rows, text_of
-from tenderlake.sources.tables import load_table
+from tenderlake.llm.common import SAMPLE_BYTES, arrow_fields, map_rows, text_of, within_bytes
+from tenderlake.sources.tables import discard, load_table
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -100,15 +100,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], size: int =
     return model
 
 
-def train(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most ``sample`` of ``docs`` with a text and a language: those whose ids hash lowest, one row for each id. Only hashed counts come to the driver.
+def train(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+    """Fit on at most ``sample`` of ``docs`` and ``sample_bytes`` of their texts, of those with a text and a language: those whose ids hash lowest, one row for each id. Only hashed counts come to the driver.
 
     A fifth of them calibrates temperature and rejection (``reject_below``); of fewer than five none does, and nothing is rejected.
     """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     chosen = known.select(F.col(f"`{id_col}`").alias("chosen_id")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
     rows = known.join(F.broadcast(chosen), F.col(f"`{id_col}`").eqNullSafe(F.col("chosen_id"))).select(F.col("chosen_id").cast("bigint"), F.struct(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_of(text_col).alias("body")).alias("row"))
-    rows = rows.groupBy("chosen_id").agg(F.max("row").alias("row")).select("chosen_id", "row.*")
+    rows = within_bytes(rows.groupBy("chosen_id").agg(F.max("row").alias("row")).select("chosen_id", "row.*"), "chosen_id", sample_bytes)
     schema = arrow_fields(chosen_id="long", lang="text", buckets=pa.list_(pa.int32()), counts=pa.list_(pa.int32()))
 
     def make():
@@ -118,6 +118,7 @@ def train(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col:
         return work
 
     found = map_rows(rows, schema, make).toArrow().combine_chunks()
+    discard(rows)
     if not found.num_rows:
         return LanguageModel()
     ids = [(-1 if i is None else i, lang) for i, lang in zip(found["chosen_id"].to_pylist(), found["lang"].to_pylist(), strict=True)]

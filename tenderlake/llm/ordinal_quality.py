@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import arrow_fields, free_name, map_rows, text_of
-from tenderlake.sources.tables import load_table
+from tenderlake.llm.common import SAMPLE_BYTES, arrow_fields, free_name, map_rows, text_of, within_bytes
+from tenderlake.sources.tables import discard, load_table
 
 WORD = re.compile(r"\w+")
 #: A word that begins with a sign, and one that ends in several.
@@ -191,19 +191,20 @@ def best_cut(tails: np.ndarray, good: np.ndarray) -> float:
     return float((tails[order][best] + tails[order][best + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on at most ``sample`` rated documents: those whose ids hash lowest, so the same ones at each run and in any order of rows.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> OrdinalModel:
+    """Fit on at most ``sample`` rated documents and ``sample_bytes`` of their texts: those whose ids hash lowest, so the same ones at each run and in any order of rows.
 
     ``labels`` has ``doc_id``, ``quality`` (0 or 1; null: not rated) and ``toxic`` (null: 0). Of rows that repeat an id the lowest grade counts, and
-    one of its texts. Only the sample's hashed features come to the driver.
+    one of its texts. Only the sample's hashed features come to the driver. The sample's texts are written while the model is fitted.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).cast("bigint")
     rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("rated_id")).agg(F.min(grade).alias("grade"))
     rated = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rated_id"), text_of(text_col).alias("body")).join(F.broadcast(rated), "rated_id")
-    rows = rows.groupBy("rated_id", "grade").agg(F.max("body").alias("body"))
+    rows = within_bytes(rows.groupBy("rated_id", "grade").agg(F.max("body").alias("body")), "rated_id", sample_bytes)
     schema = arrow_fields(rated_id="long", grade="long", buckets=pa.list_(pa.int32()))
     found = map_rows(rows, schema, lambda: lambda ids, grades, texts: [ids, grades, [buckets_of(t) for t in texts]]).toArrow()
+    discard(rows)
     if not found.num_rows:
         return OrdinalModel({}, [0.0] * (GRADES - 1))
     lengths = found["buckets"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import arrow_fields, map_rows, text_of
-from tenderlake.sources.tables import load_table
+from tenderlake.llm.common import SAMPLE_BYTES, arrow_fields, map_rows, text_of, within_bytes
+from tenderlake.sources.tables import discard, load_table
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
@@ -312,11 +312,11 @@ def find_spans(texts: list[str], model: FieldModel, sure: float = 0.9) -> list[t
     return out
 
 
-def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> FieldModel:
-    """Fit on at most ``sample`` documents that hold a digit or an ``@``: those whose ids hash lowest, one row for each id. Only hashed features, forms, labels and edges come to the driver."""
+def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> FieldModel:
+    """Fit on at most ``sample`` documents and ``sample_bytes`` of their texts, of those that hold a digit or an ``@``: those whose ids hash lowest, one row for each id. Only hashed features, forms, labels and edges come to the driver."""
     some = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("chosen_id"), text_of(text_col).alias("body")).where(F.col("chosen_id").isNotNull() & F.col("body").rlike("[0-9@]"))
     chosen = some.select("chosen_id").distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(sample)
-    rows = some.join(F.broadcast(chosen), "chosen_id").groupBy("chosen_id").agg(F.max("body").alias("body"))
+    rows = within_bytes(some.join(F.broadcast(chosen), "chosen_id").groupBy("chosen_id").agg(F.max("body").alias("body")), "chosen_id", sample_bytes)
     numbers = pa.list_(pa.int32())
     schema = arrow_fields(chosen_id="long", forms=numbers, features=numbers, labels=numbers, edges=numbers)
 
@@ -329,15 +329,19 @@ def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col:
 
         return work
 
-    found = sorted(map_rows(rows, schema, make).toArrow().to_pylist(), key=lambda r: r["chosen_id"])
-    found = [r for r in found if r["labels"]]
-    if not found:
+    found = map_rows(rows, schema, make).toArrow().sort_by("chosen_id").combine_chunks()
+    discard(rows)
+    cut = lambda name: found[name].combine_chunks()
+    flat = lambda name: cut(name).flatten().to_numpy().astype(int)
+    count = lambda name: cut(name).value_lengths().to_numpy(zero_copy_only=False)
+    labels, forms = flat("labels"), flat("forms")
+    if not len(labels):
         return untrained()
-    at = np.cumsum([0, *(len(r["labels"]) for r in found)])
-    edges = np.concatenate([np.array(r["edges"], int).reshape(-1, 3) + [o, o, 0] for r, o in zip(found, at.tolist(), strict=False)])
-    labels, forms = (np.concatenate([np.array(r[name], int) for r in found]) for name in ("labels", "forms"))
+    # Edges number the tokens of their document; here they number those of all.
+    first = np.cumsum([0, *count("labels")])[:-1]
+    edges = flat("edges").reshape(-1, 3) + np.repeat(first, count("edges") // 3)[:, None] * [1, 1, 0]
     labels[(labels == 0) & np.isin(forms, forms[labels > 0])] = -1
-    return fit(np.concatenate([np.array(r["features"], int) for r in found]).reshape(len(labels), -1), labels, edges)
+    return fit(flat("features").reshape(len(labels), -1), labels, edges)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("base", pa.bool_())])

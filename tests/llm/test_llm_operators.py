@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tenderlake.llm import bpe_codec, components, exact_dedup, language_id, media_sniff, ordinal_quality, packing, pii_crf, secret_scan, simhash, similar_sets, url_filter
+from tenderlake.llm import bpe_codec, common, components, exact_dedup, language_id, media_sniff, ordinal_quality, packing, pii_crf, secret_scan, simhash, similar_sets, url_filter
 
 # First calls load vocabularies and compile patterns; times aren't what these tests are about.
 settings.register_profile("untimed", deadline=None)
@@ -559,6 +559,43 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, untrained).collect()} == {"und"}
 
 
+def test_samples_end_by_bytes_and_in_any_order_of_rows(spark):
+    """Whole texts in the order of the ids' hashes, none that is large by itself, and no more bytes than asked for."""
+    rng = random.Random(3)
+    rows = [(i, "é" * rng.randrange(40)) for i in range(300)] + [(None, "x"), (1000, "x" * 200)]
+    rank = {r.id: n for n, r in enumerate(spark.createDataFrame(rows, "id long, body string").selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").collect())}
+    for most in (64 * 100, 64 * 1000):
+        want, size = set(), 0
+        for i, body in sorted((r for r in rows if len(r[1].encode()) <= most // 64), key=lambda r: rank[r[0]]):
+            size += len(body.encode())
+            if size > most:
+                break
+            want.add(i)
+        for seed in (1, 2):
+            dealt = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "id long, body string").repartition(3)
+            got = [r.id for r in common.within_bytes(dealt, "id", most).collect()]
+            assert len(got) == len(want) and set(got) == want
+    few = spark.createDataFrame(language_rows(300, 1), "doc_id long, text string, lang string")
+    assert language_id.train(few, sample_bytes=0).languages == []
+    assert language_id.train(few, sample_bytes=1 << 16).languages == sorted(SYLLABLES)
+
+
+def test_rejection_is_calibrated_on_rows_held_back(spark):
+    """A fifth of the labels are wrong at random: scores then say how often the model is right, and what is accepted is right more often than the rest."""
+    rng = random.Random(4)
+    noisy = [(i, t, rng.choice(list(SYLLABLES)) if rng.random() < 0.3 else lang) for i, t, lang in language_rows(600, 5)]
+    docs = spark.createDataFrame(noisy, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    sharp = language_id.train(spark.createDataFrame(language_rows(600, 5), docs.schema))
+    fresh = [(i, t, rng.choice(list(SYLLABLES)) if rng.random() < 0.3 else lang) for i, t, lang in language_rows(300, 6)]
+    df = spark.createDataFrame(fresh, docs.schema)
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    right = np.mean([got[i].lang_pred == lang for i, _, lang in fresh])
+    assert abs(np.mean([r.score for r in got.values()]) - right) < 0.1
+    assert np.mean([r.score for r in language_id.identify(df, sharp).collect()]) > right + 0.1
+    assert all(r.accepted == (r.score >= model.reject_below) for r in got.values())
+
+
 def test_word_sums_equal_the_mean_of_embeddings():
     rng = np.random.default_rng(0)
     model = language_id.LanguageModel(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.array([0.1, 0.2]))
