@@ -9,6 +9,7 @@ all of them, since a fingerprint is an estimate; so a prefix filter finds the re
 * At the first shared shingle no more than what follows it can be shared too. That and the sizes rule out many pairs without a look at the sets.
 * A sketch of 512 bits holds for each of as many classes of shingles whether their number is odd. Where two sketches differ, the sets differ
   in at least one shingle of that class, and sets of 0.8 differ in a ninth of their sizes at most. That rules out nearly all other pairs of up to about 1,000 shingles.
+  Larger sets have a wide sketch as well, of a bit or two for each shingle, which is compared before whole sets are: long documents that share a passage are many pairs, and each would carry a set.
 * Two sets that meet in an entry and both have the same one as their last shared entry before have met there already, and aren't compared again.
 * First each member of an entry is compared with the entry's smallest one, and the links, with those of the fingerprints, give components. Then only pairs of different
   components remain: a dense family is done with after the first round and costs no pairs.
@@ -33,6 +34,8 @@ from tenderlake.sources.tables import discard, materialize
 
 #: Words of 64 bits of a sketch.
 SKETCH = 8
+#: Bits of the widest sketch.
+WIDEST = 1 << 20
 
 
 #: Members of an entry that are compared with each other in one task.
@@ -54,10 +57,21 @@ def renumbered(df: DataFrame, clashing: DataFrame | None) -> DataFrame:
     return met.withColumn("no", F.when(F.col("_clash"), F.xxhash64("no", "check")).otherwise(F.col("no"))).select([c for c in df.columns if c != "check"])
 
 
+def odd_classes(items: np.ndarray, bits: int) -> np.ndarray:
+    """Of the ``bits`` classes (a power of two) that bits of a hash name, those with an odd number of items, packed to bytes."""
+    odd = np.bincount((items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def sketch_of(items: np.ndarray) -> list[int]:
-    """Of the classes that 9 bits of a hash name, those with an odd number of items."""
-    odd = np.bincount((items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return odd_classes(items, 64 * SKETCH).view(np.int64).tolist()
+
+
+def wide_sketch_of(items: np.ndarray) -> bytes | None:
+    """A sketch of at least a bit for each item; None if the short one has as many."""
+    if len(items) <= 64 * SKETCH:
+        return None
+    return odd_classes(items, min(WIDEST, 1 << (len(items) - 1).bit_length())).tobytes()
 
 
 def common_items(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +102,9 @@ def sets_of(docs: DataFrame, words: int, bits: int) -> DataFrame:
 
 
 def summaries(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """For each row (``doc_id, mark, body``): ``doc_id, mark, no, check``, fingerprint, size, sketch, and the set's first ``size // 5 + 1`` items, rare ones first."""
+    """For each row (``doc_id, mark, body``): ``doc_id, mark, no, check``, fingerprint, size, sketches, and the set's first ``size // 5 + 1`` items, rare ones first."""
     known, often = common
-    schema = arrow_fields(doc_id="long", mark="text", no="long", check="long", fp="long", size="long", sketch=pa.list_(pa.int64()), prefix=pa.list_(pa.int64()))
+    schema = arrow_fields(doc_id="long", mark="text", no="long", check="long", fp="long", size="long", sketch=pa.list_(pa.int64()), wide="bytes", prefix=pa.list_(pa.int64()))
 
     def first(items: np.ndarray) -> np.ndarray:
         n = len(items) // 5 + 1
@@ -107,7 +121,7 @@ def summaries(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray]
                 for text in rows.column(2).to_pylist():
                     hashes = shingle_hashes(text, words)
                     items = np.unique(hashes.view(np.int64))
-                    out.append((*number_of(items, bits), print_of(hashes), len(items), sketch_of(items), first(items)))
+                    out.append((*number_of(items, bits), print_of(hashes), len(items), sketch_of(items), wide_sketch_of(items), first(items)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))], schema=schema)
 
     return map_batches(docs.select("doc_id", "mark", "body"), schema, run)
@@ -163,19 +177,53 @@ def likely(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     return pairs.where(F.expr("9 * least(a_size, b_size) >= 4 * (a_size + b_size)")).where(close_sketches("a_", "b_")).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int, bits: int, clashing: DataFrame | None) -> DataFrame:
-    """Those of the pairs (a, b), written already, whose whole sets have a similarity of 0.8 or more. ``marks`` has each set's number and the mark of a text that gives it."""
+def side_by_side(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b), written already, with what ``table`` (``no``, others) has for both ends, as ``a_...`` and ``b_...``. A hub's row goes once with each chunk of its partners."""
+    end = lambda e: table.select(F.col("no").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in columns))
+    chunks = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(max(64, pairs.count() // 100_000))).alias("chunk")).agg(F.collect_list("b").alias("bs"))
+    return chunks.join(end("a"), "a").select("a", *(f"a_{c}" for c in columns), F.explode("bs").alias("b")).join(end("b"), "b")
+
+
+def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits sketches differ, two by two. Of two sizes, the larger is folded to the smaller, as its classes are parts of the other's."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for la, lb in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (la, lb)).all(1))
+        least = min(la, lb)
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1, least // 8), axis=1) for side in (a, b)]
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(1)
+    return out
+
+
+def close_wide_sketches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), written already, whose wide sketches allow a similarity of 0.8, or of which one has none."""
+    schema = arrow_fields(a="long", b="long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            both = np.flatnonzero([p is not None and q is not None for p, q in zip(x, y, strict=True)])
+            stay = np.ones(batch.num_rows, bool)
+            total = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            stay[both] = 9 * differing_bits([x[i] for i in both.tolist()], [y[i] for i in both.tolist()]) <= total[both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(stay))
+
+    met = side_by_side(pairs, sets.select("no", "size", "wide"), ["size", "wide"])
+    return map_batches(met.select("a", "b", "a_size", "b_size", "a_wide", "b_wide"), schema, run)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, bits: int, clashing: DataFrame | None) -> DataFrame:
+    """Those of the pairs (a, b), written already, whose whole sets have a similarity of 0.8 or more. ``sets`` has each set's number, the mark of a text that gives it, size and wide sketch."""
+    pairs = materialize(close_wide_sketches(pairs, sets), "pairs-to-confirm")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
-    wanted = materialize(marks.join(wanted, "no", "left_semi").select("no", F.col("mark").alias("wanted")), "wanted-sets")
+    wanted = materialize(sets.join(wanted, "no", "left_semi").select("no", F.col("mark").alias("wanted")), "wanted-sets")
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
     texts = docs.join(side, F.col("mark") == F.col("wanted")).dropDuplicates(["mark"])
     held = materialize(renumbered(sets_of(texts, words, bits), clashing).join(wanted.select("no"), "no", "left_semi").dropDuplicates(["no"]), "held-sets")
-    # A hub's set goes once with each chunk of its partners.
-    chunks = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(max(64, pairs.count() // 100_000))).alias("chunk")).agg(F.collect_list("b").alias("bs"))
-    both = chunks.join(held.select(F.col("no").alias("a"), F.col("items").alias("x")), "a").select("a", "x", F.explode("bs").alias("b"))
-    both = both.join(held.select(F.col("no").alias("b"), F.col("items").alias("y")), "b")
-    links = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
-    discard(wanted, held)
+    both = side_by_side(pairs, held, ["items"])
+    links = materialize(both.where(9 * F.size(F.array_intersect("a_items", "b_items")) >= 4 * (F.size("a_items") + F.size("b_items"))).select("a", "b"), "similar-links")
+    discard(pairs, wanted, held)
     return links
 
 
@@ -190,7 +238,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clashing = materialize(every.groupBy("no").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low != high").select("no"), "clashing-numbers")
     clashing = None if clashing.isEmpty() else clashing
     every = every.drop("check") if clashing is None else materialize(renumbered(every, clashing), "set-summaries")
-    facts = F.min(F.struct("mark", "fp", "size", "sketch")).alias("f")
+    facts = F.min(F.struct("mark", "fp", "size", "sketch", "wide")).alias("f")
     sets = materialize(every.groupBy("no").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), facts).select("no", "least", "n", "f.*"), "distinct-sets")
 
     # Of the rows of one set one files its prefix. Rows of one text have equal prefixes, so they may all serve where they are few.
@@ -209,7 +257,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = join_split(sets.select("fp", F.col("no").alias("b")), prints.withColumnRenamed("no", "a"), "fp", sets.count()).where("a != b").select("a", "b")
     proposed = linked.select(F.least("a_no", "b_no").alias("a"), F.greatest("a_no", "b_no").alias("b")).unionByName(same)
     first = materialize(stars.unionByName(proposed).distinct(), "first-pairs")
-    links = confirmed(materialize(likely(first, sets, first.count()), "likely-pairs"), sets.select("no", "mark"), docs, words, bits, clashing)
+    links = confirmed(materialize(likely(first, sets, first.count()), "likely-pairs"), sets, docs, words, bits, clashing)
     groups = connected_components(links)
 
     before = F.lag("key").over(Window.partitionBy("no").orderBy("pos")).alias("before")  # as many rows as one set has in its prefix
@@ -218,14 +266,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(met)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("low != high").select("key", "chunks")
     rest = labelled.join(mixed, "key").join(sets.select("no", "sketch"), "no")
-    # An entry of very many members is dealt out to squares of chunks, so that no task compares all of them.
+    meets = "a.key = b.key AND a.no < b.no AND a.label != b.label AND NOT coalesce(a.before = b.before, false)"
+    meet = lambda left, right, also=F.lit(True): left.alias("a").join(right.alias("b"), F.expr(meets) & also & may_link("a.", "b.") & close_sketches("a.", "b.")).select(F.col("a.no").alias("a"), F.col("b.no").alias("b"))
+    # Both sides of most entries are one plan, so they are shuffled once. An entry of very many members is dealt out to squares of chunks, so that no task compares all of them.
+    small, large = rest.where("chunks = 1").drop("chunks"), rest.where("chunks > 1")
     own, every_chunk = F.pmod(F.xxhash64("no"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    side = lambda name: [F.col(c).alias(name + c) for c in ("no", "size", "pos", "before", "label", "sketch")]
-    left = rest.select("key", own.alias("row"), every_chunk.alias("column"), *side("a_"))
-    right = rest.select("key", every_chunk.alias("row"), own.alias("column"), *side("b_"))
-    across = left.join(right, (left["key"] == right["key"]) & (left["row"] == right["row"]) & (left["column"] == right["column"]) & (F.col("a_no") < F.col("b_no")) & (F.col("a_label") != F.col("b_label")) & ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False)) & may_link("a_", "b_") & close_sketches("a_", "b_"))
-    across = materialize(across.select(F.col("a_no").alias("a"), F.col("b_no").alias("b")).distinct(), "other-pairs")
-    more = confirmed(across.join(first, ["a", "b"], "left_anti"), sets.select("no", "mark"), docs, words, bits, clashing)
+    left, right = large.select("*", own.alias("row"), every_chunk.alias("column")), large.select("*", every_chunk.alias("row"), own.alias("column"))
+    across = meet(small, small).unionByName(meet(left, right, F.expr("a.row = b.row AND a.column = b.column")))
+    across = materialize(across.distinct(), "other-pairs")
+    discard(labelled)
+    across = materialize(across.join(first, ["a", "b"], "left_anti"), "other-pairs")
+    more = confirmed(across, sets, docs, words, bits, clashing)
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 

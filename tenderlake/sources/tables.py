@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderlake.sources.shipping import ship_package
 
+#: Whether the shuffle files of a query go when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Lazy scan of ``<base>/<name>.parquet``; filters and columns reach the Parquet reader."""
@@ -32,12 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so later stages and retries start there.
 
+    The shuffle files of the job go as soon as it has ended, as nothing reads them again; else they would stay until the driver happens to collect its garbage.
     A written table survives the loss of any executor and cuts the lineage; its columns can still be pruned. What a result is still read from stays
     in a folder named after the application, which may go when the application has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
