@@ -7,7 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tenderlake.operators.term_index import TermIndex
+from tenderlake.sources.shipping import ship_package
 from tenderlake.sources.tables import materialize
 
 
@@ -18,13 +21,12 @@ def _grams(signs: str, sizes: Iterable[int]) -> Column:
     return F.array_distinct(F.concat(*(F.array(F.lit("")) if n == 0 else F.array_compact(runs(n)) for n in sizes)))
 
 
-def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 6, window: int = 4096, most: int = 200_000, few: int = 200) -> DataFrame:
+def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", gram: int = 8, window: int = 1 << 20, most: int = 200_000, few: int = 200) -> DataFrame:
     """``key`` and ``tags``: the sorted tags of all dictionary rows (``term, tag``) whose term the text holds anywhere, whatever its case. One row for each key.
 
-    The dictionary may have any size, and terms any characters. Each term is filed under a run of ``gram`` characters (a shorter term under itself), the one around the three characters in a row
-    that the fewest texts have; a term with three in a row that no text has is dropped. Texts are cut into windows of ``window`` characters, which overlap by the longest term, and windows are probed by their
-    runs; what is found is verified in the window. Threes are counted by an aggregate over all texts, so only as many rows as there are different ones are shuffled. Filed terms are broadcast,
-    ``most`` at a time: a larger dictionary is cut by hash into shards, each with a probe of its own.
+    The dictionary may have any size, and terms any characters. Each term is filed under a run of ``gram`` bytes (a shorter term under itself), the one that the fewest terms have
+    (:class:`~tenderlake.operators.term_index.TermIndex`). Filed terms are broadcast, ``most`` at a time: a larger dictionary is cut by hash into shards, each with a probe of its own. The texts stay in
+    their partitions, where all runs of ``window`` places at a time are looked up, and what is found is compared with the whole term; only keys and tags are shuffled.
 
     A dictionary of up to ``few`` rows takes a shorter way to the same rows: its terms are looked for one by one in the plan, and the texts are read once.
 
@@ -38,33 +40,22 @@ def find_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
         found = low.select("_key", F.array_distinct(F.array_compact(hits)).alias("_hits"))
         return found.groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_hits")))).alias("tags"))
 
-    size = F.least(F.length("term"), F.lit(gram))
-    lengths = terms.groupBy(size.alias("size")).agg(F.max(F.length("term")).alias("longest")).collect()
-    # The empty run stands for the row itself, so that each key keeps a row, and it files the empty term.
-    sizes = sorted({0, *(r["size"] for r in lengths)})
-    step, longest = max(window, *(r["longest"] for r in lengths)), max(r["longest"] for r in lengths)
-    # The characters are a column of their own, so that they are split once.
-    signs = low.select("_key", F.split("_low", "").alias("_all"))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1)), F.lit(step)), lambda i: F.slice("_all", i, step + longest - 1))
-    windows = signs.select("_key", F.explode(cuts).alias("_signs"))
-
-    counts = windows.select(F.explode(_grams("_signs", [3])).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_texts"))
-    # Where the rarest three characters of a term are; a run around them.
-    threes = terms.where("length(term) >= 3").select("term").distinct().withColumn("_signs", F.split("term", ""))
-    threes = threes.select("term", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_signs") - 2), lambda i: F.array_join(F.slice("_signs", i, 3), ""))).alias("_at", "_gram"))
-    rare = threes.join(counts, "_gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("texts"), "_at")).alias("_rare")).where("_rare.texts > 0")
-    begin = F.greatest(F.lit(1), F.least(F.col("_rare._at") + 1 - (gram - 3) // 2, F.length("term") - (gram - 1)))
-    filed = rare.select("term", F.substring("term", begin, F.lit(gram)).alias("_filed")).unionByName(terms.where("length(term) < 3").select("term", F.col("term").alias("_filed")).distinct())
-    filed = materialize(filed.join(terms, "term").select("_filed", "term", "tag"), "filed-terms")
-
-    # Joined before they are probed, once for each window.
-    whole = windows.select("_key", "_signs", F.array_join("_signs", "").alias("_low"))
-    probes = whole.select("_key", "_low", F.explode(_grams("_signs", sizes)).alias("_gram"))
-    shards = -(-filed.count() // most) or 1
-    hit = (F.col("_gram") == F.col("_filed")) & F.contains("_low", F.col("term"))
-    shard = lambda i: filed.where(F.pmod(F.hash("term"), F.lit(shards)) == i) if shards > 1 else filed
-    found = [probes.join(F.broadcast(shard(i)), hit, "left").where("_gram = '' OR tag IS NOT NULL").select("_key", "tag") for i in range(shards)]
-    return reduce(DataFrame.unionByName, found).groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    spark = df.sparkSession
+    ship_package(spark)
+    # Batches of texts are bounded by bytes as well as rows.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    probed = low.select("_key", F.col("_low").cast("binary"))
+    schema = StructType([probed.schema["_key"], StructField("_hits", ArrayType(StringType()))])
+    shards = -(-terms.count() // most) or 1
+
+    def probe(i: int) -> DataFrame:
+        filed = terms.where(F.pmod(F.hash("term"), F.lit(shards)) == i).select(F.col("term").cast("binary"), "tag").toArrow()
+        shared = spark.sparkContext.broadcast(TermIndex(filed["term"].to_pylist(), filed["tag"].to_pylist(), gram))
+        return probed.mapInArrow(lambda batches: shared.value.tag_batches(batches, window), schema)
+
+    found = reduce(DataFrame.unionByName, [probe(i) for i in range(shards)])
+    return found.groupBy(F.col("_key").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_hits")))).alias("tags"))
 
 
 def tag_by_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
@@ -94,11 +85,14 @@ def tag_by_words(df: DataFrame, dictionary: DataFrame, key: str, text: str = "te
 def match_alerts(publication_topics: DataFrame, company_topics: DataFrame, publication: str = "publication_id", company: str = "entreprise_id", topic: str = "domaine_id") -> DataFrame:
     """Each (company, publication) that share a topic, once.
 
-    Both sides are reduced to distinct pairs before the join; AQE splits a topic that very many follow. The pairs are the result itself.
+    Publications with the same topics have the same companies, so those are found and told apart once for each set of topics. The last join then gives each pair once: the pairs are the result itself, and they
+    go into no shuffle. AQE splits a set of topics that very many share or follow.
     """
-    left = publication_topics.select(publication, topic).where(F.col(topic).isNotNull()).distinct()
+    left = publication_topics.select(publication, topic).where(F.col(topic).isNotNull())
     right = company_topics.select(company, topic).where(F.col(topic).isNotNull()).distinct()
-    return left.join(right, topic).select(company, publication).distinct()
+    profiles = left.groupBy(publication).agg(F.array_sort(F.collect_set(topic)).alias("_topics"))
+    followers = profiles.select("_topics").distinct().select("_topics", F.explode("_topics").alias(topic)).join(right, topic).select("_topics", company).distinct()
+    return profiles.join(followers, "_topics").select(company, publication)
 
 
 def alert_rows(matches: DataFrame, kind: str, content: Column, channel: str, now: Column) -> DataFrame:

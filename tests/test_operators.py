@@ -252,3 +252,27 @@ def test_names_within_two_edits_by_brute_force(spark):
         best[name] = min(best.get(name, (9, 0)), (d, i))
     found = names.resolve_names(a, k).collect()
     assert len(found) == len(asked) and all(r.known_id == (best.get(clean(r.nom), (0, None))[1] if r.nom is not None else None) for r in found)
+
+
+def test_matches_of_publications_with_the_same_topics_are_told_apart_once(spark):
+    """The pairs themselves aren't dealt out again: what a shuffle gets is counted in the plan that has run."""
+    p = spark.range(400).select(F.col("id").alias("publication_id"), F.explode(F.expr("IF(id % 4 = 0, array(1L, 2L), array(id % 3, id % 3))")).alias("domaine_id"))
+    c = spark.range(300).select(F.col("id").alias("entreprise_id"), F.explode(F.expr("array(id % 5, (id + 1) % 5, null)")).alias("domaine_id"))
+    found = alerts.match_alerts(p, c)
+    want = {(a, b) for a, ta in ((i, {i % 5, (i + 1) % 5}) for i in range(300)) for b, tb in ((i, {1, 2} if i % 4 == 0 else {i % 3}) for i in range(400)) if ta & tb}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    last = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line for line in last[: next(i for i, line in enumerate(last) if "Join" in line)])
+
+
+def test_a_large_dictionary_leaves_the_texts_where_they_are(spark):
+    """Texts aren't multiplied by their runs; terms with one beginning, terms in another's middle and several tags of a term are found."""
+    terms = [(f"https://example.org/notice/{i:05}", f"t{i % 7}") for i in range(3000)] + [("https://example.org/notice/00001", "other"), ("0000", "zeros"), ("ü", "short"), ("notice/00002 and a long end of more than sixteen bytes", "long")]
+    texts = [(1, "see HTTPS://example.org/notice/00001"), (2, "https://example.org/notice/00002 and a long end of more than sixteen bytes."), (3, "https://example.org/notice/0000"), (4, "Ü"), (5, ""), (6, None), (7, "1" * 5000)]
+    want = {1: ["other", "t1", "zeros"], 2: ["long", "t2", "zeros"], 3: ["zeros"], 4: ["short"], 5: [], 6: [], 7: []}
+    df, dictionary = spark.createDataFrame(texts, "id long, text string").coalesce(1), spark.createDataFrame(terms, "term string, tag string")
+    for more in ({}, {"window": 7}, {"most": 500, "gram": 5}):
+        found = alerts.find_tags(df, dictionary, "id", **more)
+        assert {r.id: r.tags for r in found.collect()} == want
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
