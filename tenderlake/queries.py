@@ -7,7 +7,7 @@ for domains, conversations for paged documents, events for alerts.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -420,7 +420,7 @@ def change_by_request(spark: SparkSession, sf: str) -> DataFrame:
     return writes.change(_firms(spark, sf, "true"), "firm", requests, metadata=FIRMS, links={}).tables["firm"]
 
 
-def _taken_in(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _taken_in(spark: SparkSession, sf: str) -> Mapping[str, DataFrame]:
     """All orders as extraction payloads: a company, its domain, a publication for each day, a contract for each priority, an alert for finished ones."""
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     company = F.struct(F.concat(F.lit("firm "), F.col("o_custkey").cast("string")).alias("nom"), key.cast("string").alias("siret"), F.array("o_orderstatus").alias("domaines"))

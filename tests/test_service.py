@@ -278,3 +278,16 @@ def test_one_pass_settles_as_rounds_do(spark):
     assert rounds == once and len(once) > 20
     long = [(i, "d", f"z{i + k}") for i in range(4000) for k in (0, 1)]
     assert take_in_turn(spark.createDataFrame(long, df.schema), held).count() == 2000
+
+
+def test_alerts_are_listed_without_contracts_lots_and_awards(spark, monkeypatch):
+    from tenderlake.plans import ingest
+
+    written, write = [], ingest.materialize
+    monkeypatch.setattr(ingest, "materialize", lambda df, label: written.append(label) or write(df, label))
+    body = spark.createDataFrame([('{"arrival": 1, "entreprise": {"nom": "a"}, "publication": {"numero": "p"}, "marche": {"objet": "o"}, "lots": [{"numero_lot": "1"}], "resultat": {}, "alerte": {"type_alerte": "fin"}}',)], "body string")
+    saved = save_payloads({n: spark.createDataFrame([], t.schema) for n, t in TABLES.items()}, parse_payloads(body), F.lit("2024-05-01 00:00:00"))
+    assert [(r.entreprise.nom, r.publication.numero) for r in list_resource(saved, "alertes").collect()] == [("a", "p")]
+    assert not {"marche", "lot", "resultat"} & set(written)
+    assert [r.marche.objet for r in list_resource(saved, "resultats").collect()] == ["o"] and saved["lot"].count() == 1
+    assert written.count("marche") == 1
