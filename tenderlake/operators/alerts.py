@@ -82,17 +82,22 @@ def tag_by_words(df: DataFrame, dictionary: DataFrame, key: str, text: str = "te
     return df.select(key).join(found, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def match_alerts(publication_topics: DataFrame, company_topics: DataFrame, publication: str = "publication_id", company: str = "entreprise_id", topic: str = "domaine_id") -> DataFrame:
+def match_alerts(publication_topics: DataFrame, company_topics: DataFrame, publication: str = "publication_id", company: str = "entreprise_id", topic: str = "domaine_id", wide: int = 1000) -> DataFrame:
     """Each (company, publication) that share a topic, once.
 
-    Publications with the same topics have the same companies, so those are found and told apart once for each set of topics. The last join then gives each pair once: the pairs are the result itself, and they
-    go into no shuffle. AQE splits a set of topics that very many share or follow.
+    Both sides bring all their topics to the join, and a pair is taken at the smallest topic that they share. So pairs, which are the result itself, go into no shuffle. Those of whatever has more than ``wide`` topics
+    don't bring them and are told apart by a shuffle. AQE splits a topic that very many follow.
     """
-    left = publication_topics.select(publication, topic).where(F.col(topic).isNotNull())
-    right = company_topics.select(company, topic).where(F.col(topic).isNotNull()).distinct()
-    profiles = left.groupBy(publication).agg(F.array_sort(F.collect_set(topic)).alias("_topics"))
-    followers = profiles.select("_topics").distinct().select("_topics", F.explode("_topics").alias(topic)).join(right, topic).select("_topics", company).distinct()
-    return profiles.join(followers, "_topics").select(company, publication)
+
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        own = df.where(F.col(topic).isNotNull()).groupBy(key).agg(F.collect_set(topic).alias("_all"))
+        return own.select(key, F.when(F.size("_all") <= wide, F.col("_all")).alias(name), F.explode("_all").alias(topic))
+
+    ours, theirs = side(publication_topics, publication, "_ours"), side(company_topics, company, "_theirs")
+    narrow = ours.where("_ours IS NOT NULL").join(theirs.where("_theirs IS NOT NULL"), topic)
+    first = (F.size("_ours") == 1) | (F.size("_theirs") == 1) | (F.col(topic) == F.array_min(F.array_intersect("_ours", "_theirs")))
+    repeated = ours.join(theirs.where("_theirs IS NULL"), topic).select(company, publication).unionByName(ours.where("_ours IS NULL").join(theirs.where("_theirs IS NOT NULL"), topic).select(company, publication))
+    return narrow.where(first).select(company, publication).unionByName(repeated.distinct())
 
 
 def alert_rows(matches: DataFrame, kind: str, content: Column, channel: str, now: Column) -> DataFrame:

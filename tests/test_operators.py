@@ -262,6 +262,9 @@ def test_matches_of_publications_with_the_same_topics_are_told_apart_once(spark)
     want = {(a, b) for a, ta in ((i, {i % 5, (i + 1) % 5}) for i in range(300)) for b, tb in ((i, {1, 2} if i % 4 == 0 else {i % 3}) for i in range(400)) if ta & tb}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+    for few in (0, 1):
+        wide = [tuple(r) for r in alerts.match_alerts(p, c, wide=few).collect()]
+        assert len(wide) == len(want) and set(wide) == want
     last = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in line for line in last[: next(i for i, line in enumerate(last) if "Join" in line)])
 
