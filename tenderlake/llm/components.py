@@ -15,20 +15,29 @@ from tenderlake.sources.tables import discard, materialize
 
 
 def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
-    """One step over ``total`` links (a, b) with a > b. Large: each node's larger neighbours move to its smallest one; small: so do its smaller ones and itself.
+    """One step, written, over ``total`` links (a, b) with a > b. Large: each node's larger neighbours move to its smallest one; small: so do its smaller ones and itself.
 
     The centre of a star holds all of a component's links: such nodes are broadcast, so their links needn't meet in one task.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     if large:
         both = both.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    least = both.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("n"))
+    least = materialize(both.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("n")), "least-neighbours")  # read several times
     if large:
         # A node that is the smallest of its neighbours is their target itself.
         joined = join_split(both.where("other > node"), least, "node", total).select(F.col("other").alias("a"), F.least("least", "node").alias("b"))
     else:
         joined = join_split(both, least, "node", total).where("other != least").select(F.col("other").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    return joined.distinct()
+    done = materialize(joined.distinct(), "links")
+    discard(least)
+    return done
+
+
+def _state(links: DataFrame) -> tuple[int, int]:
+    """How many links (a, b) there are, and how many nodes keep them from being stars around smallest nodes: those with several smaller neighbours, or with a smaller and a larger one."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return tuple(nodes.agg(F.coalesce(F.sum("below"), F.lit(0)), F.count_if(F.expr("below > 1 OR below = 1 AND above = 1"))).first())
 
 
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -39,18 +48,14 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """
     now = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    # Sums of a hash and counts tell whether a round has changed a link.
-    measure = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    state = measure(now)
     for _ in range(rounds):
-        if not state[0]:
+        total, unsettled = _state(now)
+        if not unsettled:
             break
-        half = materialize(_star(now, True, 2 * state[0]), "links")
-        after = materialize(_star(half, False, half.count()), "links")
+        half = _star(now, True, 2 * total)
+        after = _star(half, False, half.count())
         discard(now, half)
-        before, state, now = state, measure(after), after
-        if before == state:
-            break
+        now = after
     else:
         raise RuntimeError(f"the components haven't settled after {rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import SAMPLE_BYTES, arrow_fields, free_name, map_rows, text_of, within_bytes
-from tenderlake.sources.tables import discard, load_table
+from tenderlake.llm.common import SAMPLE_BYTES, arrow_fields, free_name, map_batches, map_rows, text_of, within_bytes
+from tenderlake.sources.tables import discard, load_table, materialize
 
 WORD = re.compile(r"\w+")
 #: A word that begins with a sign, and one that ends in several.
@@ -103,17 +103,12 @@ class OrdinalModel:
         return [float(1 / (1 + np.exp(-np.clip(score - t, -50, 50)))) for t in self.thresholds]
 
 
-def telling(names: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, sure: float) -> np.ndarray:
-    """Which of the buckets ``names`` take part: all of the shape, and the words' that speak against a document. ``flat`` has their places.
+def telling(names: np.ndarray, counts: np.ndarray, grades: np.ndarray, sure: float) -> np.ndarray:
+    """Which of the buckets ``names`` take part: all of the shape, and the words' that speak against a document. ``counts`` has for each grade how many of its rows have them.
 
     Those are more frequent in a lower grade than in the others by ``sure`` standard errors. A text is good unless something speaks against
     it; words that are merely common in good texts would tell long from short ones instead. Rows of a negative grade don't count.
     """
-    counts = np.zeros((GRADES, len(names)))
-    for at in range(0, len(flat), 1 << 20):  # piece by piece: the driver's memory holds the sample, not several copies of it
-        part, grade = flat[at : at + (1 << 20)], grades[owner[at : at + (1 << 20)]]
-        for k in range(GRADES):
-            counts[k] += np.bincount(part[grade == k], minlength=len(names))
     total, rows = counts.sum(0), int((grades >= 0).sum())
     out = np.isin(names, [bucket(f"s {name} {i}") for name in SHAPES for i in range(32)] + [bucket("s empty")])
     for k in range(GRADES - 1):
@@ -126,30 +121,66 @@ def telling(names: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.n
     return out
 
 
-def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3, sure: float = 5.0, penalty: float = 1e-4, steps: int = 800, rate: float = 0.3, balance: float = 0.5) -> OrdinalModel:
-    """Maximum likelihood with an L1 penalty over the telling features.
+def held_back(rows: int) -> np.ndarray:
+    """Every fifth row: the weights aren't fitted on it."""
+    return np.arange(rows) % 5 == 4
 
-    ``flat`` has the buckets of all rows, ``owner`` the row of each. ``balance`` 1 gives all grades the same weight together, 0 all rows.
-    Every fifth row is held back and tells where to cut, if there are good and other ones among them; else all rows do.
+
+def flat_features(batch: pa.RecordBatch, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a batch (``rated_id, buckets``), one row's behind another's, and the place of each one's row among the sorted ``ids``."""
+    buckets = batch.column(1)
+    owner = np.searchsorted(ids, batch.column(0).to_numpy()).astype(np.int32)
+    return buckets.flatten().to_numpy(), np.repeat(owner, buckets.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def telling_features(features: DataFrame, ids: np.ndarray, grades: np.ndarray, least: int = 3, sure: float = 5.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a written sample (``rated_id, buckets``), whose sorted ``ids`` have ``grades``: the names of the telling buckets of at least ``least`` rows; and for each time one is met its place among those and its row.
+
+    Buckets are counted by tasks and chosen by tasks; the driver gets the telling ones alone, which are few.
+    """
+    judged = np.where(held_back(len(grades)), -1, grades).astype(np.int8)
+    counted = arrow_fields(bucket=pa.int32(), n="long", **{f"n{k}": "long" for k in range(GRADES)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, owner = flat_features(batch, ids)
+            names, place = np.unique(flat, return_inverse=True)
+            grade = judged[owner]
+            n = [np.bincount(place, minlength=len(names)), *(np.bincount(place[grade == k], minlength=len(names)) for k in range(GRADES))]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, n)], schema=counted)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts = batch.column(0).to_numpy(), np.array([batch.column(k + 2).to_numpy() for k in range(GRADES)], np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[telling(names, counts, judged, sure)])], schema=pa.schema([counted.field("bucket")]))
+
+    totals = map_batches(features, counted, count).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in counted.names[1:])).where(F.col("n") >= least)
+    names = np.sort(map_batches(totals, pa.schema([counted.field("bucket")]), choose).toArrow()["bucket"].to_numpy())
+    met = arrow_fields(place=pa.int32(), owner=pa.int32())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, owner = flat_features(batch, ids)
+            place = np.searchsorted(names, flat).astype(np.int32)
+            known = np.append(names, -1)[place] == flat
+            yield pa.RecordBatch.from_arrays([pa.array(place[known]), pa.array(owner[known])], schema=met)
+
+    found = map_batches(features, met, meet).toArrow()
+    return names, found["place"].to_numpy(), found["owner"].to_numpy()
+
+
+def fit(names: np.ndarray, at: np.ndarray, owner: np.ndarray, grades: np.ndarray, penalty: float = 1e-4, steps: int = 800, rate: float = 0.3, balance: float = 0.5) -> OrdinalModel:
+    """Maximum likelihood with an L1 penalty over the telling features ``names``.
+
+    ``at`` has the places of all rows' features among those, ``owner`` the row of each. ``balance`` 1 gives all grades the same weight together, 0 all rows.
+    Rows that are held back tell where to cut, if there are good and other ones among them; else all rows do.
     """
-    if not len(grades):
-        return OrdinalModel({}, [0.0] * (GRADES - 1))
-    held_back = np.arange(len(grades)) % 5 == 4
-    # Only buckets of at least ``least`` rows, by their places.
-    names = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= least)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[names] = np.arange(len(names), dtype=np.int32)
-    flat = place[flat]
-    chosen = telling(names, flat[flat >= 0], owner[flat >= 0], np.where(held_back, -1, grades).astype(np.int8), sure)
-    names, place = names[chosen], np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
-    used = np.flatnonzero(flat >= 0)
-    used = used[place[flat[used]] >= 0]
-    flat, owner = place[flat[used]], owner[used]
+    held = held_back(len(grades))
     # Sums of floating point numbers depend on their order, so that is fixed.
-    order = np.lexsort((flat, owner))
-    at, owner = flat[order], owner[order]
-    n = np.bincount(grades[~held_back], minlength=GRADES)
-    share = (np.maximum(n, 1.0) ** -balance)[grades] * ~held_back
+    order = np.lexsort((at, owner))
+    at, owner = at[order], owner[order]
+    n = np.bincount(grades[~held], minlength=GRADES)
+    share = (np.maximum(n, 1.0) ** -balance)[grades] * ~held
     share /= share.sum()
     weights, gaps = np.zeros(len(names)), np.array([-1.0, np.log(2.0)])  # the first threshold, and the logarithm of the distance to the next
     squares, gap_squares = np.zeros(len(names)), np.zeros(len(gaps))
@@ -171,10 +202,10 @@ def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: int = 3,
         weights -= pace * grad
         weights = np.sign(weights) * np.maximum(0, np.abs(weights) - pace * penalty)
         gaps -= rate * gap_grad / (np.sqrt(gap_squares) + 1e-9)
-    held = np.flatnonzero(weights)
-    model = OrdinalModel(dict(zip(names[held].tolist(), weights[held].tolist(), strict=True)), [float(gaps[0]), float(gaps[0] + np.exp(gaps[1]))])
+    weighty = np.flatnonzero(weights)
+    model = OrdinalModel(dict(zip(names[weighty].tolist(), weights[weighty].tolist(), strict=True)), [float(gaps[0]), float(gaps[0] + np.exp(gaps[1]))])
     tails, good = np.array([model.tails(x)[-1] for x in np.bincount(owner, weights[at], len(grades))]), grades == GRADES - 1
-    judges = held_back if 0 < good[held_back].sum() < held_back.sum() else np.ones(len(grades), bool)
+    judges = held if 0 < good[held].sum() < held.sum() else np.ones(len(grades), bool)
     model.keep_at = best_cut(tails[judges], good[judges])
     return model
 
@@ -195,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
     """Fit on at most ``sample`` rated documents and ``sample_bytes`` of their texts: those whose ids hash lowest, so the same ones at each run and in any order of rows.
 
     ``labels`` has ``doc_id``, ``quality`` (0 or 1; null: not rated) and ``toxic`` (null: 0). Of rows that repeat an id the lowest grade counts, and
-    one of its texts. Only the sample's hashed features come to the driver. The sample's texts are written while the model is fitted.
+    one of its texts. Of the sample's hashed features only the telling ones come to the driver. The sample's texts, then its features, are written while the model is fitted.
     """
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).cast("bigint")
     rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("rated_id")).agg(F.min(grade).alias("grade"))
@@ -203,18 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rated_id"), text_of(text_col).alias("body")).join(F.broadcast(rated), "rated_id")
     rows = within_bytes(rows.groupBy("rated_id", "grade").agg(F.max("body").alias("body")), "rated_id", sample_bytes)
     schema = arrow_fields(rated_id="long", grade="long", buckets=pa.list_(pa.int32()))
-    found = map_rows(rows, schema, lambda: lambda ids, grades, texts: [ids, grades, [buckets_of(t) for t in texts]]).toArrow()
+    features = materialize(map_rows(rows, schema, lambda: lambda ids, grades, texts: [ids, grades, [buckets_of(t) for t in texts]]), "sample-features")
     discard(rows)
-    if not found.num_rows:
-        return OrdinalModel({}, [0.0] * (GRADES - 1))
-    lengths = found["buckets"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    flat = found["buckets"].combine_chunks().flatten().to_numpy()
-    order = np.lexsort((lengths, found["grade"].to_numpy(), found["rated_id"].to_numpy()))
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    grades = found["grade"].to_numpy()[order]
-    del found
-    return fit(flat, np.repeat(rank, lengths), grades)
+    rated = features.select("rated_id", "grade").toArrow().sort_by("rated_id")
+    ids, grades = rated["rated_id"].to_numpy(), rated["grade"].to_numpy()
+    model = fit(*telling_features(features.select("rated_id", "buckets"), ids, grades), grades) if len(ids) else OrdinalModel({}, [0.0] * (GRADES - 1))
+    discard(features)
+    return model
 
 
 SCHEMA = arrow_fields(doc_id="long", score="real", expected_grade="real", tail_probability="real", kept="flag")

@@ -278,7 +278,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     across = materialize(across.join(first, ["a", "b"], "left_anti"), "other-pairs")
     more = confirmed(across, sets, docs, words, bits, clashing)
     if not more.isEmpty():
-        groups = connected_components(links.unionByName(more))
+        groups = connected_components(groups.toDF("a", "b").unionByName(more))  # each component so far is a star
 
     named = named_components(groups, sets.select(F.col("no").alias("node"), "least"))
     table = sets.select("no", "least", "n").join(named.withColumnRenamed("node", "no").withColumn("linked", F.lit(True)), "no", "left")
