@@ -10,7 +10,7 @@ tokens behind can tell them apart; most long tokens are of the one kind that mer
 The transducer determinises this on demand. A state holds all places that the bytes so far allow. Every beginning of the bytes has one
 encoding, so on each arc exactly one token ends in agreement, and that is the arc's output: the last token of the bytes up to there. Going back from
 token to token gives all of them. The tokens that all places of a state share are certain and are emitted; no place is further behind than the longest
-token, and the lookahead of such merges is known to be bounded. States and arcs are kept; when they are ``most``, those not met since the last clearing go.
+token, and the lookahead of such merges is known to be bounded. States and arcs are kept; when they are ``most``, those not met since the last clearing go, and the youngest if over half are left.
 
 Decoding runs a machine over bytes whose states are the unfinished characters. For each state and token its moves are worked out once and kept.
 """
@@ -24,6 +24,7 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -150,21 +151,21 @@ class Transducer:
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for word, i in ranks.items():
             self.lengths[i] = len(word)
-        # The trie: its arcs by node and byte, the token that ends at a node, how deep it is, and which nodes lead on.
-        self.arcs: dict[int, int] = {}
+        # The trie: its arcs by byte, then node, the token that ends at a node, how deep it is, and which nodes lead on.
+        self.arcs: list[dict[int, int]] = [{} for _ in range(256)]
         self.ends: list[int] = [-1]
         self.depths: list[int] = [0]
         self.inner: set[int] = set()
         for word, i in ranks.items():
             node = 0
             for b in word:
-                arc = node << 8 | b
-                if arc not in self.arcs:
-                    self.arcs[arc] = len(self.ends)
+                arcs = self.arcs[b]
+                if node not in arcs:
+                    arcs[node] = len(self.ends)
                     self.ends.append(-1)
                     self.depths.append(self.depths[node] + 1)
                     self.inner.add(node)
-                node = self.arcs[arc]
+                node = arcs[node]
             self.ends[node] = i
         self.states: list[tuple[int, ...]] = []
         self.steps: dict[int, int] = {}
@@ -180,10 +181,10 @@ class Transducer:
         return known
 
     def clear(self) -> None:
-        """If states are ``most``, drop those, and their arcs, that haven't been met since the last clearing; all but the first if that leaves over half."""
+        """If states are ``most``, drop those, and their arcs, that haven't been met since the last clearing. Of those met the older half of ``most`` stays: common states are found first, and to find them again takes most of the time."""
         if len(self.states) <= self.most:
             return
-        kept = sorted(self.met | {0}) if len(self.met) < self.most // 2 else [0]
+        kept = sorted(self.met | {0})[: max(1, self.most // 2)]
         new = {old: i for i, old in enumerate(kept)}
         self.steps = {new[k >> 8] << 8 | k & 255: new[v >> TOKEN] << TOKEN | v & LAST for k, v in self.steps.items() if k >> 8 in new and v >> TOKEN in new}
         self.states = [self.states[i] for i in kept]
@@ -192,16 +193,16 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> int:
         """Determinise one arc: the next state, and the last token of the bytes up to there. Places stand in the order in which their tokens began."""
-        arcs, ends, inner, agree = self.arcs, self.ends, self.inner, self.merges.agree
-        after, token = [], -1
+        follow, ends, inner, merges = self.arcs[byte].get, self.ends, self.inner, self.merges
+        after, token, low = [], -1, (1 << NODE) - 1
         for place in self.states[state]:
-            kind = place >> NODE
-            node = arcs.get((place & (1 << NODE) - 1) << 8 | byte)
+            at = place & low
+            node = follow(at)
             if node is None:
                 continue
             if node in inner:
-                after.append(kind << NODE | node)
-            if token < 0 and (end := ends[node]) >= 0 and agree(kind, end):
+                after.append(place - at + node)
+            if token < 0 and (end := ends[node]) >= 0 and merges.agree(place >> NODE, end):
                 token = end
         after.append(self.merges.kind(token) << NODE)
         arc = self.steps[state << 8 | byte] = self.number(tuple(after)) << TOKEN | token
@@ -308,11 +309,25 @@ class Utf8Machine:
     """
 
     START = (0, 0, 0, 0)
+    #: Tokens that are looked up together.
+    STRETCH = 64
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens = tokens
         #: By state, then token: the next state's table and the text.
         self.tables: dict[tuple[int, int, int, int], dict] = {}
+        start = self.table(self.START)
+
+        class Whole(dict):
+            def __missing__(self, token: int) -> str:
+                after, text = start[token]
+                if after is not start:
+                    raise KeyError(token)
+                self[token] = text
+                return text
+
+        #: The text of each token that is whole characters by itself.
+        self.whole = Whole()
 
     @classmethod
     def move(cls, state: tuple[int, int, int, int], byte: int) -> tuple[tuple[int, int, int, int], str]:
@@ -349,14 +364,24 @@ class Utf8Machine:
         return self.tables[state]
 
     def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
-        """The text of the ids, a block at a time."""
-        table, out = self.table(self.START), []
-        for i in ids:
-            table, text = table[i]
-            out.append(text)
-            if len(out) == block:
+        """The text of the ids, a block at a time. Where no character is unfinished, stretches of tokens that are whole characters are looked up together."""
+        start = table = self.table(self.START)
+        whole, ids, out, held = self.whole.__getitem__, iter(ids), [], 0
+        while part := list(islice(ids, self.STRETCH)):
+            try:
+                if table is not start:
+                    raise KeyError
+                out.extend(map(whole, part))
+            except KeyError:
+                del out[held:]
+                for i in part:
+                    table, text = table[i]
+                    out.append(text)
+            held = len(out)
+            if held >= block:
                 yield "".join(out)
                 out.clear()
+                held = 0
         if table.unfinished:
             out.append("\ufffd")
         yield "".join(out)
@@ -503,10 +528,13 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def make():
         own = codec(path, pattern)
-        written: dict[int, str] = {}
 
-        def name(i: int) -> str:
-            return written.get(i) or written.setdefault(i, str(i))
+        class Written(dict):
+            def __missing__(self, i: int) -> str:
+                self[i] = found = str(i)
+                return found
+
+        name = Written().__getitem__
 
         def work(docs: list, texts: list[str]) -> list[list]:
             n, digests, decoded = [], [], []
